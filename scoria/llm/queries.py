@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoria.llm import bpe, mixture, terms
+from scoria.llm import bpe, mixture, spam, terms
 from scoria.plans.runtime import table
 
 
@@ -35,6 +35,10 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture_report(*mixture.mix_sources(_sizes(spark, d), table(spark, d, "mix_targets")))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents")).select("doc_id")
+
+
 _WORDS = """
 WITH d AS (
   SELECT document_id, max(struct_pack(q := coalesce(qualified_name, ''), c := coalesce(code, ''), n := coalesce(natural_text, ''))) AS r
@@ -47,7 +51,7 @@ m AS (SELECT document_id, sum(tf) AS nd FROM tf GROUP BY 1),
 x AS (SELECT document_id, term, tf, df, nd / n AS a, nt / n AS b, nd * nt / n AS e FROM tf JOIN t USING (term) JOIN m USING (document_id), (SELECT sum(tf)::DOUBLE AS n FROM tf))
 """
 
-QUERIES = {"p6_found": p6_found, "p6_scores": p6_scores, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p6_found": p6_found, "p6_scores": p6_scores, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p6_found": _WORDS + "SELECT document_id, term FROM x WHERE tf >= 3 AND df BETWEEN 2 AND 12",
