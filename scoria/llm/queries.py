@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoria.llm import bpe, mixture, provenance, spam, terms
+from scoria.llm import bpe, mixture, provenance, spam, syntax, terms
 from scoria.plans.runtime import table
 
 
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.syntax_costs(table(spark, d, "files"), table(spark, d, "expected"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_files(spark, d).where("cost > 0").select("file_id")
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.syntax_rates(p4_files(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return provenance.not_handwritten(table(spark, d, "files")).select("file_id")
 
@@ -59,7 +71,7 @@ m AS (SELECT document_id, sum(tf) AS nd FROM tf GROUP BY 1),
 x AS (SELECT document_id, term, tf, df, nd / n AS a, nt / n AS b, nd * nt / n AS e FROM tf JOIN t USING (term) JOIN m USING (document_id), (SELECT sum(tf)::DOUBLE AS n FROM tf))
 """
 
-QUERIES = {"p5_found": p5_found, "p5_reasons": p5_reasons, "p6_found": p6_found, "p6_scores": p6_scores, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p4_found": p4_found, "p4_files": p4_files, "p4_rates": p4_rates, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_found": p6_found, "p6_scores": p6_scores, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p6_found": _WORDS + "SELECT document_id, term FROM x WHERE tf >= 3 AND df BETWEEN 2 AND 12",
