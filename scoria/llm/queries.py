@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoria.llm import bpe, mixture, provenance, spam, syntax, terms
+from scoria.llm import bpe, docs, mixture, provenance, spam, syntax, terms
 from scoria.plans.runtime import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return docs.documented(table(spark, d, "files"), table(spark, d, "expected")).select("file_id", "start_line")
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docs.code_pairs(table(spark, d, "files"), table(spark, d, "expected"))
+
+
 def p4_files(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_costs(table(spark, d, "files"), table(spark, d, "expected"))
 
@@ -43,8 +51,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their sizes; the source goes through the tokenizer inside the key, which saves a join."""
-    docs = table(spark, d, "documents").select(F.struct("doc_id", "source").alias("k"), "text")
-    return bpe.encode_texts(docs, "k", "text", counts_only=True).select("k.doc_id", "k.source", "n_tokens")
+    keyed = table(spark, d, "documents").select(F.struct("doc_id", "source").alias("k"), "text")
+    return bpe.encode_texts(keyed, "k", "text", counts_only=True).select("k.doc_id", "k.source", "n_tokens")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +79,7 @@ m AS (SELECT document_id, sum(tf) AS nd FROM tf GROUP BY 1),
 x AS (SELECT document_id, term, tf, df, nd / n AS a, nt / n AS b, nd * nt / n AS e FROM tf JOIN t USING (term) JOIN m USING (document_id), (SELECT sum(tf)::DOUBLE AS n FROM tf))
 """
 
-QUERIES = {"p4_found": p4_found, "p4_files": p4_files, "p4_rates": p4_rates, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_found": p6_found, "p6_scores": p6_scores, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_files": p4_files, "p4_rates": p4_rates, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_found": p6_found, "p6_scores": p6_scores, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p6_found": _WORDS + "SELECT document_id, term FROM x WHERE tf >= 3 AND df BETWEEN 2 AND 12",
