@@ -135,7 +135,7 @@ sym AS (
   SELECT *, list_extract(string_split(replace(qualified_name, '::', '.'), '.'), -1) AS simple_name FROM (
     SELECT DISTINCT ON (project_id, generation_id, symbol_id) * FROM symbols JOIN gen USING (project_id, generation_id)
     ORDER BY project_id, generation_id, symbol_id, delivered_at DESC NULLS LAST, file_id DESC NULLS LAST, symbol_kind DESC NULLS LAST, qualified_name DESC NULLS LAST,
-      signature DESC NULLS LAST, start_line DESC NULLS LAST, end_line DESC NULLS LAST, structural_digest DESC NULLS LAST, visibility DESC NULLS LAST, exported DESC NULLS LAST)),
+      signature DESC NULLS LAST, start_line DESC NULLS LAST, end_line DESC NULLS LAST, structural_digest DESC NULLS LAST, visibility DESC NULLS LAST, exported DESC NULLS LAST, declaration_only DESC NULLS LAST, betweenness DESC NULLS LAST, pagerank DESC NULLS LAST)),
 fil AS (SELECT file_id, max(normalized_path) AS path FROM files WHERE file_id IS NOT NULL GROUP BY 1),
 raw AS (
   SELECT DISTINCT lower(regexp_replace(source_symbol_id, '^\\s+|\\s+$', '', 'g')) AS source, lower(regexp_replace(target_symbol_id, '^\\s+|\\s+$', '', 'g')) AS target,
