@@ -11,7 +11,7 @@ from scoria.plans.runtime import checkpointed
 DAMPING, ROUNDS, GRAIN = 0.85, 40, 9
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, write_every: int = 8) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, write_every: int = 2) -> DataFrame:
     """(node, pagerank) after a fixed number of rounds; scores sum up to 1.
 
     Repeated edges count as often as they come; a node without outgoing edges spreads its score over all. Edges to or
