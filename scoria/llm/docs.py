@@ -41,7 +41,7 @@ def lexed_rows(language: str, text: str) -> list[tuple]:
     match, n = _matcher(language), len(text)
     rows: list[tuple] = []
     pos, line, python = 0, 1, language == "python"
-    start, depth, delta, text_from, first_string, heads = 0, 0, 0, 0, None, None
+    start, depth, delta, text_from, first_string, heads, solid = 0, 0, 0, 0, None, None, ""
     indents = [0]
 
     def flush(end_line: int, end: int) -> None:
@@ -100,7 +100,7 @@ def lexed_rows(language: str, text: str) -> list[tuple]:
                     delta += 1
             if kind == "s" and python and depth == 0:
                 first_string = body
-        elif python and kind == "s" and depth == 0 and text[text_from:pos].rstrip().endswith(":") and heads is None:
+        elif python and kind == "s" and depth == 0 and solid == ":" and heads is None:
             heads = (line, line + breaks, body)
         if kind == "o":
             depth += 1
@@ -113,6 +113,7 @@ def lexed_rows(language: str, text: str) -> list[tuple]:
             break
         line += breaks
         pos = end
+        solid = body[-1:]
     flush(line, n)
     return rows
 
@@ -177,7 +178,7 @@ def says_something(text: str | None, name: str | None, signature: str | None) ->
         if not line:
             joined = False
             continue
-        if RULER.match(line) or CODE.match(line) or TOOL.match(line):
+        if RULER.match(line) or CODE.match(line) or TOOL.match(line) or STAND_IN.match(line):
             joined = False
             continue
         if joined and not TAG.match(line):

@@ -118,8 +118,8 @@ def _template(text: str, at: int) -> int:
 
 
 #: What can end a statement, and what can't begin one, where line ends may end statements.
-ENDS_GO = frozenset(["i", "v", "inc", ")", "]", "}", "break", "continue", "fallthrough", "return"])
-ENDS_SCRIPT = frozenset(["i", "v", "inc", ")", "]", "}", "this", "super", "break", "continue", "return", "debugger", "yield"])
+ENDS_GO = frozenset(["i", "q", "v", "inc", ")", "]", "}", "break", "continue", "fallthrough", "return"])
+ENDS_SCRIPT = frozenset(["i", "q", "v", "inc", ")", "]", "}", "this", "super", "break", "continue", "return", "debugger", "yield"])
 GOES_ON = frozenset(["op", "pm", "*", "&", "<", ">", "=", "asg", "?", ":", ".", ",", ";", "=>", "?.", "(", "[", "in", "instanceof", "else", "catch", "finally", ")", "]", "{", "~as", "~satisfies", "~of", "..."])
 
 
@@ -154,7 +154,7 @@ def lex(language: str, text: str) -> tuple[list[str], list[int], list[tuple[int,
         cls, end, start = "", 0, line
         if ch == "`" and script:
             end, cls = _template(text, pos), "v"
-        elif ch == "/" and script and last not in ("i", "v", ")", "]", "}", "this", "super", "inc") and last[:1] != "~":
+        elif ch == "/" and script and last not in ("i", "q", "v", ")", "]", "}", "this", "super", "inc") and last[:1] != "~":
             r = REGEX.match(text, pos)
             end, cls = (r.end(), "v") if r else (pos + 1, "op")
         elif kind == "s":
@@ -171,9 +171,9 @@ def lex(language: str, text: str) -> tuple[list[str], list[int], list[tuple[int,
                     cls = "i"
         elif rust and ch == "'" and (m2 := re.compile(r"'[^\W\d]\w*(?!')").match(text, pos)):
             end, cls = m2.end(), "lt"
-        elif rust and ch == "|" and last not in ("i", "v", ")", "]", "}", "?", "..") and not text.startswith("||", pos) and (m2 := re.compile(r"\|[^|\n;{]*\|").match(text, pos)) and last != "op" and last != "=>":
+        elif rust and ch == "|" and last not in ("i", "q", "v", ")", "]", "}", "?", "..") and not text.startswith("||", pos) and (m2 := re.compile(r"\|[^|\n;{]*\|").match(text, pos)) and last != "op" and last != "=>":
             end, cls = m2.end(), "bars"
-        elif ch == "<" and (last in ("i", "impl", "fn", "for", "~default", "function", "class") or last[:1] == "~") and (pos and not text[pos - 1].isspace() or last in ("mod", "~mod")) or ch == "<" and last in ("::", "mod", "~mod"):
+        elif ch == "<" and (last in ("i", "q", "impl", "fn", "for", "~default", "function", "class") or last[:1] == "~") and (pos and not text[pos - 1].isspace() or last in ("mod", "~mod")) or ch == "<" and (last in ("::", "mod", "~mod") or language == "java" and last in ("{", "}", ";")):
             end = _angles(text, pos)
             if end:
                 line += text.count("\n", pos, end)
@@ -188,8 +188,8 @@ def lex(language: str, text: str) -> tuple[list[str], list[int], list[tuple[int,
                 cls = ""
             else:
                 cls, end = OPERATORS.get(op, "op"), m.end()
-            if rust and op == "&&":
-                cls, end = "&", pos + 1
+            if rust and op in ("&&", "?."):
+                cls, end = op[0], pos + 1
         if not cls or not end:
             quote = ch in "\"'`" or text.startswith("/*", pos)
             errors.append((line, "unterminated" if quote else "character"))
@@ -197,7 +197,7 @@ def lex(language: str, text: str) -> tuple[list[str], list[int], list[tuple[int,
             pos = n if stop < 0 else stop
             continue
         line += text.count("\n", pos, end) if kind == "s" or cls == "v" else 0
-        if fresh and classes and (go and last in ENDS_GO or script and (last in ENDS_SCRIPT or last[:1] == "~") and cls not in GOES_ON and cls != "inc" and not (last == ")" and after_condition)) and not (script and cls == "while" and last == "}"):
+        if fresh and classes and (go and last in ENDS_GO or script and (last in ENDS_SCRIPT or last[:1] == "~" or last == "!" and classes[-2:-1] and classes[-2] in ENDS_SCRIPT) and (cls not in GOES_ON or cls == "else" and last not in ("}", ";")) and cls != "inc" and not (last == ")" and after_condition)) and not (script and cls == "while" and last == "}"):
             classes.append(";")
             lines.append(start)
         fresh = False
@@ -206,9 +206,9 @@ def lex(language: str, text: str) -> tuple[list[str], list[int], list[tuple[int,
         elif cls in (")", "]", "}"):
             after_condition = conditions.pop() if conditions else False
         pos = end
-        if cls == "i" and len(classes) > 1 and classes[-1] in (".", "::") and (classes[-2] == "i" or classes[-2][:1] == "~") and language != "python":
+        if cls == "i" and len(classes) > 1 and classes[-1] in (".", "::") and (classes[-2] in "iq" or classes[-2][:1] == "~") and language != "python":
             classes.pop(), lines.pop()
-            classes[-1] = "i"
+            classes[-1] = "q"
             continue
         classes.append(cls)
         lines.append(start)
