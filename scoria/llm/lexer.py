@@ -34,9 +34,9 @@ MODIFIERS = {
 }
 LITERAL_WORDS = {"java": "true false null", "csharp": "true false null", "javascript": "true false null", "typescript": "true false null", "rust": "true false", "python": "True False None", "go": ""}
 
-DOUBLE, SINGLE, BACK = r'"(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"', r"'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'", r"`[^`]*`"
+DOUBLE, SINGLE, BACK = r'"[^"\\\n]*(?:\\(?:\r\n|[\s\S])[^"\\\n]*)*"', r"'[^'\\\n]*(?:\\(?:\r\n|[\s\S])[^'\\\n]*)*'", r"`[^`]*`"
 CHAR = r"'(?:[^'\\\n]|\\(?:[^u]|u\{?[0-9A-Fa-f]+\}?)[0-9a-fA-F]*)'"
-SLASHES, STARS = r"//[^\n]*", r"/\*(?:[^*]|\*(?!/))*\*/"
+SLASHES, STARS = r"//[^\n]*", r"/\*[\s\S]*?\*/"
 NUMBER = r"(?:0[xXbBoO][\w]+|(?:\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[a-zA-Z_]*\d*"
 OPERATOR = r">>>=|<<=|>>=|\*\*=|&&=|\|\|=|\?\?=|\.\.\.|\.\.=|===|!==|<=>|[-+*/%&|^]=|==|!=|<=|>=|&&|\|\||\?\?|->|=>|::|:=|<-|\+\+|--|\.\.|\?\.(?!\d)|\*\*|<<|//|[^\w\s]"
 COMMENTS = {
@@ -56,6 +56,7 @@ WORDS = {"java": r"[^\W\d][\w]*|[$_][\w$]*", "csharp": r"@?[^\W\d]\w*", "go": r"
 WORDS["javascript"] = r"#?(?:[^\W\d]|\$)[\w$]*"
 WORDS["typescript"] = WORDS["javascript"]
 REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
+LIFETIME, BARS = re.compile(r"'[^\W\d]\w*(?!')").match, re.compile(r"\|[^|\n;{]*\|").match
 CLOSERS = {"(": ")", "[": "]", "{": "}"}
 #: Classes of operators; those not named are binary ones.
 OPERATORS = {o: o for o in "* & < > ! ~ ? : . , ; @ # = ( ) [ ] { } -> => :: ... .. ?. :=".split()} | {"+": "pm", "-": "pm", "++": "inc", "--": "inc", "..=": "..", "<-": "arrow"} | {o: "asg" for o in ">>>= <<= >>= **= &&= ||= ??= += -= *= /= %= &= |= ^=".split()}
@@ -63,7 +64,7 @@ BINARY = frozenset("=== !== <=> == != <= >= && || ?? ** << // / % | ^".split())
 
 
 @cache
-def _tables(language: str) -> tuple:
+def tables(language: str) -> tuple:
     g = grammar(language)
     used = {s for _, body in g.rules for s in body if s not in g.by}
     soft = set(IN_PLACES[language].split())
@@ -125,7 +126,7 @@ GOES_ON = frozenset(["op", "pm", "*", "&", "<", ">", "=", "asg", "?", ":", ".",
 
 def lex(language: str, text: str) -> tuple[list[str], list[int], list[tuple[int, str]]]:
     """Classes, lines (from 1), and lexical errors as (line, what); an error's character has no class."""
-    match, words, _ = _tables(language)
+    match, words, _ = tables(language)
     script, go, rust = language in ("javascript", "typescript"), language == "go", language == "rust"
     classes: list[str] = []
     lines: list[int] = []
@@ -169,9 +170,9 @@ def lex(language: str, text: str) -> tuple[list[str], list[int], list[tuple[int,
                 cls = words.get(word, "i") if last not in (".", "?.") or rust and word == "await" else "i"
                 if script and last in ("{", ",") and word != "default" and text[end : end + 2].lstrip().startswith(":"):
                     cls = "i"
-        elif rust and ch == "'" and (m2 := re.compile(r"'[^\W\d]\w*(?!')").match(text, pos)):
+        elif rust and ch == "'" and (m2 := LIFETIME(text, pos)):
             end, cls = m2.end(), "lt"
-        elif rust and ch == "|" and last not in ("i", "q", "v", ")", "]", "}", "?", "..") and not text.startswith("||", pos) and (m2 := re.compile(r"\|[^|\n;{]*\|").match(text, pos)) and last != "op" and last != "=>":
+        elif rust and ch == "|" and last not in ("i", "q", "v", ")", "]", "}", "?", "..") and not text.startswith("||", pos) and (m2 := BARS(text, pos)) and last != "op" and last != "=>":
             end, cls = m2.end(), "bars"
         elif ch == "<" and (last in ("i", "q", "impl", "fn", "for", "~default", "function", "class") or last[:1] == "~") and (pos and not text[pos - 1].isspace() or last in ("mod", "~mod")) or ch == "<" and (last in ("::", "mod", "~mod") or language == "java" and last in ("{", "}", ";")):
             end = _angles(text, pos)
