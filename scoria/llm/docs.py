@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scoria.llm.lexer import COMMENTS, STRINGS
 from scoria.operators.snapshots import latest_rows
+from scoria.plans.runtime import checkpointed
 
 #: A line that holds nothing but an attribute or decorator.
 ATTRIBUTE = {
@@ -128,6 +129,8 @@ TOOL = re.compile(r"(?i)^\W*(?:nolint|noqa|nosonar|nosec|noinspection|pylint|fla
 LICENCE = re.compile(r"(?i)licen[cs]ed under|all rights reserved|spdx-|copyright\b|\(c\) ?\d{4}|permission is hereby|without warrant|redistribution and use|apache license|mit license|gnu (?:general|lesser)")
 RULER = re.compile(r"^(?:[\W_]*|[\W_]*[-=~*#_+<>/.]{3,}\s*\w*(?:\s\w+)?\s*[-=~*#_+<>/.]*|\w*(?:\s\w+)?\s*[-=~*#_+<>/]{4,})$")
 CODE = re.compile(r"^(?:[\w.$\[\]]+(?:\s+[\w$]+)?\s*(?::=|[-+*/|&]?=(?!=))\s*\S.*|return\b[^.]*;|return(?: [\w.]+)?|[\w.$:]+\([^()]*(?:\([^()]*\)[^()]*)*\)\s*;?|(?:if|for|while|switch|else|elif|try|catch|def|func|fn|let|var|const)\b.*[{:;]|[})\]]+;?|import .*;?|.*[;{}])$")
+#: Longer lines are no rulers, code or stand-ins.
+LINE = 400
 PROSE_END = re.compile(r"[.!?。:;]\W*$")
 MARKS = re.compile(r"^(?://[/!]?|/\*+!?|\*(?!/)|#+!?)\s?")
 TAG = re.compile(r"^(?:[@\\]([\w-]+)|:(\w+)(?:\s+([^:]*))?:|<(\w+)(?:\s[^>]*)?>)\s*(.*)$", re.S)
@@ -178,7 +181,7 @@ def says_something(text: str | None, name: str | None, signature: str | None) ->
         if not line:
             joined = False
             continue
-        if RULER.match(line) or CODE.match(line) or TOOL.match(line) or STAND_IN.match(line):
+        if len(line) <= LINE and (RULER.match(line) or CODE.match(line) or TOOL.match(line) or STAND_IN.match(line)):
             joined = False
             continue
         if joined and not TAG.match(line):
@@ -210,7 +213,7 @@ def _unit_says(unit: str, names: list[str]) -> bool:
             return False
         return bool(rest.strip()) and not POINTER.match(rest) and not STAND_IN.match(rest) and _says(rest, names + ([w.lower() for w in NAME_WORD.findall(argument)] if argument else []))
     unit = re.sub(r"</?\w+(?:\s[^>]*)?/?>", " ", unit).strip()
-    if not unit or STAND_IN.match(unit) or TO_DO.match(unit) or POINTER.match(unit) or TOOL.match(unit) or LICENCE.search(unit) or RULER.match(unit) or CODE.match(unit) or re.fullmatch(r"\{@?\w+\}", unit):
+    if not unit or TO_DO.match(unit) or TOOL.match(unit) or LICENCE.search(unit) or len(unit) <= LINE and (STAND_IN.match(unit) or POINTER.match(unit) or RULER.match(unit) or CODE.match(unit) or re.fullmatch(r"\{@?\w+\}", unit)):
         return False
     return _says(unit, names)
 
@@ -289,14 +292,14 @@ def bodies(rows: DataFrame) -> DataFrame:
     return ends.join(last, "file_id").select("file_id", "start_line", F.when(F.col("inline"), F.col("own_end")).otherwise(F.greatest("own_end", F.coalesce("found", "last_line"))).alias("end_line"))
 
 
-def documented(files: DataFrame, expected: DataFrame) -> DataFrame:
+def documented(files: DataFrame, expected: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(file_id, start_line, name, signature, documentation) of the functions and methods whose documentation says something.
 
     Defined cases: null texts, unknown languages, JSON and files without an expected row have none; null or empty
     symbols have none; rows delivered repeatedly count once; a declaration line beyond the text's end has none; any
     kind of line end and a byte order mark are taken. Kept docstrings of `expected` aren't trusted or read.
     """
-    rows = lexed_files(files, expected)
+    rows = lexed_files(files, expected) if rows is None else rows
     docs = attached(rows).groupBy("file_id", "start_line").agg(F.array_join(F.array_sort(F.collect_list("documentation")), "\n\n").alias("documentation"), F.collect_list("documentation").alias("parts"))
     pairs = declarations(expected).join(docs, ["file_id", "start_line"])
     schema = "file_id string, start_line int, name string, signature string, documentation string"
@@ -312,7 +315,8 @@ def documented(files: DataFrame, expected: DataFrame) -> DataFrame:
 
 def code_pairs(files: DataFrame, expected: DataFrame) -> DataFrame:
     """The rows of documented() with end_line and the code from declaration to the end of the body."""
-    found = documented(files, expected).join(bodies(lexed_files(files, expected)), ["file_id", "start_line"])
+    rows = checkpointed(lexed_files(files, expected))
+    found = documented(files, expected, rows).join(bodies(rows), ["file_id", "start_line"])
     one = latest_rows(files.where(F.col("file_id").isNotNull()), ["file_id"], "delivered_at", ["source_text"])
     lines = F.split(F.regexp_replace("source_text", r"\r\n?", "\n"), "\n")
     return found.join(one, "file_id").select("file_id", "start_line", "end_line", "name", "signature", F.array_join(F.slice(lines, F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("code"), "documentation")

@@ -19,7 +19,7 @@ BANNER = rf"(?i){OPEN}(?:@generated\b(?:\s+(?:by|from|with)\b|\s*$)|<auto-?gener
 COPIED = rf"(?i){OPEN}(?:[\w.@/-]+ v?\d+\.\d+(?:\.\d+)*\s+[-–—:]\s+(?:upstream|vendored|verbatim|unmodified) copy\b|copied (?:verbatim )?from \S+ v?\d+\.\d|vendored (?:copy of|from) \S+|(?:this file is )?part of \S+ v?\d+\.\d|@license \S+ v?\d+\.\d|[\w.@/-]+ v?\d+\.\d+(?:\.\d+)*\s*\|\s*(?:\(c\)|©|copyright|https?:))"
 COMMENT_LINE = r"^\s*(?://|#(?!\s*(?:include|define|if|pragma|\[|!\[))|/?\*|--|<!--|$)"
 #: A slot's number in a name and as index beside it, as accessor generators write them.
-NUMBERED_SLOT = r"[A-Za-z]_?(\d{1,6})\s*\([^\n]*(?:\n[^\n]*)?\[\1\]"
+NUMBERED_SLOT = r"[A-Za-z]_?(\d{1,6})\s?\([^\n]{0,160}(?:\n[^\n]{0,160})?\[\1\]"
 LITERALS = r"\"[^\"\n]*\"|'[^'\n]*'|\b(?:0[xX][0-9a-fA-F]+|\d[\w.]*)|[\s,;:=\[\]{}()+-]"
 
 
@@ -41,7 +41,7 @@ def file_evidence(files: DataFrame) -> DataFrame:
     f = f.withColumn("first_code", first_code.cast("int"))
     top = F.when(F.col("first_code") > 1, F.slice("lines", F.lit(1), F.col("first_code") - 1)).when(F.col("first_code") == 1, F.array().cast("array<string>")).otherwise(F.col("lines"))
     body = F.when(F.col("first_code") > 0, F.slice("lines", F.col("first_code"), F.size("lines"))).otherwise(F.array().cast("array<string>"))
-    f = f.withColumns({"top": top, "body": F.array_join(F.transform(body, F.rtrim), "\n")}).withColumn("body", F.trim(F.regexp_replace("body", r"\n+$", "")))
+    f = f.withColumns({"top": top, "body": F.array_join(F.transform(body, F.rtrim), "\n")}).withColumn("body", F.expr(r"trim(BOTH ' \n' FROM body)"))
     said = lambda pattern: F.exists("top", lambda x: x.rlike(pattern))
     json = F.lower(F.coalesce("language", F.lit(""))).isin("json") | F.lower("path").endswith(".json")
     filled = F.size(F.filter("lines", lambda x: ~x.rlike(r"^\s*$")))
