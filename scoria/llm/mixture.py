@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoria.operators.prefix import group_prefix_sum
-from scoria.plans.runtime import checkpointed
+from scoria.plans.runtime import bounded_broadcast, checkpointed
 
 
 def plan_mixture(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, seed: int = 0, total_token
     sizes = checkpointed(sizes)
     plan = checkpointed(plan_mixture(sizes, targets, total_tokens))
     offset = (F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("offset")
-    drawn = sizes.where(F.col("n_tokens") > 0).join(F.broadcast(plan.where("copies > 0").select("source", "copies", offset)), "source")
+    drawn = sizes.where(F.col("n_tokens") > 0).join(bounded_broadcast(plan.where("copies > 0").select("source", "copies", offset)), "source")
     octave = F.floor(F.log2(F.col("n_tokens").cast("double")) * 8)
     ranked = group_prefix_sum(drawn, ["source"], [octave], [F.col("n_tokens"), F.col("doc_id")], F.lit(1), "rank")
     upto = lambda r: F.floor(r * F.col("copies") + F.col("offset"))
