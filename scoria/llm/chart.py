@@ -74,6 +74,11 @@ class Grammar:
         kind, labels = token
         return terminal == kind or terminal[0] == kind and terminal[1:2] == ":" and terminal[2:] in labels
 
+    def possible(self, start: str, tokens: tuple) -> bool:
+        """Whether the tokens hold all token classes that one of start's rules names, which matching needs and is quick to tell."""
+        distinct = set(tokens)
+        return any(all(s in self.by or any(self.fits(s, t) for t in distinct) for s in self.rules[r][1]) for r in self.by[start])
+
     def matches(self, start: str, tokens: tuple) -> bool:
         """Whether the tokens derive from start without any edit."""
         key = (start, tokens)

@@ -344,6 +344,8 @@ WHOLES = {
     "java": {"P": ["For", "Res", "CP"]}, "csharp": {"P": ["For", "Res", "CP"]}, "go": {"P": ["Imps", "Specs", "TSpecs"], "B": ["Slice"]}, "rust": {},
     "javascript": {"P": ["For"]}, "typescript": {"P": ["For"], "B": ["In"]}, "python": {"P": ["Gen"], "B": ["Gen"], "C": ["Gen", "DGen"]}, "json": {},
 }
+#: Wholes that are items with semicolons between them, which are matched item by item.
+SEMICOLON_LISTS = {"go": {"Imps": "Imp", "Specs": "Spec", "TSpecs": "TSpec"}}
 SEQUENCES = {
     "java": [("Block", "Stmt"), ("Body", "Member"), ("Switch", "CaseI")],
     "csharp": [("Block", "Stmt"), ("Body", "Member"), ("Switch", "CaseI"), ("Props", "Prop"), ("Top", "Top")],

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoria.llm.chart import Grammar
-from scoria.llm.grammars import LISTS, SEQUENCES, TOPS, WHOLES, grammar
+from scoria.llm.grammars import LISTS, SEMICOLON_LISTS, SEQUENCES, TOPS, WHOLES, grammar
 from scoria.llm.lexer import BINARY, CLOSERS, LANGUAGES, OPERATORS, lex, tables
 from scoria.operators.snapshots import latest_rows
 
@@ -86,6 +86,22 @@ class Checker:
                 return False
         return True
 
+    def separated(self, item: str, tokens: list) -> bool:
+        """Whether the tokens are items with one semicolon between each two."""
+        at = 0
+        for i in [*(i for i, t in enumerate(tokens) if t == ";"), len(tokens)]:
+            if not self.grammar.matches(item, _folded(tuple(tokens[at:i]))):
+                return False
+            at = i + 1
+        return True
+
+    def is_whole(self, label: str, tokens: tuple) -> bool:
+        """Whether the tokens derive from the label; long ones are also tried folded, if they can match at all."""
+        g = self.grammar
+        if len(tokens) <= FOLD:
+            return g.matches(label, tokens)
+        return g.possible(label, tokens) and (g.matches(label, tokens) or g.matches(label, _folded(tokens)))
+
     def labels(self, kind: str, tokens: list) -> frozenset[str]:
         """The nonterminals that the contents of a bracket derive from."""
         if not tokens:
@@ -108,7 +124,8 @@ class Checker:
             if all(g.matches(item, p) if p else self.semicolons and kind == "B" for p in parts):
                 found.add(label)
         for label in WHOLES[self.language].get(kind, ()):
-            if len(tokens) <= 400 and (g.matches(label, tuple(tokens)) or plain is not tokens and g.matches(label, tuple(plain))):
+            item = SEMICOLON_LISTS.get(self.language, {}).get(label)
+            if self.separated(item, plain) if item else self.is_whole(label, tuple(tokens)) or plain is not tokens and self.is_whole(label, tuple(plain)):
                 found.add(label)
         if kind == "C":
             for label, item in SEQUENCES[self.language]:

@@ -53,6 +53,15 @@ def test_long_texts_are_read_whole():
     assert syntax.check_file("json", "[" + "1," * 99_999 + "1]")[0] == 0
 
 
+def test_long_go_groups_parse():
+    groups = ["const (\n" + "".join(f"\tA{i} = {i}\n" for i in range(400)) + ")\n", "const (\n\tA = iota\n" + "".join(f"\tB{i}\n" for i in range(400)) + ")\n", "import (\n" + "".join(f'\t"a/b{i}"\n' for i in range(400)) + ")\n", "var (\n" + "".join(f"\tv{i}, w{i} []int = f({i}), nil\n" for i in range(200)) + ")\n", "type (\n" + "".join(f"\tT{i} struct {{ a int }}\n" for i in range(200)) + ")\n"]
+    for text in groups:
+        assert syntax.check_file("go", "package a\n\n" + text) == (0, None, []), text[:40]
+        assert syntax.check_file("go", "package a\n\n" + text[:-2] + "\t1 = 1 = 1\n)\n")[0] > 0, text[:40]
+    assert syntax.check_file("python", "x = f(a" + " + b.c(1)" * 300 + " for a in y)\n") == (0, None, [])
+    assert syntax.check_file("javascript", "for (let " + ", ".join(f"a{i} = f({i})" for i in range(200)) + "; a1 < 3; a1++) { b(a1) }\n") == (0, None, [])
+
+
 def test_repair_costs_are_least():
     g = Grammar("S: a S b | c")
     brute = {("c",): 0, ("a", "c", "b"): 0, ("a", "c"): 1, ("c", "c"): 1, (): 1, ("b", "a"): 2, ("a", "a", "c", "b"): 1, ("x",): 1}
