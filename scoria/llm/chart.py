@@ -7,18 +7,9 @@ labels): the kind's letter and the nonterminals that its contents match; `P:Args
 
 from __future__ import annotations
 
-import heapq
 from functools import cache
 
-#: Chart items that one repair may visit. What is flagged doesn't depend on it, only its cost: beyond it the cost reached
-#: so far is given, which is a lower bound.
-REPAIR_ITEMS = 1_000
-
-
-#: Chart items of one parse. Code needs under 100 a token; a stretch with far more derivations than that, such as
-#: thousands of brackets in a row, counts as not derivable.
-CHART_ITEMS = 1_500_000
-
+import numpy as np
 
 class Grammar:
     def __init__(self, text: str):
@@ -31,6 +22,8 @@ class Grammar:
                 self._add(head.strip(), [self._expand(s) for s in alternative.split()])
         self.recognized: dict = {}
         self.costs: dict = {}
+        self.dotted: tuple | None = None
+        self.bounds: dict[str, Bounds] = {}
         self._find_nullable()
 
     def sequence(self, item: str) -> str:
@@ -93,7 +86,6 @@ class Grammar:
         chart: list[dict] = [{} for _ in range(len(tokens) + 1)]
         waiting: list[dict[str, list]] = [{} for _ in range(len(tokens) + 1)]
         chart[0] = {(r, 0, 0): None for r in by[start]}
-        items, most = 0, max(50_000, min(300 * len(tokens), CHART_ITEMS))
         for i in range(len(tokens) + 1):
             agenda, seen, wait = list(chart[i]), chart[i], waiting[i]
             token = tokens[i] if i < len(tokens) else None
@@ -120,15 +112,12 @@ class Grammar:
                             agenda.append(item)
                 elif token is not None and fits(s, token):
                     following[(r, dot + 1, origin)] = None
-            items += len(agenda)
-            if following is not None and not following or items > most:
+            if following is not None and not following:
                 return False
         return any(o == 0 and rules[r][0] == start and d == len(rules[r][1]) for r, d, o in chart[-1])
 
     def cost(self, start: str, tokens: tuple) -> int:
         """The least number of tokens to insert, drop or replace so that the rest derives from start."""
-        if self.matches(start, tokens):
-            return 0
         key = (start, tokens)
         if key not in self.costs:
             if len(self.costs) > 50_000:
@@ -136,53 +125,174 @@ class Grammar:
             self.costs[key] = self._repair(start, tokens)
         return self.costs[key]
 
+    def _states(self) -> tuple:
+        """Dotted rules as numbers: first states of each nonterminal, and per state the symbol after the dot (None at the end) and the rule's head."""
+        if self.dotted is None:
+            first, symbols, heads = [], [], []
+            for head, body in self.rules:
+                first.append(len(symbols))
+                symbols += [*body, None]
+                heads += [head] * (len(body) + 1)
+            self.dotted = {h: [first[r] for r in rs] for h, rs in self.by.items()}, symbols, heads
+        return self.dotted
+
+    def _bounds(self, start: str) -> Bounds:
+        if start not in self.bounds:
+            self.bounds[start] = Bounds(self, start)
+        return self.bounds[start]
+
     def _repair(self, start: str, tokens: tuple) -> int:
-        """Chart parsing with error productions, items in order of cost."""
-        by, rules, fits, n = self.by, self.rules, self.fits, len(tokens)
-        best: dict = {}
-        heap: list = []
-        waiting: dict = {}
-        complete: dict = {}
-
-        def push(c: int, item: tuple) -> None:
+        """Chart parsing with error productions, items in order of a lower bound of the whole repair's cost.
+
+        An item is a dotted rule, where it began and where it stands; its cost is the least to get there from the start.
+        What a nonterminal costs on its own is added to whatever waits for it. Tokens are dropped only right before a
+        token of the grammar or at the end, which every repair can be brought to. The bound of what is still to come
+        only decides the order; an item reached at less cost later is taken up again, so the result is the least cost.
+        """
+        predicted, symbols, heads = self._states()
+        by, fits, n = self.by, self.fits, len(tokens)
+        ahead = self._bounds(start).ahead(tokens)
+        width = n + 1
+        square = width * width
+        best: dict[int, int] = {}
+        done: dict[int, int] = {}
+        began: dict[tuple, int] = {(start, 0): 0}
+        waiting: dict[tuple, list] = {}
+        complete: dict[tuple, dict] = {}
+        queues: list[list[int]] = [[]]
+        least, goal = 0, n + len(symbols)
+
+        def push(c: int, item: int) -> None:
             if c < best.get(item, 1 << 30):
                 best[item] = c
-                heapq.heappush(heap, (c, -item[3], item))
-
-        for r in by[start]:
-            push(0, (r, 0, 0, 0))
-        steps, c = 0, 1
-        while heap:
-            c, _, item = heapq.heappop(heap)
-            if c > best[item]:
-                continue
-            r, dot, origin, i = item
-            head, body = rules[r]
-            steps += 1
-            if steps > REPAIR_ITEMS:
-                return max(1, c)
-            if dot == len(body):
-                if head == start and origin == 0:
-                    if i == n:
-                        return max(1, c)
-                    push(c + 1, (r, dot, origin, i + 1))
-                complete.setdefault((head, origin), []).append((i, c))
-                for (q, d, o), k in waiting.get((head, origin), ()):
-                    push(k + c - best.get((r, 0, origin, origin), 0), (q, d + 1, o, i))
-                continue
-            s = body[dot]
-            if s in by:
-                waiting.setdefault((s, i), []).append(((r, dot, origin), c))
-                for q in by[s]:
-                    push(c, (q, 0, i, i))
-                for e, k in complete.get((s, i), ()):
-                    push(max(c, k), (r, dot + 1, origin, e))
-            else:
-                if i < n and fits(s, tokens[i]):
-                    push(c, (r, dot + 1, origin, i + 1))
-                push(c + 1, (r, dot + 1, origin, i))
-                if i < n:
-                    push(c + 1, (r, dot + 1, origin, i + 1))
-            if i < n:
-                push(c + 1, (r, dot, origin, i + 1))
-        return max(1, c)
+                bound = c + ahead[item % width][item // square]
+                if bound < goal:
+                    while len(queues) <= bound:
+                        queues.append([])
+                    queues[bound if bound > least else least].append(item)
+
+        for state in predicted[start]:
+            push(0, state * square)
+        while least < len(queues) and least < goal:
+            queue = queues[least]
+            while queue:
+                item = queue.pop()
+                c = best[item]
+                if done.get(item, 1 << 30) <= c:
+                    continue
+                done[item] = c
+                state, at = divmod(item, square)
+                origin, i = divmod(at, width)
+                s = symbols[state]
+                if s is None:
+                    head = heads[state]
+                    if origin == 0 and head == start:
+                        goal = min(goal, c + n - i)
+                        if goal <= least:
+                            break
+                    own = c - began[head, origin]
+                    ends = complete.setdefault((head, origin), {})
+                    if own < ends.get(i, 1 << 30):
+                        ends[i] = own
+                        for waiter, k in waiting.get((head, origin), ()):
+                            push(k + own, waiter + i)
+                elif s in by:
+                    # The waiting item with its dot moved on; its place is added when the nonterminal ends.
+                    onward = (state + 1) * square + origin * width
+                    key = (s, i)
+                    waiting.setdefault(key, []).append((onward, c))
+                    if c < began.get(key, 1 << 30):
+                        began[key] = c
+                        for q in predicted[s]:
+                            push(c, q * square + i * width + i)
+                    for e, own in complete.get(key, {}).items():
+                        push(c + own, onward + e)
+                else:
+                    onward = item + square
+                    push(c + 1, onward)
+                    if i < n:
+                        push(c if fits(s, tokens[i]) else c + 1, onward + 1)
+                        push(c + 1, item + 1)
+            least += 1
+        return goal
+
+
+class Bounds:
+    """Lower bounds of repair costs: those towards the grammar's regular approximation, in which the end of a rule may
+    go on after any occurrence of its head. That language holds the grammar's, so no repair costs less."""
+
+    FAR = 10_000
+
+    def __init__(self, g: Grammar, start: str):
+        self.g = g
+        predicted, symbols, heads = g._states()
+        reached, todo = set(), [start]
+        while todo:
+            h = todo.pop()
+            if h not in reached:
+                reached.add(h)
+                todo += [s for r in g.by[h] for s in g.rules[r][1] if s in g.by]
+        states = [q for q, h in enumerate(heads) if h in reached]
+        after: dict[str, list[int]] = {}
+        for q in states:
+            if symbols[q] in reached:
+                after.setdefault(symbols[q], []).append(q + 1)
+        self.terminals = [q for q in states if symbols[q] is not None and symbols[q] not in g.by]
+        place = {q: k for k, q in enumerate(self.terminals)}
+        m = len(self.terminals)
+        closure: dict[int, set] = {}
+
+        def reach(q: int) -> set:
+            seen, open_ = {q}, [q]
+            while open_:
+                x = open_.pop()
+                s = symbols[x]
+                nexts = after.get(heads[x], []) if s is None else predicted[s] if s in reached else []
+                if s is None and heads[x] == start:
+                    seen.add(-1)
+                for y in nexts:
+                    if y not in seen:
+                        seen.add(y)
+                        open_.append(y)
+            return seen
+
+        # One more column for the end of the text.
+        self.closed = np.full((len(symbols), m + 1), self.FAR, np.int16)
+        for q in states:
+            closure[q] = reach(q)
+            for x in closure[q]:
+                if x in place:
+                    self.closed[q, place[x]] = 0
+            if -1 in closure[q]:
+                self.closed[q, m] = 0
+        self.after = self.closed[[q + 1 for q in self.terminals]] if m else np.zeros((0, 1), np.int16)
+        inserted = np.full((m, m + 1), self.FAR, np.int16)
+        inserted[self.after == 0] = 1
+        for k in range(m):
+            inserted[k, k] = 0
+        for k in range(m):
+            np.minimum(inserted, inserted[:, k : k + 1] + inserted[k], out=inserted)
+        self.inserted = np.minimum(inserted, self.FAR)
+        self.symbols = [symbols[q] for q in self.terminals]
+        self.misses: dict = {}
+
+    def _miss(self, token) -> np.ndarray:
+        if token not in self.misses:
+            self.misses[token] = np.array([not self.g.fits(s, token) for s in self.symbols], np.int16)
+        return self.misses[token]
+
+    def ahead(self, tokens: tuple) -> list[list[int]]:
+        """For each place and state the least cost of what is still to come."""
+        n, m = len(tokens), len(self.terminals)
+        at = np.empty(m + 1, np.int16)
+        at[:m], at[m] = self.inserted[:, m], 0
+        out = [(self.closed + at).min(1).tolist()]
+        for i in range(n - 1, -1, -1):
+            scan = self._miss(tokens[i]) + (self.after + at).min(1)
+            new = np.empty(m + 1, np.int16)
+            new[:m] = np.minimum(at[:m] + 1, (self.inserted[:, :m] + scan).min(1)) if m else 0
+            new[:m] = np.minimum(new[:m], self.inserted[:, m] + (n - i))
+            new[m] = n - i
+            at = np.minimum(new, self.FAR)
+            out.append((self.closed + at).min(1).tolist())
+        return out[::-1]

@@ -1,7 +1,7 @@
 """Grammars of the languages whose files are checked (problem 4), over the token classes of scoria.llm.lexer.
 
 P, B and C are the contents of (), [] and {}; i is a name, v a number, string or other literal. Types in angle brackets
-are left out by the lexer. Each language has a nonterminal for one item of each kind of list or sequence.
+have no token; each of a list of them is a TA. Each language has a nonterminal for one item of each kind of list or sequence.
 """
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ LB: E | C:Block
 Lam: Param | i
 Arg: E
 U: Post instanceof Mod* T i? | Post instanceof Mod* T P
-Stmt: Vars ; | E ; | if P:Args Stmt | if P:Args Stmt else Stmt | for P:For Stmt | while P:Args Stmt | do Stmt while P:Args ; | try P:Res? C:Block Catch* Fin? | switch P:Args C:Switch | return E? ; | throw E ; | break i? ; | continue i? ; | assert E ; | assert E : E ; | i : Stmt | C:Block | TypeD | mod P:Args C:Block | yield E ; | ;
+Stmt: Vars ; | SE ; | if P:Args Stmt | if P:Args Stmt else Stmt | for P:For Stmt | while P:Args Stmt | do Stmt while P:Args ; | try P:Res? C:Block Catch* Fin? | switch P:Args C:Switch | return E? ; | throw E ; | break i? ; | continue i? ; | assert E ; | assert E : E ; | i : Stmt | C:Block | TypeD | mod P:Args C:Block | yield E ; | ;
+SE: Post = E | Post asg E | inc U | Post inc | Post P:Args | new i P:Args C:Body? | switch P:Args C:Switch
 Catch: catch P:CP C:Block
 Fin: finally C:Block
 CP: Mod* Alts n
@@ -56,6 +57,8 @@ Case: case Pats : Stmt* | default : Stmt* | case Pats -> Arm | default -> Arm
 Arm: E ; | C:Block | throw E ;
 Pats: E | Pats , E | T i
 CaseI: Case | Stmt
+TA: T | T extends Bounds | Ann* ? | Ann* ? extends Bounds | Ann* ? i T
+Bounds: T | Bounds & T
 """
 
 CSHARP = EXPRESSION + """
@@ -84,16 +87,16 @@ Init: E | C:Inits
 Param: Attr* mod* T i | Attr* mod* T i = E | this T i | ref T i
 Name: i | i = E
 Pre: pm | inc | ! | ~ | & | * | P:Args | await | throw
-Prim: i | v | P:Args | new NT P:Args C:Inits? | new NT C:Inits | new Arr+ C:Inits? | new NT Arr+ C:Inits? | new C:Inits | new P:Args C:Inits? | i => LB | mod? P:Lams => LB | mod i => LB | B:Args | Prim switch C:Arms | Prim !
+Prim: i | v | P:Args | new NT P:Args C:Inits? | new NT C:Inits | new Arr+ C:Inits? | new NT Arr+ C:Inits? | new C:Inits | new P:Args C:Inits? | i => LB | mod? P:Lams => LB | mod i => LB | B:Args | Prim switch C:Arms | Prim ! | this | default | default P:Args | checked P:Args | stackalloc NT Arr
 NT: i Q*
 Arr: B:Args | B:Empty
 LB: E | C:Block
 Lam: Param | i
-Arg: E | i : E | ref E | mod E | out T i | E is E | i
+Arg: E | i : E | ref E | mod E | mod T i | E is E | i | T
 U: Post is Not? T i? | Post is Not? E | Post is C | Post as T
 Not: not
 Post: Post ? . i | Post ?. i | Post ? B:Args
-Stmt: Vars ; | mod Vars ; | E ; | if P:Args Stmt | if P:Args Stmt else Stmt | for P:For Stmt | await? foreach P:For Stmt | while P:Args Stmt | do Stmt while P:Args ; | try C:Block Catch* Fin? | switch P:Args C:Switch | return E? ; | return ref E ; | throw E? ; | break ; | continue ; | goto i ; | i : Stmt | C:Block | using P:Res Stmt | await? using Vars ; | lock P:Args Stmt | yield return E ; | yield break ; | mod* T i P:Params FB | ; | mod C:Block | fixed P:Res Stmt
+Stmt: Vars ; | mod Vars ; | E ; | if P:Args Stmt | if P:Args Stmt else Stmt | for P:For Stmt | await? foreach P:For Stmt | while P:Args Stmt | do Stmt while P:Args ; | try C:Block Catch* Fin? | switch P:Args C:Switch | return E? ; | return ref E ; | throw E? ; | break ; | continue ; | goto i ; | i : Stmt | C:Block | using P:Res Stmt | await? using Vars ; | lock P:Args Stmt | yield return E ; | yield break ; | mod* T i P:Params FB | ; | mod C:Block | checked C:Block | fixed P:Res Stmt
 Catch: catch P:CP? When? C:Block
 When: when P:Args
 CP: T i?
@@ -105,6 +108,7 @@ Res: Vars | E
 CaseI: Case | Stmt
 Case: case E When? : Stmt* | default : Stmt* | case T i When? : Stmt*
 ArmE: E => E | E when E => E
+TA: Attr* mod? T | Attr* in T
 """
 
 GO = EXPRESSION + """
@@ -148,12 +152,15 @@ E: U | E Bin U | U .. U | U .. | .. U | ..
 U: return E | return | break E | break | break Lb E? | continue Lb? | Clo
 Lb: lt
 Bin: op | pm | * | & | < | > | = | asg | as T Bin
-U: Pre U | Post | Post as T | let Pat = U
+U: Pre U | Post | Post as T
+Cond: E | Lets
+Lets: Let | E op Let | Lets op Let
+Let: let Pat = E
 Pre: pm | ! | * | & | & mut | & Lb mut?
 Post: Prim | Post . i | Post . v | Post . await | Post P:Args | Post B:Args | Post ? | Post ! P | Post ! B | Post ! C
 Prim: i | v | P:Args | B:Args | Block | i C:Inits
-Block: C:Block | unsafe C:Block | async move? C:Block | const C:Block | if E C:Block Else? | match E C:Arms | loop C:Block | while E C:Block | for Pat in E C:Block | Lb : Block
-Else: else C:Block | else if E C:Block Else?
+Block: C:Block | unsafe C:Block | async move? C:Block | const C:Block | if Cond C:Block Else? | match E C:Arms | loop C:Block | while Cond C:Block | for Pat in E C:Block | Lb : Block
+Else: else C:Block | else if Cond C:Block Else?
 Clo: move? Bars E | async? move? Bars E | move? Bars -> T C:Block
 Bars: op | bars
 Arg: E | E ; E | C
@@ -188,7 +195,8 @@ let1: let Pat LT? | let Pat LT? = E | let Pat LT? = E else C:Block
 LT: : T
 Tail: Stmt* E?
 Arm: Attr* op? Pat Guard? => E | Attr* op? Pat Guard? => E ,
-Guard: if E
+Guard: if Cond
+TA: lt | lt : Bs | T | i : Bs | i : | i : Bs = T | i = T | v | pm v | Block | const i : T | const i : T = Arg
 """
 
 SCRIPT = EXPRESSION + """
@@ -244,6 +252,8 @@ MKs: mod | declare | readonly
 Class: MKs+ class i Heri? Imp? C:Body | Deco* class i? Heri? Imp C:Body
 Imp: implements Ts
 Ts: T | Ts , T
+TA: TV* T | TV* i extends T | TV* i extends T = T | TV* i = T
+TV: const | in
 Param: MP* Bind Opt? VT | MP* Bind VT = E | MP* Bind Opt | ... Bind VT | this VT | MP+ Bind
 MP: mod | readonly | Deco
 Decl: TD
@@ -350,9 +360,11 @@ SEQUENCES = {
     "java": [("Block", "Stmt"), ("Body", "Member"), ("Switch", "CaseI")],
     "csharp": [("Block", "Stmt"), ("Body", "Member"), ("Switch", "CaseI"), ("Props", "Prop"), ("Top", "Top")],
     "go": [("Block", "Stmt"), ("Switch", "CaseI"), ("SBody", "Field"), ("IBody", "IMem")],
-    "rust": [("Block", "Tail"), ("Items", "Item"), ("Arms", "Arm")],
+    "rust": [("Block", "Stmt"), ("Items", "Item"), ("Arms", "Arm")],
     "javascript": [("Block", "Stmt"), ("Body", "Member"), ("Switch", "CaseI")],
     "typescript": [("Block", "Item"), ("Body", "Member"), ("Switch", "CaseI"), ("Members", "MemI")],
     "python": [], "json": [],
 }
+#: The last stretch of a sequence where it may be another thing than those before it.
+LAST_ITEMS = {"rust": {"Block": "Tail"}}
 TOPS = {"java": "Top", "csharp": "Top", "go": "Top", "rust": "Item", "javascript": "Item", "typescript": "Item", "python": "Line", "json": "Top"}

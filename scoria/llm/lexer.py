@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cache
 
 from scoria.llm.grammars import GRAMMARS, grammar
@@ -32,12 +33,28 @@ MODIFIERS = {
     "csharp": "public private protected internal static readonly sealed abstract virtual override extern unsafe volatile const out params in async partial file required explicit implicit",
     "typescript": "public private protected abstract override",
 }
+#: Reserved words that stand like a name or like another word.
+ALIKE = {"csharp": {"base": "i", "typeof": "i", "sizeof": "i", "unchecked": "checked"}}
 LITERAL_WORDS = {"java": "true false null", "csharp": "true false null", "javascript": "true false null", "typescript": "true false null", "rust": "true false", "python": "True False None", "go": ""}
 
 DOUBLE, SINGLE, BACK = r'"[^"\\\n]*(?:\\(?:\r\n|[\s\S])[^"\\\n]*)*"', r"'[^'\\\n]*(?:\\(?:\r\n|[\s\S])[^'\\\n]*)*'", r"`[^`]*`"
 CHAR = r"'(?:[^'\\\n]|\\(?:[^u]|u\{?[0-9A-Fa-f]+\}?)[0-9a-fA-F]*)'"
 SLASHES, STARS = r"//[^\n]*", r"/\*[\s\S]*?\*/"
-NUMBER = r"(?:0[xXbBoO][\w]+|(?:\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[a-zA-Z_]*\d*"
+DIGITS = r"\d(?:_?\d|_(?=_))*"
+#: How each language writes numbers. Longer runs of letters and digits are no number.
+EXPONENT = rf"(?:[eE][+-]?{DIGITS})?"
+#: A decimal number; a point without digits after it needs other than a name or point to follow.
+DECIMAL = rf"(?:{DIGITS}(?:\.(?![.\w])|\.{DIGITS})?|\.{DIGITS}){EXPONENT}"
+NUMBERS = {
+    "java": rf"0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB][01_]+[lL]?|{DECIMAL}[lLfFdD]?",
+    "csharp": rf"0[xX][\da-fA-F_]+[uUlL]{{0,2}}|0[bB][01_]+[uUlL]{{0,2}}|{DECIMAL}(?:[fFdDmM]|[uUlL]{{1,2}})?",
+    "go": rf"0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?i?|0[bB][01_]+i?|0[oO][0-7_]+i?|(?:{DIGITS}(?:\.(?!\.)(?:{DIGITS})?)?|\.{DIGITS}){EXPONENT}i?",
+    "rust": rf"(?:0x[\da-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f(?:16|32|64|128))?",
+    "javascript": rf"0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:0|[1-9](?:_?\d)*)n|{DECIMAL}",
+    "python": rf"0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:{DIGITS}\.(?:{DIGITS})?|{DIGITS}|\.{DIGITS})(?:[eE][+-]?{DIGITS})?[jJ]?",
+    "json": r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?",
+}
+NUMBERS["typescript"] = NUMBERS["javascript"]
 OPERATOR = r">>>=|<<=|>>=|\*\*=|&&=|\|\|=|\?\?=|\.\.\.|\.\.=|===|!==|<=>|[-+*/%&|^]=|==|!=|<=|>=|&&|\|\||\?\?|->|=>|::|:=|<-|\+\+|--|\.\.|\?\.(?!\d)|\*\*|<<|//|[^\w\s]"
 COMMENTS = {
     "java": f"{SLASHES}|{STARS}", "csharp": rf"{SLASHES}|{STARS}|(?m:^[ \t]*#[^\n]*)", "go": f"{SLASHES}|{STARS}", "rust": rf"{SLASHES}|{STARS}",
@@ -57,6 +74,9 @@ WORDS["javascript"] = r"#?(?:[^\W\d]|\$)[\w$]*"
 WORDS["typescript"] = WORDS["javascript"]
 REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
 LIFETIME, BARS = re.compile(r"'[^\W\d]\w*(?!')").match, re.compile(r"\|[^|\n;{]*\|").match
+RUN = re.compile(r"\w+").match
+#: What follows a comparison, not a list of types, in TypeScript.
+COMPARED = re.compile(r"\s*(?!(?:extends|implements|as|satisfies|in|of|is|from)\b)[\w$\"'-]").match
 CLOSERS = {"(": ")", "[": "]", "{": "}"}
 #: Classes of operators; those not named are binary ones.
 OPERATORS = {o: o for o in "* & < > ! ~ ? : . , ; @ # = ( ) [ ] { } -> => :: ... .. ?. :=".split()} | {"+": "pm", "-": "pm", "++": "inc", "--": "inc", "..=": "..", "<-": "arrow"} | {o: "asg" for o in ">>>= <<= >>= **= &&= ||= ??= += -= *= /= %= &= |= ^=".split()}
@@ -70,28 +90,69 @@ def tables(language: str) -> tuple:
     soft = set(IN_PLACES[language].split())
     hard = set(RESERVED[language].split()) - soft
     words = {w: w if w in used else "kw" for w in hard} | {w: f"~{w}" for w in soft} | {w: "v" for w in LITERAL_WORDS.get(language, "").split()}
+    words |= ALIKE.get(language, {})
     for w in MODIFIERS.get(language, "").split():
         words[w] = "~mod" if w in soft else "mod"
-    number = r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?!\w)" if language == "json" else NUMBER
-    pattern = re.compile(rf"(?P<w>[ \t\f\r﻿]+)|(?P<n>\n)|(?P<c>{COMMENTS[language]})|(?P<s>{STRINGS[language]})|(?P<d>{number})|(?P<i>{WORDS[language]})|(?P<o>{OPERATOR})")
+    pattern = re.compile(rf"[ \t\f\r﻿]*(?:(?P<n>\n)|(?P<g>(?m:^(?:<{{7}}|={{7}}|>{{7}}|\|{{7}})(?:[ \t][^\n]*)?$))|(?P<c>{COMMENTS[language]})|(?P<s>{STRINGS[language]})|(?P<d>(?:{NUMBERS[language]})(?!\w))|(?P<i>{WORDS[language]})|(?P<o>{OPERATOR}))")
     return pattern.match, words, used
 
 
-def _angles(text: str, at: int) -> int:
-    """The place after a list of types in angle brackets that begins at `at`, or 0 if it is none."""
+#: Languages with lists of types in angle brackets, and words that stand in none of them.
+ANGLES = frozenset(["java", "csharp", "rust", "typescript"])
+NOT_IN_TYPES = frozenset("return if else while do switch case break continue throw try catch var let function class import package".split())
+PLAIN_ANGLES = re.compile(r"<[\w\s,.?\[\]:']*>").match
+BEFORE_BRACES = frozenset("< , | & = : ( [ ; { => extends keyof".split())
+
+
+def _angles(language: str, text: str, at: int) -> int:
+    """The place after a list of types in angle brackets that begins at `at`, or 0 if it is none.
+
+    Strings, comments and brackets inside are passed over whole; whatever no type has ends the search.
+    """
     if at + 1 >= len(text) or text[at + 1].isspace():
         return 0
-    depth = 0
-    for i in range(at, min(len(text), at + 400)):
-        ch = text[i]
-        if ch == "<":
-            depth += 1
-        elif ch == ">" and text[i - 1] not in "-=":
-            depth -= 1
-            if not depth:
-                return i + 1
-        elif ch in ";\"`" or text.startswith(("&&", "||", "=="), i):
+    plain = PLAIN_ANGLES(text, at)
+    if plain:
+        return plain.end()
+    match, words, _ = tables(language)
+    inside, pos, before = [], at, ""
+    while pos < len(text):
+        m = match(text, pos)
+        if not m:
+            return 0
+        kind = m.lastgroup
+        token, start, pos = m.group(kind), m.start(kind), m.end()
+        if kind == "n" or kind == "c":
+            continue
+        if kind == "g" or kind == "i" and token in NOT_IN_TYPES:
             return 0
+        if kind == "o":
+            if token == "'" and language == "rust" or token == "`" and language == "typescript":
+                lifetime = LIFETIME(text, start) if token == "'" else None
+                pos, before = lifetime.end() if lifetime else _template(text, start) if token == "`" else 0, token
+                if not pos:
+                    return 0
+                continue
+            if token == "<":
+                inside.append(">")
+            elif token[0] == ">":
+                if not inside or inside.pop() != ">":
+                    return 0
+                pos = start + 1
+                if not inside:
+                    return pos
+            elif token in ("(", "["):
+                inside.append(CLOSERS[token])
+            elif token == "{":
+                if not (language == "typescript" and before in BEFORE_BRACES or language == "rust" and before in ("<", ",", "=")):
+                    return 0
+                inside.append("}")
+            elif token in (")", "]", "}"):
+                if not inside or inside.pop() != token:
+                    return 0
+            elif token == ";" and inside[-1] not in ("}", "]") or token in ("&&", "||", "==", "!=", "<=", "++", "--", "===", "!==", '"', "\\", "<<"):
+                return 0
+        before = token
     return 0
 
 
@@ -124,10 +185,14 @@ ENDS_SCRIPT = frozenset(["i", "q", "v", "inc", ")", "]", "}", "this", "super", "
 GOES_ON = frozenset(["op", "pm", "*", "&", "<", ">", "=", "asg", "?", ":", ".", ",", ";", "=>", "?.", "(", "[", "in", "instanceof", "else", "catch", "finally", ")", "]", "{", "~as", "~satisfies", "~of", "..."])
 
 
-def lex(language: str, text: str) -> tuple[list[str], list[int], list[tuple[int, str]]]:
-    """Classes, lines (from 1), and lexical errors as (line, what); an error's character has no class."""
+def lex(language: str, text: str, faults: Callable[[str], int] = lambda types: 0) -> tuple[list[str], list[int], list[tuple[int, str]]]:
+    """Classes, lines (from 1), and lexical errors as (line, what); an error's character has no class.
+
+    Lists of types in angle brackets have no class either; `faults` tells how many edits one needs. A line that a merge
+    left as its marker is one error.
+    """
     match, words, _ = tables(language)
-    script, go, rust = language in ("javascript", "typescript"), language == "go", language == "rust"
+    script, go, rust, angled = language in ("javascript", "typescript"), language == "go", language == "rust", language in ANGLES
     classes: list[str] = []
     lines: list[int] = []
     errors: list[tuple[int, str]] = []
@@ -138,16 +203,24 @@ def lex(language: str, text: str) -> tuple[list[str], list[int], list[tuple[int,
     after_condition = False
     while pos < n:
         m = match(text, pos)
-        kind = m.lastgroup if m else None
-        if kind == "w":
-            pos = m.end()
-            continue
+        if m:
+            kind = m.lastgroup
+            pos = m.start(kind)
+        else:
+            kind = None
+            while pos < n and text[pos] in " \t\f\r\ufeff":
+                pos += 1
+            if pos == n:
+                break
         if kind == "n":
             pos, line, fresh = pos + 1, line + 1, True
             continue
+        if kind == "g":
+            errors.append((line, "conflict"))
+            pos = m.end()
+            continue
         if kind == "c":
-            body = m.group()
-            k = body.count("\n")
+            k = text.count("\n", pos, m.end())
             line, fresh, pos = line + k, fresh or k > 0, m.end()
             continue
         last = classes[-1] if classes else ""
@@ -163,7 +236,7 @@ def lex(language: str, text: str) -> tuple[list[str], list[int], list[tuple[int,
         elif kind == "d":
             end, cls = m.end(), "v"
         elif kind == "i":
-            end, word = m.end(), m.group()
+            end, word = m.end(), m.group(kind)
             if language == "json":
                 cls = "v" if word in ("true", "false", "null") else "kw"
             else:
@@ -174,17 +247,18 @@ def lex(language: str, text: str) -> tuple[list[str], list[int], list[tuple[int,
             end, cls = m2.end(), "lt"
         elif rust and ch == "|" and last not in ("i", "q", "v", ")", "]", "}", "?", "..") and not text.startswith("||", pos) and (m2 := BARS(text, pos)) and last != "op" and last != "=>":
             end, cls = m2.end(), "bars"
-        elif ch == "<" and (last in ("i", "q", "impl", "fn", "for", "~default", "function", "class") or last[:1] == "~") and (pos and not text[pos - 1].isspace() or last in ("mod", "~mod")) or ch == "<" and (last in ("::", "mod", "~mod") or language == "java" and last in ("{", "}", ";")):
-            end = _angles(text, pos)
-            if end:
+        elif ch == "<" and angled and ((last in ("i", "q", "impl", "fn", "for", "~default", "function", "class") or last[:1] == "~") and (pos and not text[pos - 1].isspace() or last in ("mod", "~mod")) or last in ("::", "mod", "~mod") or language == "java" and last in ("{", "}", ";", ".") or language == "typescript" and last in ("=", "(", ",", "=>", "return", ":", "~async", "?", "op")):
+            end = _angles(language, text, pos)
+            if end and not (language == "typescript" and COMPARED(text, end)):
+                errors += [(line, "types")] * faults(text[pos + 1 : end - 1])
                 line += text.count("\n", pos, end)
                 pos = end
                 if last == "::":
                     classes.pop(), lines.pop()
                 continue
-            end, cls = m.end(), OPERATORS.get(m.group(), "op")
+            end, cls = m.end(), OPERATORS.get(m.group(kind), "op")
         elif kind == "o":
-            op = m.group()
+            op = m.group(kind)
             if op == "//" and language != "python" or ch in "\"'`\\" or ch in "$" or not (op in OPERATORS or op in BINARY):
                 cls = ""
             else:
@@ -194,6 +268,12 @@ def lex(language: str, text: str) -> tuple[list[str], list[int], list[tuple[int,
         if not cls or not end:
             quote = ch in "\"'`" or text.startswith("/*", pos)
             errors.append((line, "unterminated" if quote else "character"))
+            if ch.isdigit():
+                # A number with letters that belong to none is one fault and stands as a number.
+                pos = RUN(text, pos).end()
+                classes.append("v"), lines.append(line)
+                fresh = False
+                continue
             stop = text.find("\n", pos) if ch in "\"'" and not text.startswith(('"""', "'''"), pos) and not rust else n if quote else pos + 1
             pos = n if stop < 0 else stop
             continue

@@ -4,45 +4,43 @@ from __future__ import annotations
 
 import ast
 import json
-import re
+import warnings
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoria.llm.chart import Grammar
-from scoria.llm.grammars import LISTS, SEMICOLON_LISTS, SEQUENCES, TOPS, WHOLES, grammar
-from scoria.llm.lexer import BINARY, CLOSERS, LANGUAGES, OPERATORS, lex, tables
+from scoria.llm.grammars import LAST_ITEMS, LISTS, SEMICOLON_LISTS, SEQUENCES, TOPS, WHOLES, grammar
+from scoria.llm.lexer import BINARY, CLOSERS, LANGUAGES, OPERATORS, RUN, lex, tables
 from scoria.operators.snapshots import latest_rows
 
 #: What may come after a bracket in braces so that the statement goes on.
 CONTINUES = frozenset(["else", "catch", "finally", "while", "~while", "op", "pm", "*", "&", "<", ">", "=", "asg", "?", ":", ".", ",", ";", "=>", "?.", "as", "~as", "in", "instanceof", "is", "inc", "where", "~where", "from", "~from", "!", "~get", "~set", "->"])
-MARKERS = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:\s|$)", re.M)
-#: Stretches of more tokens aren't repaired one token at a time, but count as one edit per so many tokens.
-LONG = 60
-#: Longer stretches are folded before they are parsed.
-FOLD = 400
-HEADS, OPERANDS = frozenset(["if", "for", "switch"]), frozenset(["i", "q", "v"])
-
-
-def _folded(part: tuple) -> tuple:
-    """A long stretch with each plain `operand operator operand` taken as one operand and longer lists of equal operands
-    as lists of three, which changes nothing in what it derives from."""
-    if len(part) <= FOLD:
-        return part
+HEADS = frozenset(["if", "for", "switch"])
+#: How the lines begin that a merge leaves.
+MARKS = frozenset(c * 7 for c in "<=>|")
+#: A repetition counts as so many copies at most when a stretch is matched: no rule of the grammars counts further.
+COPIES, PERIODS = 3, (1, 2, 3, 4)
+
+
+def condensed(part: tuple) -> tuple:
+    """A stretch in which no run of up to four tokens comes more than three times in a row.
+
+    It derives from a nonterminal if and only if the stretch as it is does; chains of operators, calls and else-ifs of
+    any length become short. Costs are never taken from it.
+    """
     out: list = []
-    for i, t in enumerate(part):
-        following = part[i + 1] if i + 1 < len(part) else ";"
-        if t in OPERANDS and len(out) > 1 and out[-1] in ("op", "pm") and out[-2] in OPERANDS and isinstance(following, str) and following in ("op", "pm", ",", ";"):
-            out.pop()
-            out[-1] = "v"
-        else:
-            out.append(t)
-        if out[-1] in OPERANDS and len(out) > 6 and out[-2] == out[-4] == out[-6] == "," and out[-1] == out[-3] == out[-5] == out[-7] and following == ",":
-            del out[-2:]
-    return tuple(out)
+    for t in part:
+        out.append(t)
+        for p in PERIODS:
+            if len(out) > COPIES * p and t == out[-1 - p] and all(out[-p:] == out[-p * (k + 1) : -p * k] for k in range(1, COPIES + 1)):
+                del out[-p:]
+                break
+    return tuple(out) if len(out) < len(part) else part
 
 
 def _chunks(tokens: list, ends: frozenset[str], headers: bool = False) -> Iterator[tuple[int, int]]:
@@ -66,6 +64,16 @@ def _chunks(tokens: list, ends: frozenset[str], headers: bool = False) -> Iterat
         yield start, len(tokens)
 
 
+class Repair(NamedTuple):
+    """Cost, lines to edit, whether the text breaks off at its end, lines of brackets that close nothing, and whether a merge left its markers."""
+
+    cost: int
+    spots: list[int]
+    open_end: bool
+    loose: list[int]
+    conflict: bool
+
+
 class Checker:
     """Repair costs of one language's token lists, each distinct stretch being parsed once."""
 
@@ -74,15 +82,30 @@ class Checker:
         self.everything = frozenset([label for lists in LISTS[language].values() for label, _ in lists] + [label for label, _ in SEQUENCES[language]] + [x for xs in WHOLES[language].values() for x in xs] + ["Empty"])
         self.semicolons, self.headers = language in ("javascript", "typescript", "go"), language == "go"
         self.seen: dict = {}
+        self.types: dict[str, int] = {}
 
     def _closed(self, tokens: tuple) -> tuple:
         """The last statement before a closing brace may lack its semicolon in some languages."""
         return (*tokens, ";") if self.semicolons and tokens and tokens[-1] != ";" else tokens
 
-    def fits_all(self, item: str, tokens: list, ends: frozenset[str]) -> bool:
+    def derives(self, item: str, part: tuple) -> bool:
+        """Whether a stretch derives from an item without any edit."""
+        known, key = self.grammar.recognized, (item, part)
+        if key not in known:
+            found = self.grammar.matches(item, condensed(part))
+            known[key] = found
+        return known[key]
+
+    def pieces(self, label: str, item: str, tokens: list, ends: frozenset[str]) -> Iterator[tuple[str, int, int]]:
+        """The stretches of a sequence with the nonterminal that each must derive from; the last may have one of its own."""
+        last = LAST_ITEMS.get(self.language, {}).get(label)
         for a, b in _chunks(tokens, ends, self.headers):
-            part = _folded(tuple(tokens[a:b]))
-            if not self.grammar.matches(item, part) and not (self.semicolons and part[-1] != ";" and self.grammar.matches(item, (*part, ";"))):
+            yield (last if last and b == len(tokens) else item + "*"), a, b
+
+    def fits_all(self, label: str, item: str, tokens: list, ends: frozenset[str]) -> bool:
+        for what, a, b in self.pieces(label, item, tokens, ends):
+            part = tuple(tokens[a:b])
+            if not self.derives(what, part) and not (self.semicolons and part[-1] != ";" and self.derives(what, (*part, ";"))):
                 return False
         return True
 
@@ -90,26 +113,36 @@ class Checker:
         """Whether the tokens are items with one semicolon between each two."""
         at = 0
         for i in [*(i for i, t in enumerate(tokens) if t == ";"), len(tokens)]:
-            if not self.grammar.matches(item, _folded(tuple(tokens[at:i]))):
+            if not self.derives(item, tuple(tokens[at:i])):
                 return False
             at = i + 1
         return True
 
-    def is_whole(self, label: str, tokens: tuple) -> bool:
-        """Whether the tokens derive from the label; long ones are also tried folded, if they can match at all."""
-        g = self.grammar
-        if len(tokens) <= FOLD:
-            return g.matches(label, tokens)
-        return g.possible(label, tokens) and (g.matches(label, tokens) or g.matches(label, _folded(tokens)))
+    def faults(self, types: str) -> int:
+        """Edits that a list of types in angle brackets needs; none may be written at all in some places."""
+        if types not in self.types:
+            if len(self.types) > 100_000:
+                self.types.clear()
+            classes, lines, errors = lex(self.language, types, self.faults)
+            cost, tokens, _, _ = self.brackets(classes, lines, [], [])
+            parts, at = [], 0
+            for i in [*(i for i, t in enumerate(tokens) if t == ","), len(tokens)]:
+                parts.append(tuple(tokens[at:i]))
+                at = i + 1
+            if any(parts) and self.language in ("rust", "typescript") and not parts[-1]:
+                parts.pop()
+            blank = not any(parts) and (self.language != "typescript")
+            self.types[types] = cost + len(errors) + (0 if blank else sum(0 if self.derives("TA", p) else self.grammar.cost("TA", p) for p in parts))
+        return self.types[types]
 
     def labels(self, kind: str, tokens: list) -> frozenset[str]:
         """The nonterminals that the contents of a bracket derive from."""
         if not tokens:
             return self.everything - {x for xs in WHOLES[self.language].values() for x in xs} if self.language != "python" else frozenset(["Empty", "Args", "Params"])
-        key = (kind, *tokens) if len(tokens) <= 400 else None
+        key = (kind, *tokens)
         if key in self.seen:
             return self.seen[key]
-        g, found = self.grammar, set()
+        found = set()
         parts, at = [], 0
         plain = tokens[:-1] if tokens[-1] == ";" and self.semicolons else tokens
         for i, t in enumerate(plain):
@@ -121,49 +154,59 @@ class Checker:
         for label, item in LISTS[self.language].get(kind, ()):
             if self.language == "json" and not rest:
                 continue
-            if all(g.matches(item, p) if p else self.semicolons and kind == "B" for p in parts):
+            if all(self.derives(item, p) if p else self.semicolons and kind == "B" for p in parts):
                 found.add(label)
         for label in WHOLES[self.language].get(kind, ()):
             item = SEMICOLON_LISTS.get(self.language, {}).get(label)
-            if self.separated(item, plain) if item else self.is_whole(label, tuple(tokens)) or plain is not tokens and self.is_whole(label, tuple(plain)):
+            if self.separated(item, plain) if item else self.derives(label, tuple(tokens)) or plain is not tokens and self.derives(label, tuple(plain)):
                 found.add(label)
         if kind == "C":
             for label, item in SEQUENCES[self.language]:
-                if self.fits_all(item + "*", tokens, frozenset(";,") if label == "Arms" else frozenset(";")):
+                if self.fits_all(label, item, tokens, frozenset(";,") if label == "Arms" else frozenset(";")):
                     found.add(label)
         result = frozenset(found)
-        if key is not None:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            self.seen[key] = result
+        if len(self.seen) > 100_000:
+            self.seen.clear()
+        self.seen[key] = result
         return result
 
     def repair(self, kind: str, tokens: list, lines: list[int], spots: list[int]) -> int:
         """The least cost of making contents fit; the lines of the stretches to edit are added to spots."""
-        options = [(item, frozenset(",")) for _, item in LISTS[self.language].get(kind, ())]
+        options = [("", item, frozenset(",")) for _, item in LISTS[self.language].get(kind, ())]
         if kind == "C":
-            options += [(item + "*", frozenset(";")) for _, item in SEQUENCES[self.language]]
-        best = None
-        for item, ends in options:
+            options += [(label, item, frozenset(";")) for label, item in SEQUENCES[self.language]]
+        tried = []
+        for label, item, ends in options:
             bad = []
-            for a, b in _chunks(tokens, ends, self.headers):
-                part = tuple(x for x in tokens[a:b] if x != ",") if ends == frozenset(",") and tokens[b - 1] == "," else tuple(tokens[a:b])
-                if part and not self.grammar.matches(item, part) and not self.grammar.matches(item, self._closed(part)):
-                    bad.append((item, part, lines[a]))
-            if best is None or len(bad) < len(best):
-                best = bad
-        if not best:
-            return 1
-        spots += [at for _, _, at in best]
-        return sum(self.cost(item, part) for item, part, _ in best)
+            commas = ends == frozenset(",")
+            for what, a, b in ((item, a, b) for a, b in _chunks(tokens, ends, self.headers)) if commas else self.pieces(label, item, tokens, ends):
+                part = tuple(x for x in tokens[a:b] if x != ",") if commas and tokens[b - 1] == "," else tuple(tokens[a:b])
+                if part and not self.derives(what, part) and not self.derives(what, self._closed(part)):
+                    bad.append((what, part, lines[a]))
+            tried.append(bad)
+        # Each bad stretch needs an edit at least: once an option has as many as the best one costs, none can be better.
+        least, found = 1 << 30, []
+        for bad in sorted(tried, key=len):
+            if len(bad) >= least:
+                break
+            total = 0
+            for k, (what, part, _) in enumerate(bad):
+                total += self.cost(what, part)
+                if total + len(bad) - k - 1 >= least:
+                    break
+            else:
+                least, found = total, bad
+        spots += [at for _, _, at in found]
+        return max(1, least)
 
     def cost(self, item: str, part: tuple) -> int:
-        return min(self.grammar.cost(item, part), self.grammar.cost(item, self._closed(part))) if len(part) <= LONG else max(1, len(part) // LONG)
+        return min(self.grammar.cost(item, part), self.grammar.cost(item, self._closed(part)))
 
-    def brackets(self, classes: list[str], lines: list[int], spots: list[int]) -> tuple[int, list, list[int], int]:
+    def brackets(self, classes: list[str], lines: list[int], spots: list[int], loose: list[int]) -> tuple[int, list, list[int], int]:
         """Cost, tokens and lines of the outermost level with brackets folded, and the number still open at the end.
 
-        A closer that fits an outer bracket ends those inside it at one insertion each; one that fits none is dropped.
+        A closer that fits an outer bracket ends those inside it at one insertion each; one that fits none is dropped and
+        its line added to loose.
         """
         cost, stack = 0, []
         tokens: list = []
@@ -190,6 +233,7 @@ class Checker:
                 if fit is None:
                     cost += 1
                     spots.append(line)
+                    loose.append(line)
                     continue
                 while len(stack) > fit + 1:
                     cost += 1
@@ -206,45 +250,47 @@ class Checker:
             close()
         return cost, tokens, at, unclosed
 
-    def check(self, text: str) -> tuple[int, list[int], bool]:
-        """Repair cost, lines to edit, and whether the text breaks off at its end."""
+    def check(self, text: str) -> Repair:
         if self.language == "python":
             return self._python(text)
-        classes, lines, errors = lex(self.language, text)
+        classes, lines, errors = lex(self.language, text, self.faults)
         spots = [line for line, _ in errors]
-        cost, tokens, at, unclosed = self.brackets(classes, lines, spots)
+        loose: list[int] = []
+        cost, tokens, at, unclosed = self.brackets(classes, lines, spots, loose)
         cost += len(errors)
         start = TOPS[self.language]
-        if self.language == "json":
-            if not self.grammar.matches(start, tuple(tokens)):
-                cost += self.cost(start, tuple(tokens)) 
-                spots.append(at[0] if at else 1)
-        else:
-            for a, b in _chunks(tokens, frozenset(";"), self.headers):
-                part = _folded(tuple(tokens[a:b]))
-                if not self.grammar.matches(start + "*", part) and not self.grammar.matches(start + "*", self._closed(part)):
-                    cost += self.cost(start + "*", part)
-                    spots.append(at[a])
-        return cost, spots, unclosed > 0 or any(what == "unterminated" for _, what in errors)
-
-    def _python(self, text: str) -> tuple[int, list[int], bool]:
-        """Logical lines are parsed one by one; indentation must open after each head and close to an outer level."""
+        whole = [(start, 0, len(tokens))] if self.language == "json" else [(start + "*", a, b) for a, b in _chunks(tokens, frozenset(";"), self.headers)]
+        for what, a, b in whole:
+            part = tuple(tokens[a:b])
+            if not self.derives(what, part) and not self.derives(what, self._closed(part)):
+                cost += self.cost(what, part)
+                spots.append(at[a] if at else 1)
+        return Repair(cost, spots, unclosed > 0 or any(what == "unterminated" for _, what in errors), loose, any(what == "conflict" for _, what in errors))
+
+    def _python(self, text: str) -> Repair:
+        """Logical lines are parsed one by one; indentation must open after each head and close to an outer level, and
+        mean the same whatever the width of a tab."""
         classes, lines, starts, indents, errors = _python_lines(text)
+        loose: list[int] = []
         spots = [line for line, _ in errors]
         cost, open_end = len(errors), any(what == "unterminated" for _, what in errors)
-        levels, expect, before = [0], False, {}
-        for tokens, at, start, indent in zip(classes, lines, starts, indents, strict=True):
-            c, folded, _, unclosed = self.brackets(tokens, at, spots)
+        levels, narrow, expect, before = [0], [0], False, {}
+        for tokens, at, start, (indent, thin) in zip(classes, lines, starts, indents, strict=True):
+            c, folded, _, unclosed = self.brackets(tokens, at, spots, loose)
             open_end |= unclosed > 0
-            part = _folded(tuple(folded))
-            if not self.grammar.matches("Line", part):
+            part = tuple(folded)
+            if not self.derives("Line", part):
                 c += self.cost("Line", part)
                 spots.append(start)
             if indent > levels[-1]:
                 if not expect:
                     c += 1
                     spots.append(start)
+                if thin <= narrow[-1]:
+                    c += 1
+                    spots.append(start)
                 levels.append(indent)
+                narrow.append(thin)
                 before.pop(indent, None)
             else:
                 if expect:
@@ -252,10 +298,14 @@ class Checker:
                     spots.append(start)
                 while levels[-1] > indent:
                     before.pop(levels.pop(), None)
+                    narrow.pop()
                 if levels[-1] != indent:
+                    levels.append(indent)
+                    narrow.append(-1)
+                if narrow[-1] != thin:
                     c += 1
                     spots.append(start)
-                    levels.append(indent)
+                    narrow[-1] = thin
             first = tokens[1] if tokens[0] == "async" and len(tokens) > 1 else tokens[0]
             allowed = {"else": ("if", "elif", "for", "while", "try", "except"), "elif": ("if", "elif"), "except": ("try", "except"), "finally": ("try", "except", "else")}
             prior = before.get(indent)
@@ -268,16 +318,17 @@ class Checker:
         if expect or "@" in before.values() or "try" in before.values():
             cost, open_end = cost + 1, True
             spots.append(starts[-1])
-        return cost, spots, open_end
+        return Repair(cost, spots, open_end, loose, any(what == "conflict" for _, what in errors))
 
 
 def _python_lines(text: str) -> tuple[list, list, list, list, list]:
-    """Classes and lines of each logical line, where it starts and how far it is indented; lexical errors as lex() has them."""
+    """Classes and lines of each logical line, where it starts and how far it is indented, at tabs of eight and of one;
+    lexical errors as lex() has them."""
     match, words, _ = tables("python")
     out: tuple[list, list, list, list, list] = ([], [], [], [], [])
     tokens: list[str] = []
     at: list[int] = []
-    pos, n, line, depth, begin, indent = 0, len(text), 1, 0, True, 0
+    pos, n, line, depth, begin, indent = 0, len(text), 1, 0, True, (0, 0)
 
     def end() -> None:
         nonlocal tokens, at
@@ -293,12 +344,25 @@ def _python_lines(text: str) -> tuple[list, list, list, list, list]:
             stop = pos
             while stop < n and text[stop] in " \t\f﻿":
                 stop += 1
-            indent, begin = len(text[pos:stop].replace("﻿", "").expandtabs()), False
-            pos = stop
-            continue
+            blanks = text[pos:stop].replace("﻿", "")
+            indent, begin = (len(blanks.expandtabs()), len(blanks)), False
+            if text[stop : stop + 7] not in MARKS:
+                pos = stop
         m = match(text, pos)
         kind = m.lastgroup if m else None
-        if kind in ("w", "c"):
+        if m:
+            pos = m.start(kind)
+        else:
+            while pos < n and text[pos] in " \t\f\r\ufeff":
+                pos += 1
+            if pos == n:
+                break
+        if kind == "c":
+            pos = m.end()
+            continue
+        if kind == "g":
+            # A line that a merge left isn't part of any logical line.
+            out[4].append((line, "conflict"))
             pos = m.end()
             continue
         if kind == "n":
@@ -313,11 +377,11 @@ def _python_lines(text: str) -> tuple[list, list, list, list, list]:
         if kind is None or kind == "o" and text[pos] in "\"'\\$`":
             out[4].append((line, "unterminated" if text[pos] in "\"'" else "character"))
             stop = n if text.startswith(('"""', "'''"), pos) else text.find("\n", pos)
-            stop = n if stop < 0 else stop if text[pos] in "\"'" else pos + 1
+            stop = n if stop < 0 else stop if text[pos] in "\"'" else max(pos + 1, RUN(text, pos).end() if text[pos].isdigit() else 0)
             line += text.count("\n", pos, stop)
             pos = stop
             continue
-        word = m.group()
+        word = m.group(kind)
         cls = {"s": "v", "d": "v"}.get(kind) or (words.get(word, "i") if kind == "i" else OPERATORS.get(word, "op"))
         if kind == "o":
             if word in ("!", "?", "#", "::", "=>", "inc", "++", "--", "&&", "||", "===", "!==", "<=>", "??", "?.", "<-") and word not in BINARY | {"++", "--"}:
@@ -343,18 +407,25 @@ def checker(language: str) -> Checker:
     return Checker(language)
 
 
-def parses_exactly(language: str, text: str) -> bool:
-    """Whether the standard library's own parser takes the text; false for languages it has none for."""
+def own_parser(language: str, text: str) -> int | None:
+    """0 if the language's parser in the standard library takes the text, the line of its complaint if it doesn't, None
+    if there is no parser or it gives up."""
     try:
         if language == "python":
-            ast.parse(text)
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(text)
         elif language == "json":
             json.loads(text, parse_constant=lambda _: 1 / 0)
         else:
-            return False
-    except (SyntaxError, ValueError, ZeroDivisionError, RecursionError, MemoryError):
-        return False
-    return True
+            return None
+    except (RecursionError, MemoryError):
+        return None
+    except SyntaxError as e:
+        return e.lineno or 1
+    except (ValueError, ZeroDivisionError) as e:
+        return getattr(e, "lineno", 1)
+    return 0
 
 
 def check_file(language: str | None, text: str | None) -> tuple[int, str | None, list[int]]:
@@ -368,16 +439,22 @@ def check_file(language: str | None, text: str | None) -> tuple[int, str | None,
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     if not text.strip():
         return int(language == "json"), "truncated" if language == "json" else None, []
-    cost, spots, open_end = checker(language).check(text)
-    if not cost or parses_exactly(language, text):
+    r = checker(language).check(text)
+    cost = r.cost
+    # The chart is laxer or stricter than the language in some places; where its own parser is at hand, that decides.
+    exact = own_parser(language, text)
+    if exact == 0 or exact is None and not cost:
         return 0, None, []
+    if exact and not cost:
+        cost, r = 1, Repair(1, [exact], False, [], False)
     total = text.count("\n") + 1
-    edits = sorted(set(spots))
-    if MARKERS.search(text):
+    edits = sorted(set(r.spots))
+    if r.conflict:
         kind = "conflict"
-    elif len(edits) >= 4 and len(edits) * 8 >= total or len(edits) > 1 and edits[0] <= 2 and not open_end:
+    elif len(edits) >= 4 and len(edits) * 8 >= total or len(edits) > 1 and edits[0] <= 2 and not r.open_end and not r.loose:
         kind = "mismatch"
-    elif open_end or edits and edits[0] <= 2:
+    elif r.open_end or r.loose and edits[0] <= 2 and r.loose[0] > edits[0]:
+        # Broken off at the end, or at the beginning, so that brackets close further down that nothing opens.
         kind = "truncated"
     else:
         kind = "other"
@@ -395,8 +472,9 @@ def syntax_costs(files: DataFrame, expected: DataFrame) -> DataFrame:
     """(file_id, repo, language, cost, damage, edits), one row per file that has a text.
 
     cost is the least number of tokens to insert, drop or replace, found by error-correcting chart parsing bracket by
-    bracket and statement by statement; 0 means valid. damage tells truncation, merge conflict, wrong language and
-    other faults apart by where the edits are. The standard library's parser confirms files of Python and JSON.
+    bracket and statement by statement, a bracket with its contents being one token outside it; 0 means valid. damage
+    tells truncation, merge conflict, wrong language and other faults apart by where the edits are. For Python and JSON
+    the standard library's parser has the last word whether a file is valid; one it alone rejects costs 1.
 
     Defined cases: a null text is no case and gives no row; a null or unknown language costs 0; an empty text is valid
     outside JSON; byte order marks and any kind of line end are no fault; files delivered repeatedly count once; a file
