@@ -116,14 +116,20 @@ class Grammar:
                 return False
         return any(o == 0 and rules[r][0] == start and d == len(rules[r][1]) for r, d, o in chart[-1])
 
-    def cost(self, start: str, tokens: tuple) -> int:
-        """The least number of tokens to insert, drop or replace so that the rest derives from start."""
+    def cost(self, start: str, tokens: tuple, below: int = 1 << 30) -> int:
+        """The least number of tokens to insert, drop or replace so that the rest derives from start.
+
+        Of costs not below `below` no more is told than that.
+        """
         key = (start, tokens)
-        if key not in self.costs:
-            if len(self.costs) > 50_000:
-                self.costs.clear()
-            self.costs[key] = self._repair(start, tokens)
-        return self.costs[key]
+        known = self.costs.get(key)
+        if known is None:
+            known = self._repair(start, tokens, below)
+            if known < below:
+                if len(self.costs) > 50_000:
+                    self.costs.clear()
+                self.costs[key] = known
+        return known
 
     def _states(self) -> tuple:
         """Dotted rules as numbers: first states of each nonterminal, and per state the symbol after the dot (None at the end) and the rule's head."""
@@ -141,7 +147,7 @@ class Grammar:
             self.bounds[start] = Bounds(self, start)
         return self.bounds[start]
 
-    def _repair(self, start: str, tokens: tuple) -> int:
+    def _repair(self, start: str, tokens: tuple, below: int) -> int:
         """Chart parsing with error productions, items in order of a lower bound of the whole repair's cost.
 
         An item is a dotted rule, where it began and where it stands; its cost is the least to get there from the start.
@@ -160,7 +166,7 @@ class Grammar:
         waiting: dict[tuple, list] = {}
         complete: dict[tuple, dict] = {}
         queues: list[list[int]] = [[]]
-        least, goal = 0, n + len(symbols)
+        least, goal = 0, below
 
         def push(c: int, item: int) -> None:
             if c < best.get(item, 1 << 30):
@@ -171,6 +177,8 @@ class Grammar:
                         queues.append([])
                     queues[bound if bound > least else least].append(item)
 
+        if min(ahead[0][q] for q in predicted[start]) >= below:
+            return below
         for state in predicted[start]:
             push(0, state * square)
         while least < len(queues) and least < goal:

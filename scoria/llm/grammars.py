@@ -20,14 +20,15 @@ Top: package i ; | import static? i Star? ; | TypeD | ;
 Star: . *
 Mod: mod | default | Ann
 Ann: @ i P:Args?
-Kind: class | interface | enum | record | @ interface
-TypeD: Mod* Kind i P:Params? Ext* C:Body
+Kind: class | interface | record | @ interface
+TypeD: Mod* Kind i P:Params? Ext* C:Body | Mod* enum i Ext* C:Enums
 Ext: extends Ts | implements Ts | permits Ts
 Ts: T | Ts , T | T & Ts
 T: Ann* i Dim*
 Dim: B:Empty
 Thr: throws Ts
-Member: Mod* T i P:Params Dim* Thr? C:Block | Mod* T i P:Params Dim* Thr? ; | Mod* i P:Params Thr? C:Block | Mod* i C:Block | Vars ; | Mod* C:Block | TypeD | ; | Mod* T i P:Empty default E ; | Consts ; | Consts ,?
+Member: Mod* T i P:Params Dim* Thr? C:Block | Mod* T i P:Params Dim* Thr? ; | Mod* i P:Params Thr? C:Block | Mod* i C:Block | Vars ; | Mod* C:Block | TypeD | ; | Mod* T i P:Empty default E ;
+Enum: Consts? ,? ;?
 Consts: Const | Consts , Const
 Const: Ann* i P:Args? C:Body?
 Vars: Mod* T Vs
@@ -123,8 +124,8 @@ TSpec: i B:Params? = T | i B:Params? T
 TSpecs: TSpec | TSpec ; TSpecs | TSpec ;
 Ids: i | Ids , i
 T: i B:Args? | * T | B:Empty T | B:Args T | map B:Args T | chan T | arrow chan T | chan arrow T | func P:Params Res? | interface C:IBody | struct C:SBody | P:Args
-Field: Ids T v? ; | T v? ; | Ids T v? | T v?
-IMem: i P:Params Res? ; | T ; | Un ; | i P:Params Res?
+Field: Ids T v? ; | T v? ;
+IMem: i P:Params Res? ; | T ; | Un ;
 Un: UT | UT op Un
 UT: T | ~ T
 Param: Ids T | i ... T | T | ... T
@@ -194,16 +195,18 @@ Stmt: Item | let1 ; | E ; | Attr* Block | Attr* let1 ; | Attr* E ; | i ! C
 let1: let Pat LT? | let Pat LT? = E | let Pat LT? = E else C:Block
 LT: : T
 Tail: Stmt* E?
-Arm: Attr* op? Pat Guard? => E | Attr* op? Pat Guard? => E ,
+Head: Attr* op? Pat Guard? =>
+Arm: Head E , | Head Block
+LastArm: Arm* | Arm* Head E
 Guard: if Cond
 TA: lt | lt : Bs | T | i : Bs | i : | i : Bs = T | i = T | v | pm v | Block | const i : T | const i : T = Arg
 """
 
 SCRIPT = EXPRESSION + """
-Item: import v ; | import Clause from v ; | export Decl ;? | export default Decl ;? | export default E ; | export * from v ; | export * as i from v ; | export C:Specs ; | export C:Specs from v ; | Stmt
+Item: import v ; | import Clause from v ; | export Decl | export default Decl | export default E ; | export * from v ; | export * as i from v ; | export C:Specs ; | export C:Specs from v ; | Stmt
 Clause: i | C:Specs | * as i | i , C:Specs | i , * as i | type C:Specs | type i
 Spec: i | i as i | default as i | i as default | type i | v as i
-Decl: Fn | Class | Vars
+Decl: Fn | Class | Vars ;
 Fn: async? function *? i? P:Params Ret? C:Block
 Class: Deco* class i? Heri? C:Body
 Heri: extends Post
@@ -241,8 +244,8 @@ JAVASCRIPT = SCRIPT + "Ret: untyped untyped\n"
 TYPESCRIPT = SCRIPT + """
 Ret: : RT
 RT: T | i is T | asserts i | asserts i is T
-T: T1 | T1 op T | T1 & T | op T | & T | T1 extends T ? T : T | P:Params => T | new P:Params => T | i is T
-T1: i | v | this | void | pm v | typeof i | P:Types | B:Types | C:Members | T1 B:Empty | T1 B:Types | keyof T1 | i T1 | unique i | import P:Args | import P:Args . i
+T: T1 | T1 op T | T1 & T | op T | & T | T1 extends T ? T : T | P:Params => T | mod? new P:Params => T | i is T
+T1: i | v | this | void | pm v | typeof i | P:Types | B:Types | C:Members | T1 B:Empty | T1 B:Types | keyof T1 | readonly T1 | infer i | infer i extends T1 | unique i | import P:Args | import P:Args . i
 Type: T | ... T | i : T | i Opt : T | i ?
 Opt: ?
 VT: : T
@@ -261,7 +264,7 @@ TD: interface i IExt? C:Members | type i = T ; | declare? const? enum i C:Enums
 IExt: extends Ts
 EnumM: i | i = E | v | v = E
 Member: Deco* MKs* *? K Opt? P:Params Ret? ; | Deco* MKs* *? K Opt? P:Params Ret? C:Block | Deco* MKs* K Opt? VT ; | Deco* MKs* K Bang? VT ; | Deco* MKs* K VT = E ; | MKs* B:Params VT ; | Deco* MKs* K Opt ;
-MemI: Mem ; | Mem , | Mem | ;
+MemI: Mem ; | Mem , | ;
 Mem: MKs* K Opt? VT | MKs* K Opt? P:Params Ret? | P:Params Ret | new P:Params Ret | MKs* B:Params Opt? VT | K Opt? | MKs* pm? B:In pm? Opt? VT
 In: i in T | i in T as T
 Stmt: TD | Fn ;
@@ -270,7 +273,7 @@ U: Post as T | Post as const | Post satisfies T | U !
 Post: Post !
 Prim: P:Params Ret => LB | async P:Params Ret => LB
 Catch: catch P:Params C:Block
-Item: export TD ;? | export = E ; | import i = E ; | export type C:Specs ; | export type C:Specs from v ; | export declare Decl | export default interface i C:Members
+Item: export TD | export = E ; | import i = E ; | export type C:Specs ; | export type C:Specs from v ; | export declare Decl | export default interface i C:Members
 """
 
 PYTHON = """
@@ -357,7 +360,7 @@ WHOLES = {
 #: Wholes that are items with semicolons between them, which are matched item by item.
 SEMICOLON_LISTS = {"go": {"Imps": "Imp", "Specs": "Spec", "TSpecs": "TSpec"}}
 SEQUENCES = {
-    "java": [("Block", "Stmt"), ("Body", "Member"), ("Switch", "CaseI")],
+    "java": [("Block", "Stmt"), ("Body", "Member"), ("Switch", "CaseI"), ("Enums", "Member")],
     "csharp": [("Block", "Stmt"), ("Body", "Member"), ("Switch", "CaseI"), ("Props", "Prop"), ("Top", "Top")],
     "go": [("Block", "Stmt"), ("Switch", "CaseI"), ("SBody", "Field"), ("IBody", "IMem")],
     "rust": [("Block", "Stmt"), ("Items", "Item"), ("Arms", "Arm")],
@@ -365,6 +368,7 @@ SEQUENCES = {
     "typescript": [("Block", "Item"), ("Body", "Member"), ("Switch", "CaseI"), ("Members", "MemI")],
     "python": [], "json": [],
 }
-#: The last stretch of a sequence where it may be another thing than those before it.
-LAST_ITEMS = {"rust": {"Block": "Tail"}}
+#: The first and the last stretch of a sequence where they may be other things than those between.
+FIRST_ITEMS = {"java": {"Enums": "Enum"}}
+LAST_ITEMS = {"rust": {"Block": "Tail", "Arms": "LastArm"}}
 TOPS = {"java": "Top", "csharp": "Top", "go": "Top", "rust": "Item", "javascript": "Item", "typescript": "Item", "python": "Line", "json": "Top"}

@@ -26,7 +26,7 @@ IN_PLACES = {
     "csharp": "await get set where when record yield not global async partial file required",
     "go": "", "rust": "union default", "python": "match case type _", "json": "",
     "javascript": "async await get set of from as static let yield package private protected public interface implements",
-    "typescript": "async await get set of from as static let yield package private protected public interface implements type declare readonly abstract override namespace module keyof unique is asserts satisfies",
+    "typescript": "async await get set of from as static let yield package private protected public interface implements type declare readonly abstract override namespace module keyof unique is asserts satisfies infer",
 }
 MODIFIERS = {
     "java": "public private protected static final abstract native synchronized transient volatile strictfp sealed",

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoria.llm.chart import Grammar
-from scoria.llm.grammars import LAST_ITEMS, LISTS, SEMICOLON_LISTS, SEQUENCES, TOPS, WHOLES, grammar
+from scoria.llm.grammars import FIRST_ITEMS, LAST_ITEMS, LISTS, SEMICOLON_LISTS, SEQUENCES, TOPS, WHOLES, grammar
 from scoria.llm.lexer import BINARY, CLOSERS, LANGUAGES, OPERATORS, RUN, lex, tables
 from scoria.operators.snapshots import latest_rows
 
@@ -25,6 +25,8 @@ HEADS = frozenset(["if", "for", "switch"])
 MARKS = frozenset(c * 7 for c in "<=>|")
 #: A repetition counts as so many copies at most when a stretch is matched: no rule of the grammars counts further.
 COPIES, PERIODS = 3, (1, 2, 3, 4)
+#: Shorter stretches are matched as quickly as they are condensed.
+WORTH = 48
 
 
 def condensed(part: tuple) -> tuple:
@@ -33,6 +35,8 @@ def condensed(part: tuple) -> tuple:
     It derives from a nonterminal if and only if the stretch as it is does; chains of operators, calls and else-ifs of
     any length become short. Costs are never taken from it.
     """
+    if len(part) < WORTH:
+        return part
     out: list = []
     for t in part:
         out.append(t)
@@ -94,13 +98,14 @@ class Checker:
         if key not in known:
             found = self.grammar.matches(item, condensed(part))
             known[key] = found
+            return found
         return known[key]
 
     def pieces(self, label: str, item: str, tokens: list, ends: frozenset[str]) -> Iterator[tuple[str, int, int]]:
-        """The stretches of a sequence with the nonterminal that each must derive from; the last may have one of its own."""
-        last = LAST_ITEMS.get(self.language, {}).get(label)
+        """The stretches of a sequence with the nonterminal that each must derive from; the first and last may have their own."""
+        first, last = FIRST_ITEMS.get(self.language, {}).get(label), LAST_ITEMS.get(self.language, {}).get(label)
         for a, b in _chunks(tokens, ends, self.headers):
-            yield (last if last and b == len(tokens) else item + "*"), a, b
+            yield first if first and not a else last if last and b == len(tokens) else item + "*", a, b
 
     def fits_all(self, label: str, item: str, tokens: list, ends: frozenset[str]) -> bool:
         for what, a, b in self.pieces(label, item, tokens, ends):
@@ -174,7 +179,7 @@ class Checker:
         """The least cost of making contents fit; the lines of the stretches to edit are added to spots."""
         options = [("", item, frozenset(",")) for _, item in LISTS[self.language].get(kind, ())]
         if kind == "C":
-            options += [(label, item, frozenset(";")) for label, item in SEQUENCES[self.language]]
+            options += [(label, item, frozenset(";,") if label == "Arms" else frozenset(";")) for label, item in SEQUENCES[self.language]]
         tried = []
         for label, item, ends in options:
             bad = []
@@ -191,7 +196,8 @@ class Checker:
                 break
             total = 0
             for k, (what, part, _) in enumerate(bad):
-                total += self.cost(what, part)
+                others = total + len(bad) - k - 1
+                total += self.cost(what, part, least - others)
                 if total + len(bad) - k - 1 >= least:
                     break
             else:
@@ -199,8 +205,10 @@ class Checker:
         spots += [at for _, _, at in found]
         return max(1, least)
 
-    def cost(self, item: str, part: tuple) -> int:
-        return min(self.grammar.cost(item, part), self.grammar.cost(item, self._closed(part)))
+    def cost(self, item: str, part: tuple, below: int = 1 << 30) -> int:
+        least = self.grammar.cost(item, part, below)
+        closed = self._closed(part)
+        return least if closed is part else min(least, self.grammar.cost(item, closed, least))
 
     def brackets(self, classes: list[str], lines: list[int], spots: list[int], loose: list[int]) -> tuple[int, list, list[int], int]:
         """Cost, tokens and lines of the outermost level with brackets folded, and the number still open at the end.
