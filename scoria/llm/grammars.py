@@ -269,7 +269,7 @@ Mem: MKs* K Opt? VT | MKs* K Opt? P:Params Ret? | P:Params Ret | new P:Params Re
 In: i in T | i in T as T
 Stmt: TD | Fn ;
 Fn: async? function *? i? P:Params Ret? ;
-U: Post as T | Post as const | Post satisfies T | U !
+U: U as T | U as const | U satisfies T | U !
 Post: Post !
 Prim: P:Params Ret => LB | async P:Params Ret => LB
 Catch: catch P:Params C:Block

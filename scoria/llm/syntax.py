@@ -189,6 +189,9 @@ class Checker:
                 if part and not self.derives(what, part) and not self.derives(what, self._closed(part)):
                     bad.append((what, part, lines[a]))
             tried.append(bad)
+        if not tried:
+            # The language has no such bracket: it is dropped with its contents, as one token.
+            return 1
         # Each bad stretch needs an edit at least: once an option has as many as the best one costs, none can be better.
         least, found = 1 << 30, []
         for bad in sorted(tried, key=len):

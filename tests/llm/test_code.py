@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 
 from scoria.llm import docs, provenance, syntax
@@ -62,10 +65,59 @@ def test_long_go_groups_parse():
     assert syntax.check_file("javascript", "for (let " + ", ".join(f"a{i} = f({i})" for i in range(200)) + "; a1 < 3; a1++) { b(a1) }\n") == (0, None, [])
 
 
-def test_repair_costs_are_least():
-    g = Grammar("S: a S b | c")
-    brute = {("c",): 0, ("a", "c", "b"): 0, ("a", "c"): 1, ("c", "c"): 1, (): 1, ("b", "a"): 2, ("a", "a", "c", "b"): 1, ("x",): 1}
-    assert {k: g.cost("S", k) for k in brute} == brute
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize(
+    "rules,start,alphabet",
+    [("S: a S b | a b | S S | x T y\nT: c | T , c", "S", "abxyc,"), ("E: U | E o U\nU: v | p U | ( E )", "E", "vop()"), ("L: I*\nI: i ; | k i E? ;\nE: = v", "L", "ik;=v"), ("S: a S b | c", "S", "abc")],
+)
+def test_repair_costs_are_least(rules, start, alphabet):
+    g, rnd = Grammar(rules), random.Random(2)
+    language = [w for n in range(7) for w in itertools.product(alphabet, repeat=n) if g.matches(start, w)]
+    for _ in range(150):
+        w = tuple(rnd.choice(alphabet) for _ in range(rnd.randrange(4)))
+        want = min(edit_distance(w, x) for x in language)
+        assert g.cost(start, w) == want, w
+        assert g.cost(start, (*w, "foreign")) >= 1 and Grammar(rules).cost(start, w, want) >= want
+
+
+def test_long_valid_files_cost_nothing():
+    sum_ = " + ".join(f"g({i})" for i in range(150))
+    for language, text in [
+        ("java", f"class A {{ void f() {{ for (int i = 0; i < g(x) + {sum_}; i++) {{ h(); }} }} }}"),
+        ("javascript", f"for (let i = 0; i < g(x) + {sum_}; i++) {{ h(); }}"),
+        ("java", "class A { void f() { if (a) { b(); } " + "else if (c(1)) { d(); } " * 5000 + "} }"),
+        ("javascript", "let x = " + " + ".join(f"f({i})" for i in range(20_000)) + ";"),
+        ("java", "class A { int x = " + "(a)" * 3000 + "b; }"),
+    ]:
+        assert syntax.check_file(language, text) == (0, None, []), text[:60]
+
+
+def test_faults_that_need_more_than_brackets():
+    for text in ["f() = 1\n", "1 = x\n", "f(a=1, 2)\n", "f(**k, *a)\n", "if x:\n\ty = 1\n        z = 2\n", "if x:\n        y = 1\n\tz = 2\n"]:
+        assert syntax.check_file("python", text)[0] > 0, text
+    for language, text in [("rust", "fn main() { let x = 1 let y = 2; }"), ("java", "class A { void f() { 1 + 2; } }"), ("javascript", "let x = 08n;"), ("java", "class A { List<A,,> x; }"), ("java", "enum E { A B }"), ("go", "package a\nvar x = 08\n\nvar y = 1z\n"), ("json", "(1)")]:
+        assert syntax.check_file(language, text)[0] > 0, text
+    assert syntax.check_file("java", "int x = 1 }")[1] == "other"
+
+
+def test_types_in_angle_brackets():
+    for language, text in [
+        ("typescript", 'let x: Pick<T, "id"> = y; let p: Promise<{ a: string; b: number }> = q\nfunction f<T extends keyof U, U = {}>(x: T): Array<T | null> { return g<T>(x) }'),
+        ("typescript", "const x = a < b; if (i<n && j>m) { f(a<b, c>d) }"),
+        ("typescript", "type M = Map<string, " + "Array<" * 200 + "string" + ">" * 200 + ">\n"),
+        ("java", "class A<T extends Comparable<T> & Foo> { Map<String, List<? super T[]>> m = new HashMap<>(); <U> U f(List<?> x) { return this.<U>g(x); } }"),
+        ("rust", "impl<'a, T: Foo<Item = u8> + 'a, const N: usize> Bar<'a, [T; N]> for Baz<T> { }"),
+        ("csharp", "class A<T> where T : new() { Dictionary<string, List<(int a, string b)>> d = new(); Type t = typeof(Dictionary<,>); }"),
+    ]:
+        assert syntax.check_file(language, text) == (0, None, []), text
 
 
 def test_syntax_table(spark):
