@@ -5,130 +5,256 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoria.plans.runtime import checkpointed
-
-#: Frequent function words of each language.
-FUNCTION_WORDS = {
-    "en": "a about after again all an and any are as at be because been before but by can could did do does down each for from had has have he her his how i if in into is it its itself just may more most must my never no nor not of on once one only or other our out over own same she should so some such than that the their them then there these they this those three to too two under until up very was we were what when where which while who whoever why will with without would yet you your",
-    "de": "aber alle alles als am an auch auf aus bei beim bis bitte da dabei damit danach das dass dem den der des die dies diese dieser doch durch ein eine einem einen einer eines er es etwa für gibt haben hat ich ihr im in ist ja jede jeden jeder kann kaum kein keine können man mehr mit nach nicht nichts noch nur ob oder ohne sein seine sich sie sind so sollte sonst über um und uns unter vom von vor war was weil wenn werden wie wieder wir wird würde wo zu zuerst zum zur überhaupt",
-    "fr": "a à ai ainsi après au aucun aux avait avant avec bien ce cela ces cet cette chaque comme d dans de des deux dès doit donc dont du elle elles en encore est et été être il ils j je jamais l la le les leur lui mais même mes moins n ne ni non nos notre nous on ont ou où par pas pendant peu plus pour près puis qu quand que qui sa sans se ses si son sont sous sur tout toute tous très trop un une vers vos votre vous y",
-    "es": "a al algo antes aunque así cada como con conviene cual cuando cuánto de del desde después donde durante e el ella ellas ellos en entre era es esa ese eso esta está estas este esto fue ha han hasta hay la las le les lo los mas más me mi mientras muy nadie ni no nos nunca o otra otro para pero poco por porque que qué se sea según ser si sí sin sobre solo son su sus también tan todavía todo todos tras tu un una unas uno unos y ya yo",
-}
-FUNCTION = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
-ANY_FUNCTION = frozenset().union(*FUNCTION.values())
+from scoria.plans.runtime import bounded_broadcast, checkpointed
 
 WORD = re.compile(r"[^\W\d_]+").findall
-KANA = re.compile(r"[\u3040-\u30ff]")
-FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
-#: Lines of machines: time stamps of logs, frames of stack traces, links within the page.
-MACHINE = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|at \S+ ?\(|Traceback |File \"|#{1,6} |- \[[^\]]*\]\(#)").match
-LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)|<a\s[^>]*>.*?</a>|(?:https?://|www\.)[^\s)>\]]+|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,8}\.(?:com|org|net|io|example|test|invalid)(?:/[^\s)>\]]*)?", re.I)
-#: A line without any of these has no link.
-LINK_SIGNS = ("://", "www.", "](", "<a ", "<A ", ".com", ".org", ".net", ".io", ".example", ".test", ".invalid")
-SEPARATOR = re.compile(r"[,;|»›•·#/*~]|(?<=\s)[-–—>](?=\s)")
-SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+")
-#: A labelled line such as an honest page ends with; only the first few of a page, and only short ones, are left out.
-LABELLED = re.compile(r"^\s*[^\W\d_][\w ]{0,20}: ")
-LABELLED_LINES, LABELLED_ITEMS = 2, 8
-
-
-FEATURES = "lang string, evidence int, prose double, function_share double, top_share double, pair_share double, bigram_share double, duplicate_lines double, link_share double, separators double"
-#: A content word is hot if it makes up that share of all words of a page and occurs so often; a sentence with that
-#: share of hot words, or with a smaller share of function words, isn't prose.
-HOT_SHARE, HOT_COUNT, HOT_IN_SENTENCE, FUNCTION_IN_SENTENCE, SENTENCE_WORDS = 0.1, 6, 0.25, 0.2, 4
-MOSTLY_PROSE = 0.6
-
-
-def page_features(text: str) -> tuple:
-    """The values of FEATURES for one text. Fenced code, logs, stack traces and headings are neither prose nor spam.
-
-    The shares of bigrams and separators only tell kinds of spam apart; for pages mostly of prose they are null.
+LABEL = re.compile(r"\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$")
+#: Scripts written without blanks between words: a run of letters is no word there. Hiragana carries grammar.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+#: Letters of Korean stand for syllables, so that two make a word of content.
+HANGUL = re.compile(r"[\uac00-\ud7af]")
+HIRAGANA, KANA = re.compile(r"[\u3041-\u309f]"), re.compile(r"[\u3040-\u30ff]")
+FENCE = re.compile(r"```.*?```", re.S)
+#: Lines of machines: time stamps of logs, frames of stack traces, lists of links within the page.
+MACHINE = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|at \S+ ?\(|Traceback |File \"|[-*] \[[^\]]*\]\(#)").match
+#: Lines beside the text of an honest page: headings, and a label with a few words or links.
+BESIDE = re.compile(r"^\s*#{1,6} ").match
+LABELLED, LABELLED_WORDS = re.compile(r"^\s*[^\W\d_][\w ]{0,20}: ").match, 12
+#: Top-level domains by which a bare host name is told from a file or field name.
+DOMAINS = "com|org|net|info|biz|edu|gov|io|app|dev|shop|site|online|store|xyz|club|top|link|live|pro|blog|example|test|invalid|de|fr|es|nl|pl|ru|jp|cn|kr|br|eu|ch|se|fi|dk|cz|pt|tr|uk|au|ca"
+LINK = re.compile(rf"\[[^\]\n]*\]\([^)\s]*\)|<a\s[^>]*>.*?</a>|(?:https?://|www\.)[^\s)>\]]+|\b(?:[a-z0-9-]{{1,63}}\.){{1,8}}(?:{DOMAINS})\b(?:/[^\s)>\]]*)?", re.I)
+SEPARATOR = re.compile(r"[,;|»›•·#/*~、，；｜・]|(?<=\s)[-–—>](?=\s)")
+SENTENCE_END = re.compile(r"(?<=[.!?।؟])\s+|(?<=[。！？])")
+ENDED = re.compile(r"[.!?。！？।؟…][\"'»”’)\]*_]*\s*$").search
+
+#: A word is hot if it makes up that share of all words of a page and occurs so often; a sentence with that share of hot
+#: words isn't prose.
+HOT_SHARE, HOT_COUNT, HOT_IN_SENTENCE, SENTENCE_WORDS = 0.1, 6, 0.25, 4
+#: Where a language's function words aren't known, a sentence is told by its end, length, variety and few separators.
+SHAPE_WORDS, SHAPE_VARIETY, SHAPE_SEPARATORS = 5, 0.6, 0.25
+#: A run of letters that is no keyword in an unspaced script, and how often a repeated line still counts as prose.
+RUN_LETTERS, LINE_COPIES = 7, 3
+#: A run of more letters is no word.
+WORD_LETTERS = 40
+
+FEATURES = "page_lang string, evidence int, prose double, function_share double, top_share double, pair_share double, bigram_share double, duplicate_lines double, link_share double, separators double"
+#: Shares from which on a page without prose is spam, with the reason told: links, words, bigrams, lines, separators.
+SIGNALS = {"link_share": (0.4, "links"), "duplicate_lines": (0.5, "repeated lines"), "pair_share": (0.2, "keywords"), "bigram_share": (0.1, "keywords"), "top_share": (0.1, "keywords"), "separators": (0.3, "tags")}
+
+
+@dataclass(frozen=True)
+class Language:
+    """What the corpus tells of a language: its function words, its usual words, and the least share of function words in a sentence."""
+
+    function: frozenset[str]
+    usual: frozenset[str]
+    least: float
+
+
+def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(label, word, documents, uses) over all documents, counted in each task before anything is shuffled.
+
+    label is the language code of two or three letters that a document claims; others count nowhere. The word '' counts
+    the documents and words of the label.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = list(counts)
+            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k][0] for k in keys], pa.int64()), pa.array([counts[k][1] for k in keys], pa.int64())], names=["label", "word", "documents", "uses"])
+            counts.clear()
+            return made
+
+        for batch in batches:
+            for t, claimed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                m = LABEL.match(claimed or "")
+                if not m or not t or (label := m.group(1).lower()) == "und":
+                    continue
+                words = Counter(WORD(t.lower()))
+                words[""] = words.total()
+                for w, n in words.items():
+                    have = counts.get((label, w))
+                    if have is None:
+                        counts[label, w] = [1, n]
+                    else:
+                        have[0] += 1
+                        have[1] += n
+            if len(counts) > 500_000:
+                yield out()
+        yield out()
+
+    partial = docs.select(F.col(text), F.col(lang).cast("string")).mapInArrow(run, "label string, word string, documents long, uses long")
+    return partial.groupBy("label", "word").agg(F.sum("documents").alias("documents"), F.sum("uses").alias("uses"))
+
+
+def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", function_share: float = 0.25, usual_share: float = 0.002, prior: int = 50) -> dict[str, Language]:
+    """The languages of a corpus by label.
+
+    A word is usual in a language if at least `usual_share` of its documents have it, and a function word at
+    `function_share`. `prior` documents without any word are added to each language, so what a few documents say counts
+    little and a language of very few has no function words. At most (distinct words a document has on average) /
+    usual_share words of a language come to the driver, whatever the size of the corpus. A sentence needs two fifths of
+    the share of function words that the language's documents have on average.
     """
-    lines, labelled, chars, link_chars, links = [], 0, 0, 0, 0
-    linked = any(x in text for x in LINK_SIGNS)
+    counts = checkpointed(word_counts(docs, text, lang))
+    # One row per label of two or three letters.
+    totals = counts.where("word = ''").select("label", F.col("documents").alias("all"), F.col("uses").alias("words"))
+    share = F.col("documents") / (F.col("all") + prior)
+    rows = counts.where("word <> ''").join(bounded_broadcast(totals), "label").where(share >= usual_share).select("label", "word", share.alias("share"), (F.col("uses") / F.col("words")).alias("part")).collect()
+    found: dict[str, list] = {}
+    for r in rows:
+        words = found.setdefault(r["label"], [set(), set(), 0.0])
+        words[1].add(r["word"])
+        if r["share"] >= function_share:
+            words[0].add(r["word"])
+            words[2] += r["part"]
+    return {label: Language(frozenset(f), frozenset(u), 0.4 * part) for label, (f, u, part) in found.items() if f}
+
+
+def _page_lines(text: str) -> list[tuple[str, str, int]]:
+    """(line, line without its links, number of links) of the lines that count.
+
+    Lines beside the text don't, unless they hold more than twice as much as the rest.
+    """
+    linked = LINK.search(text) is not None
+    body, beside, sizes = [], [], [0, 0]
     for line in (FENCE.sub("\n", text) if "```" in text else text).split("\n"):
         if not line or line.isspace() or MACHINE(line):
             continue
-        bare, n = LINK.subn(" ", line) if linked and any(x in line for x in LINK_SIGNS) else (line, 0)
-        if labelled < LABELLED_LINES and ": " in line[:30] and n <= LABELLED_ITEMS and line.count(",") < LABELLED_ITEMS and LABELLED.match(line) and ANY_FUNCTION.isdisjoint(WORD(bare.partition(": ")[2].lower())):
-            labelled += 1
-            continue
-        chars += len(line)
-        if n:
-            links += n
-            link_chars += len(line) - len(bare)
-        lines.append(bare)
-    sentences = [s for line in lines for part in SENTENCE_END.split(line.lower()) if (s := WORD(part))]
-    counts = Counter(chain.from_iterable(sentences))
-    n = counts.total()
-    hits = {lang: sum(counts[w] for w in fw if w in counts) for lang, fw in FUNCTION.items()}
-    top = Counter({w: k for w, k in counts.items() if w not in ANY_FUNCTION}).most_common(2)
-    hot = {w for w, k in counts.items() if k >= HOT_COUNT and k >= HOT_SHARE * n and w not in ANY_FUNCTION}
-    kana = KANA.search(text) is not None
+        bare, n = LINK.subn(" ", line) if linked else (line, 0)
+        words = len(WORD(bare)) + 2 * n
+        aside = BESIDE(line) is not None or n <= 8 and words <= LABELLED_WORDS and ": " in line[:30] and LABELLED(line) is not None
+        (beside if aside else body).append((line, bare, n))
+        sizes[aside] += words
+    return body if sizes[1] <= 2 * sizes[0] else body + beside
+
+
+def page_features(text: str, languages: dict[str, Language]) -> tuple:
+    """The values of FEATURES for one text. Fenced code, logs and stack traces are neither prose nor spam.
+
+    page_lang is the learned language whose function words the page has most of, 'unspaced' where letters of scripts
+    without blanks prevail, or 'other' if less than half of the words are usual in any learned language.
+    """
+    rows = _page_lines(text)
+    chars = sum(len(line) for line, _, _ in rows)
+    links = sum(n for _, _, n in rows)
+    link_chars = sum(len(line) - len(bare) for line, bare, n in rows if n)
+    times: Counter = Counter()
+    sentences: list[tuple[list[str], bool, str]] = []
+    foreign = UNSPACED.search(text) is not None
+    for _, bare, _ in rows:
+        low = bare.lower()
+        times[low] += 1
+        kept = times[low] <= LINE_COPIES
+        for part in SENTENCE_END.split(low):
+            if s := [w for w in WORD(part) if len(w) <= WORD_LETTERS or foreign and UNSPACED.match(w)]:
+                sentences.append((s, kept, part))
+    counts = Counter(w for s, _, _ in sentences for w in s)
+    n, letters = counts.total(), sum(len(w) * k for w, k in counts.items())
+    runs = {w for w in counts if len(UNSPACED.findall(w)) * 2 > len(w)} if foreign else frozenset()
+    unspaced = sum(len(w) * counts[w] for w in runs) * 2 > letters
+    lang, known = "other", None
+    if n and not unspaced:
+        shares = {label: (sum(k for w, k in counts.items() if w in x.function) / n, sum(k for w, k in counts.items() if w in x.usual) / n) for label, x in languages.items()}
+        usual = max((u for _, u in shares.values()), default=0.0)
+        if usual >= 0.5:
+            lang = max(shares, key=lambda label: (shares[label][0], shares[label][1], label))
+            known = languages[lang]
+    function = known.function if known else frozenset()
+    if unspaced:
+        lang = "unspaced"
+    weight = n + sum((len(w) // 2 - 1) * counts[w] for w in runs)
+    # What recurs is hot; short words may be function words where those aren't known.
+    content = {w for w in counts if (w not in function if known else w in runs or len(w) > 3 or len(w) > 1 and HANGUL.match(w))}
+    top = Counter({w: counts[w] for w in content}).most_common(2)
+    hot = {w for w in content if counts[w] >= HOT_COUNT and counts[w] >= HOT_SHARE * n and (w not in runs or len(w) < RUN_LETTERS)}
+    kana = bool(runs) and KANA.search(text) is not None
     prose = total = functions = 0
-    for s in sentences:
+    for s, kept, part in sentences:
         size = sum(map(len, s))
         total += size
-        f = sum(map(ANY_FUNCTION.__contains__, s))
+        f = sum(map(function.__contains__, s)) if function else 0
         functions += f
-        if len(s) >= SENTENCE_WORDS and f >= FUNCTION_IN_SENTENCE * len(s) and (not hot or sum(map(hot.__contains__, s)) < HOT_IN_SENTENCE * len(s)) or kana and any(len(w) > 3 and KANA.search(w) for w in s):
+        if not kept:
+            continue
+        if hot and sum(map(hot.__contains__, s)) >= HOT_IN_SENTENCE * len(s):
+            continue
+        if runs and sum(len(w) for w in s if w in runs) * 2 > size:
+            running = sum(len(w) for w in s if w in runs and len(w) >= RUN_LETTERS and (not kana or HIRAGANA.search(w)))
+            prose += size if running * 2 >= size else 0
+        elif known and len(s) >= SENTENCE_WORDS and f >= known.least * len(s):
             prose += size
-    share = prose / max(1, total + link_chars)
-    most = max(hits.values())
-    lang = max(hits, key=hits.get) if most else "ja" if kana else "none"
-    bigram = separators = None
-    if share < MOSTLY_PROSE:
-        words = [w for s in sentences for w in s]
-        pairs = Counter(zip(words, words[1:], strict=False)).most_common(1)
-        bigram, separators = pairs[0][1] / n if pairs else 0.0, sum(len(SEPARATOR.findall(x)) for x in lines) / max(1, n)
-    repeated = 1 - len(set(lines)) / max(1, len(lines)) if lines else 0.0
-    return (lang, n + 2 * links, share, functions / max(1, n), top[0][1] / n if top else 0.0, sum(k for _, k in top) / max(1, n), bigram, repeated, link_chars / max(1, chars), separators)
-
-
-def document_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, FEATURES), one row per document; null texts count as empty. Whole texts are read."""
+        elif not known and len(s) >= SHAPE_WORDS and ENDED(part) and len(set(s)) >= SHAPE_VARIETY * len(s) and len(SEPARATOR.findall(part)) <= SHAPE_SEPARATORS * len(s):
+            prose += size
+    words = [w for s, _, _ in sentences for w in s]
+    pairs = Counter(zip(words, words[1:], strict=False)).most_common(1) if n > 1 else []
+    separators = sum(len(SEPARATOR.findall(bare)) for _, bare, _ in rows) / max(1, weight)
+    repeated = 1 - len(times) / len(rows) if rows else 0.0
+    return (lang, weight + 2 * links, prose / max(1, total + link_chars), functions / max(1, n) if known else None, top[0][1] / n if top else 0.0, sum(k for _, k in top) / max(1, n), pairs[0][1] / n if pairs and pairs[0][1] > 1 else 0.0, repeated, link_chars / max(1, chars), separators)
+
+
+def document_features(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[DataFrame, dict[str, Language]]:
+    """((key, FEATURES), languages), one row per document; null texts count as empty. Whole texts are read."""
+    languages = learn_languages(docs, text, lang)
+    sent = docs.sparkSession.sparkContext.broadcast(languages)
     kind = docs.schema[key].dataType.simpleString()
     names = [f.split()[0] for f in FEATURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = list(zip(*[page_features(t or "") for t in batch.column(1).to_pylist()], strict=True)) or [()] * len(names)
+            values = list(zip(*[page_features(t or "", sent.value) for t in batch.column(1).to_pylist()], strict=True)) or [()] * len(names)
             types = [pa.string(), pa.int32(), *[pa.float64()] * 8]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, t) for v, t in zip(values, types, strict=True)]], names=[key, *names])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, {FEATURES}")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, {FEATURES}"), languages
 
 
-def language_thresholds(features: DataFrame, low: float = 0.2, high: float = 0.4, usual: float = 0.3, least: int = 500) -> DataFrame:
-    """(lang, threshold): the share of prose below which a page of the language isn't made of sentences.
+def language_thresholds(features: DataFrame, low: float = 0.2, high: float = 0.4, usual: float = 0.3, inertia: int = 20) -> DataFrame:
+    """(page_lang, threshold): the share of prose below which a page of the language isn't made of sentences.
 
     Pages fall into two groups, almost none or almost all prose. The threshold is the middle of the emptiest stretch
-    between low and high over all pages of the language; of equals the one nearest to `usual`, which also holds for
-    languages of fewer than `least` pages. There are as many rows as function word lists, plus two.
+    between low and high over all pages of the language. A step of 0.05 away from `usual` must be worth `inertia` pages,
+    so few pages move it nowhere and no number of pages switches the rule. One row per language.
     """
     step = 0.05
     spots = [round(low + i * step, 2) for i in range(round((high - low) / step) + 1)]
     near = [F.sum((F.abs(F.col("prose") - t) <= step).cast("long")).alias(f"n{i}") for i, t in enumerate(spots)]
-    counts = features.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"), *near)
-    best = F.array_min(F.array(*[F.struct(F.col(f"n{i}").alias("n"), F.lit(round(abs(t - usual), 2)).alias("off"), F.lit(t).alias("t")) for i, t in enumerate(spots)]))
-    return counts.select("lang", F.when(F.col("pages") >= least, best["t"]).otherwise(F.lit(usual)).alias("threshold"))
+    counts = features.groupBy("page_lang").agg(*near)
+    best = F.array_min(F.array(*[F.struct((F.col(f"n{i}") + round(abs(t - usual) / step) * inertia).alias("n"), F.lit(t).alias("t")) for i, t in enumerate(spots)]))
+    return counts.select("page_lang", best["t"].alias("threshold"))
+
 
+def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", evidence: int = 15) -> DataFrame:
+    """(key, reason and the features) of the documents that consist mainly of keywords, links or tags.
 
-def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", evidence: int = 15) -> DataFrame:
-    """(key, lang, reason and the features) of the documents that consist mainly of keywords, links or tags.
+    A page is spam if little of it is running prose and something else prevails: one of SIGNALS, or words of a language
+    whose function words are known with hardly any of them. What prose is in a language is learned from all documents
+    of the corpus; pages in languages the corpus hardly has are judged by the shape of their sentences, so that honest
+    text of any language is none.
 
     Defined cases: null, empty and blank texts, and those with fewer words and links than `evidence`, are no spam; equal
-    texts are judged alike; keys may repeat or be null; Japanese has no separated words, so kana is prose. Tables
-    without rows give none. Other columns aren't read.
+    texts are judged alike; keys may repeat or be null; a null or wrong `lang` only leaves the document out of its
+    language's word counts. Tables without rows give none. Other columns aren't read.
     """
-    features = checkpointed(document_features(docs, key, text))
-    limits = F.broadcast(language_thresholds(features))
-    found = features.join(limits, "lang").where((F.col("evidence") >= evidence) & (F.col("prose") < F.col("threshold")))
-    reason = F.when(F.col("link_share") >= 0.4, "links").when((F.col("pair_share") >= 0.2) | (F.col("bigram_share") >= 0.1), "keywords").when(F.col("separators") >= 0.3, "tags").otherwise("no sentences")
-    return found.withColumn("reason", reason)
+    found, languages = document_features(docs, key, text, lang)
+    features = checkpointed(found)
+    # A row per learned language and two more.
+    limits = bounded_broadcast(language_thresholds(features))
+    few = F.lit(None).cast("double")
+    for label, x in languages.items():
+        few = F.when(F.col("page_lang") == label, F.lit(x.least / 2)).otherwise(few)
+    missing = F.coalesce((F.col("function_share") < few) & (F.col("evidence") >= 3 * evidence), F.lit(False))
+    reason = F.lit(None).cast("string")
+    for name, (least, what) in reversed(SIGNALS.items()):
+        reason = F.when(F.col(name) >= least, what).otherwise(reason)
+    reason = F.coalesce(reason, F.when(missing, "no function words"))
+    pages = features.join(limits, "page_lang").where((F.col("evidence") >= evidence) & (F.col("prose") < F.col("threshold")))
+    return pages.withColumn("reason", reason).where("reason IS NOT NULL")

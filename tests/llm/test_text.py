@@ -118,9 +118,60 @@ HONEST = {
 }
 
 
+#: The same honest paragraph in many languages, and keyword pages in some.
+LANGUAGES = {
+    "ru": "Этот проект разбирает исходный код и строит по нему граф зависимостей. Чтобы начать работу, установите пакет и запустите команду в корне вашего репозитория. После этого вы сможете искать функции, которые давно никто не вызывает.",
+    "it": "Questo strumento legge il codice sorgente e costruisce un grafo delle dipendenze. Per iniziare, installa il pacchetto ed esegui il comando nella cartella principale del progetto. I risultati vengono salvati in un file che puoi aprire con qualsiasi editor.",
+    "ko": "이 도구는 소스 코드를 읽고 의존성 그래프를 만듭니다. 시작하려면 패키지를 설치하고 프로젝트 폴더에서 명령을 실행하세요. 결과는 편집기에서 열 수 있는 파일로 저장됩니다. 자세한 내용은 아래 문서를 읽어 보시기 바랍니다.",
+    "pl": "To narzędzie czyta kod źródłowy i buduje graf zależności. Aby zacząć, zainstaluj pakiet i uruchom polecenie w głównym katalogu projektu. Wyniki są zapisywane w pliku, który można otworzyć w dowolnym edytorze.",
+    "pt": "Esta ferramenta lê o código fonte e constrói um grafo de dependências. Para começar, instale o pacote e execute o comando na pasta principal do projeto. Os resultados são guardados num ficheiro que pode ser aberto em qualquer editor.",
+    "nl": "Dit hulpmiddel leest de broncode en bouwt een graaf van afhankelijkheden. Installeer eerst het pakket en voer daarna de opdracht uit in de hoofdmap van het project. De resultaten worden bewaard in een bestand dat je met elke editor kunt openen.",
+    "tr": "Bu araç kaynak kodu okur ve bir bağımlılık çizgesi oluşturur. Başlamak için paketi kurun ve komutu projenin ana klasöründe çalıştırın. Sonuçlar herhangi bir düzenleyiciyle açabileceğiniz bir dosyaya kaydedilir.",
+    "zh": "这个工具会读取源代码并构建依赖关系图。要开始使用，请安装软件包并在项目的根目录中运行命令。结果会保存到一个可以用任何编辑器打开的文件里。如果遇到问题，请先查看下面的常见问题说明。",
+    "ja": "このツールはソースコードを読み取り、依存関係のグラフを作成します。使い始めるには、パッケージをインストールしてプロジェクトの最上位でコマンドを実行してください。結果は任意のエディタで開けるファイルに保存されます。",
+    "ar": "تقرأ هذه الأداة الشيفرة المصدرية وتبني مخططا للاعتماديات بين أجزائها. للبدء ثبت الحزمة ثم نفذ الأمر في المجلد الرئيسي للمشروع. تحفظ النتائج في ملف يمكنك فتحه بأي محرر نصوص.",
+    "hi": "यह उपकरण स्रोत कोड पढ़ता है और निर्भरताओं का एक ग्राफ बनाता है। शुरू करने के लिए पैकेज स्थापित करें और परियोजना के मुख्य फ़ोल्डर में आदेश चलाएँ। परिणाम एक फ़ाइल में सहेजे जाते हैं जिसे किसी भी संपादक में खोला जा सकता है।",
+    "sv": "Det här verktyget läser källkoden och bygger en graf över beroenden. Börja med att installera paketet och kör sedan kommandot i projektets rotmapp. Resultaten sparas i en fil som du kan öppna i valfri redigerare.",
+    "cs": "Tento nástroj čte zdrojový kód a sestavuje graf závislostí. Nejprve nainstalujte balíček a potom spusťte příkaz v kořenové složce projektu. Výsledky se ukládají do souboru, který můžete otevřít v libovolném editoru.",
+    "el": "Αυτό το εργαλείο διαβάζει τον πηγαίο κώδικα και χτίζει ένα γράφημα εξαρτήσεων. Για να ξεκινήσετε, εγκαταστήστε το πακέτο και εκτελέστε την εντολή στον κύριο φάκελο του έργου. Τα αποτελέσματα αποθηκεύονται σε αρχείο.",
+    "th": "เครื่องมือนี้อ่านซอร์สโค้ดและสร้างกราฟของการพึ่งพา ในการเริ่มต้นให้ติดตั้งแพ็กเกจแล้วรันคำสั่งในโฟลเดอร์หลักของโครงการ ผลลัพธ์จะถูกบันทึกลงในไฟล์ที่เปิดได้ด้วยโปรแกรมแก้ไขข้อความใดก็ได้",
+    "en": "This tool reads the source code and builds a graph of dependencies. To get started, install the package and run the command in the root folder of your project. The results are saved in a file that you can open with any editor.",
+}
+KEYWORDS = {
+    "ja": "ポンプ 購入 格安 ポンプ 無料 ポンプ 最安値 ポンプ 通販 人気 ポンプ 激安 ポンプ おすすめ ポンプ 比較 ポンプ ランキング " * 3,
+    "ja tags": "格安ポンプ、激安ポンプ、人気ポンプ、通販ポンプ、送料無料、最安値、中古、レンタル、修理、部品、価格比較、口コミ、評判、ランキング、" * 2,
+    "ru": "купить насос дешево насос цена насос скачать насос бесплатно насос онлайн насос лучший насос " * 4,
+    "ko": "펌프 구매 최저가 펌프 무료 펌프 추천 펌프 할인 펌프 순위 펌프 비교 펌프 " * 4,
+    "zh": "水泵 价格, 水泵 批发, 水泵 厂家, 便宜 水泵, 水泵 下载, 免费 水泵, 最好 水泵, 水泵 促销, " * 4,
+    "pl": "pompa tanio, pompa sklep, pompa cena, pompa online, najlepsza pompa, pompa za darmo, pompa opinie, " * 4,
+    "one sentence": "You can buy the best code analysis tool for your team in Berlin today\n" * 50,
+    "headings": "# cheap pump buy\n# best pump free\n# pump download top\n# pump online sale\n" * 8,
+    "open fence": "```\n" + "buy pump cheap pump best pump online pump free pump download pump top pump " * 8,
+    "label": "Keywords: " + "buy pump | cheap pump | best pump | online pump | " * 20,
+}
+
+
 def test_spam_pages(spark):
     rows = [(k, t, "x", 1) for k, t in {**SPAM, **HONEST}.items()] + [("words", SPAM["words"], "again", 2)]
     df = spark.createDataFrame(rows, "doc_id string, text string, lang string, prose int")
     got = [r.doc_id for r in spam.spam_pages(df).select("doc_id").collect()]
     assert set(got) == set(SPAM) and got.count("words") == 2
     assert spam.spam_pages(df.limit(0)).count() == 0
+
+
+def test_spam_in_many_languages(spark):
+    rows = [("honest " + k, v, k) for k, v in LANGUAGES.items()] + [("spam " + k, v, k) for k, v in KEYWORDS.items()]
+    alone = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    want = {k for k, _, _ in rows if k.startswith("spam")}
+    assert {r.doc_id for r in spam.spam_pages(alone).collect()} == want
+    # Beside a corpus from which English is learned, the same pages are judged alike.
+    rnd = random.Random(4)
+    nouns = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    corpus = [(f"en{i}", " ".join(f"The {rnd.choice(nouns)} of a {rnd.choice(nouns)} is in the {rnd.choice(nouns)} and it was not for the {rnd.choice(nouns)}." for _ in range(6)), "en-XX") for i in range(150)]
+    both = spark.createDataFrame(rows + corpus, "doc_id string, text string, lang string")
+    learned = spam.learn_languages(both)
+    assert set(learned) == {"en"} and {"the", "of", "is"} <= learned["en"].function and "bal" not in learned["en"].function
+    keywords = " ".join(rnd.choice(nouns) for _ in range(80))
+    more = both.unionByName(spark.createDataFrame([("spam no function words", keywords, None)], both.schema))
+    found = {r.doc_id: r.reason for r in spam.spam_pages(more).collect()}
+    assert set(found) == want | {"spam no function words"}, found
