@@ -21,6 +21,9 @@ ATTRIBUTE = {
 }
 DOC_ATTRIBUTE = re.compile(r'#\[doc\s*=\s*(?:r#*)?"((?:[^"\\]|\\.)*)"#*\]')
 OPENERS = {"java": "@", "typescript": "@", "javascript": "@", "csharp": "[", "rust": "#", "python": "@"}
+#: How an attribute begins that may go on over several lines, up to its bracket's end.
+BRACKETED = {language: re.compile(pattern).match for language, pattern in {"java": r"@[\w.]+\s*\(", "typescript": r"@[\w.]+\s*\(", "javascript": r"@[\w.]+\s*\(", "csharp": r"\[", "rust": r"#!?\["}.items()}
+DEFINES = re.compile(r"(?:async(?:\s|\\\n)+)?def\b").match
 
 
 @cache
@@ -36,14 +39,16 @@ def lexed_rows(language: str, text: str) -> list[tuple]:
     """(line, end_line, kind, delta, braces, text) per lexed stretch of a line, in order.
 
     kind is comment (alone on its lines), attribute, string (a Python string that stands as a statement) or code; delta
-    is the change of depth within the stretch: of brackets, in Python of indentation; braces counts the opening ones. Comments after code on the same
-    line have kind trailing. Text is kept for comments, strings and for code only where Python needs its first words.
+    is the change of depth within the stretch: of brackets, in Python of indentation; braces counts the opening ones.
+    Comments after code on the same line have no row; an attribute is one row up to the end of its bracket. Text is kept
+    for comments and strings; for code it is null but in Python, where it is 'def' or empty.
     """
     match, n = _matcher(language), len(text)
     rows: list[tuple] = []
     pos, line, python = 0, 1, language == "python"
     start, depth, delta, text_from, first_string, heads, solid = 0, 0, 0, 0, None, None, ""
     indents = [0]
+    bracketed, opened = BRACKETED.get(language), 0
 
     def flush(end_line: int, end: int) -> None:
         nonlocal start, delta, first_string, heads
@@ -60,8 +65,8 @@ def lexed_rows(language: str, text: str) -> list[tuple]:
         elif first_string is not None and first_string == raw:
             kind, words = "string", raw
         if python:
-            words = words if kind == "string" else raw[:20]
-        rows.append((start, end_line, kind, delta, raw.count("{"), words))
+            words = words if kind == "string" else "def" if DEFINES(raw) else ""
+        rows.append((start, end_line, kind, delta, raw.count("{") if not python else 0, words))
         if python and kind == "code" and heads is not None:
             rows.append((heads[0], heads[1], "string", 0, 0, heads[2]))
         start, delta, first_string, heads = 0, 0, None, None
@@ -70,7 +75,7 @@ def lexed_rows(language: str, text: str) -> list[tuple]:
         m = match(text, pos)
         kind, end = m.lastgroup, m.end()
         if kind == "n":
-            if not python or depth <= 0:
+            if (not python or depth <= 0) and not (start and opened > 0 and bracketed and bracketed(text, text_from)):
                 flush(line, pos)
                 depth = max(depth, 0) if python else depth
             line += 1
@@ -85,11 +90,12 @@ def lexed_rows(language: str, text: str) -> list[tuple]:
         body = m.group()
         breaks = body.count("\n") if kind in "csr" else 0
         if kind == "c":
-            rows.append((line, line + breaks, "trailing" if start else "comment", 0, 0, body))
+            if not start:
+                rows.append((line, line + breaks, "comment", 0, 0, body))
             line, pos = line + breaks, end
             continue
         if not start:
-            start, text_from, delta = line, pos, 0
+            start, text_from, delta, opened = line, pos, 0, 0
             if python:
                 bol = text.rfind("\n", 0, pos) + 1
                 indent = len(text[bol:pos].replace("﻿", "").expandtabs())
@@ -106,9 +112,17 @@ def lexed_rows(language: str, text: str) -> list[tuple]:
         if kind == "o":
             depth += 1
             delta += 0 if python else 1
+            opened += 1 if opened >= 0 else 0
         elif kind == "e":
             depth -= 1
             delta -= 0 if python else 1
+            if opened > 0:
+                # Below 0 once the first bracket of the row is closed.
+                opened = opened - 1 or -1
+                if opened < 0 and line > start and bracketed and bracketed(text, text_from):
+                    flush(line, end)
+                    pos, solid = end, body
+                    continue
         if text.startswith(("/*", '"""', "'''"), pos) and kind == "x":
             flush(line, n)
             break
@@ -122,15 +136,14 @@ def lexed_rows(language: str, text: str) -> list[tuple]:
 #: Words that add nothing to what a name says, metadata tags, and what stands in for documentation.
 FILLERS = frozenset("a an the this that these of to for in on with and or by from its it is be as at will does do did performs perform implementation implements implementing method function procedure routine class object helper utility returns return returning takes take taking result results value values given specified some our all new here just simply used using".split())
 BARE_TAGS = frozenset("since author version override public private protected internal static final abstract async readonly api category package module namespace memberof ignore hidden inheritdoc export default constructor generated beta alpha experimental todo see link seealso sample ts-ignore ts-expect-error ts-nocheck nullable nonnull suppress suppresswarnings type typedef group".split())
-STAND_IN = re.compile(r"(?i)^[\W_]*(?:todo|fixme|xxx+|tbd|hack|wip|n/?a|none|nothing|undocumented|no (?:docs?|documentation|description|comment)\b.*|docs? (?:pending|missing|needed)|documentation (?:pending|missing|needed|goes here|to follow)|(?:method|function|class)? ?description(?: goes)?(?: here)?|(?:insert|add|write|enter) (?:a |the )?(?:description|docs?|documentation|comment)s?(?: here)?|(?:helper|utility|internal|private|convenience)(?: (?:function|method|class|routine))?|self[- ]explanatory|obvious|placeholder|stub|(?:auto-?)?generated (?:method |function )?stub\b.*|created by (?:the )?ide|inherited|lorem ipsum\b.*|\{@?inheritdoc\}|inheritdoc|ditto|idem|\S+ (?:app|build|bundle)|\?+|-+|\.+)[\W_]*$")
+STAND_IN = re.compile(r"(?i)^[\W_]*+(?:todo|fixme|xxx+|tbd|hack|wip|n/?a|none|nothing|undocumented|no (?:docs?|documentation|description|comment)\b.*|docs? (?:pending|missing|needed)|documentation (?:pending|missing|needed|goes here|to follow)|(?:method|function|class)? ?description(?: goes)?(?: here)?|(?:insert|add|write|enter) (?:a |the )?(?:description|docs?|documentation|comment)s?(?: here)?|(?:helper|utility|internal|private|convenience)(?: (?:function|method|class|routine))?|self[- ]explanatory|obvious|placeholder|stub|(?:auto-?)?generated (?:method |function )?stub\b.*|created by (?:the )?ide|inherited|lorem ipsum\b.*|\{@?inheritdoc\}|inheritdoc|ditto|idem|\S+ (?:app|build|bundle))[\W_]*$")
 TO_DO = re.compile(r"(?i)^\W*(?:todo|fixme|xxx|tbd)\b")
-POINTER = re.compile(r"(?i)^\W*(?:see|same as|as above|cf|refer to|compare|siehe|voir|ver|véase)\b\W*(?:[\w.#()/:@-]+\W*){0,4}$")
+POINTER = re.compile(r"(?i)^\W*(?:see|same as|as above|cf|refer to|compare|siehe|voir|ver|véase)\b\W*+(?:[\w.#()/:@-]++\W*+){0,4}$")
 TOOL = re.compile(r"(?i)^\W*(?:nolint|noqa|nosonar|nosec|noinspection|pylint|flake8|ruff|isort|black|mypy|pyright|type: ?ignore|fmt: ?(?:off|on|skip)|yapf|pragma|eslint|tslint|jshint|jslint|prettier|biome|istanbul|c8 ignore|v8 ignore|@ts-|@formatter|checkstyle|spotless|resharper|stylecop|clang-format|rustfmt|clippy|golangci|lint:|go:|\+build|cspell|spell-?checker|sourcery|coverage:|codecov|webpack|@jsx|@flow|region\b|endregion\b|#?(?:end)?region|nullable\b|if\b [A-Z_]+$|endif\b|\{\{\{|\}\}\}|vim:|-\*-|coding[:=])")
 LICENCE = re.compile(r"(?i)licen[cs]ed under|all rights reserved|spdx-|copyright\b|\(c\) ?\d{4}|permission is hereby|without warrant|redistribution and use|apache license|mit license|gnu (?:general|lesser)")
-RULER = re.compile(r"^(?:[\W_]*|[\W_]*[-=~*#_+<>/.]{3,}\s*\w*(?:\s\w+)?\s*[-=~*#_+<>/.]*|\w*(?:\s\w+)?\s*[-=~*#_+<>/]{4,})$")
+RULER = re.compile(r"([\W_]*+)((?:\w+(?:\s\w+)?)?+)([\W_]*+)$")
+RULES = frozenset("-=~*#_+<>/.")
 CODE = re.compile(r"^(?:[\w.$\[\]]+(?:\s+[\w$]+)?\s*(?::=|[-+*/|&]?=(?!=))\s*\S.*|return\b[^.]*;|return(?: [\w.]+)?|[\w.$:]+\([^()]*(?:\([^()]*\)[^()]*)*\)\s*;?|(?:if|for|while|switch|else|elif|try|catch|def|func|fn|let|var|const)\b.*[{:;]|[})\]]+;?|import .*;?|.*[;{}])$")
-#: Longer lines are no rulers, code or stand-ins.
-LINE = 400
 PROSE_END = re.compile(r"[.!?。:;]\W*$")
 MARKS = re.compile(r"^(?://[/!]?|/\*+!?|\*(?!/)|#+!?)\s?")
 TAG = re.compile(r"^(?:[@\\]([\w-]+)|:(\w+)(?:\s+([^:]*))?:|<(\w+)(?:\s[^>]*)?>)\s*(.*)$", re.S)
@@ -149,6 +162,19 @@ def comment_lines(text: str) -> list[str]:
     return lines
 
 
+def is_ruler(line: str) -> bool:
+    """Whether a line is nothing but signs, or at most two words beside a row of them."""
+    m = RULER.match(line)
+    if not m:
+        return False
+    lead, words, tail = m.groups()
+    if not words:
+        return True
+    ruled = tail.strip()
+    before = lead.rstrip()[-3:]
+    return len(before) == 3 and RULES.issuperset(before) and RULES.issuperset(ruled) or not lead and len(ruled) >= 4 and (RULES - {"."}).issuperset(ruled)
+
+
 def _known(word: str, names: list[str]) -> bool:
     """Whether a word is, but for its ending, one of the names."""
     w = word.lower()
@@ -181,7 +207,7 @@ def says_something(text: str | None, name: str | None, signature: str | None) ->
         if not line:
             joined = False
             continue
-        if len(line) <= LINE and (RULER.match(line) or CODE.match(line) or TOOL.match(line) or STAND_IN.match(line)):
+        if is_ruler(line) or CODE.match(line) or TOOL.match(line) or STAND_IN.match(line):
             joined = False
             continue
         if joined and not TAG.match(line):
@@ -212,8 +238,8 @@ def _unit_says(unit: str, names: list[str]) -> bool:
         if tag == "deprecated" and len(ANY_WORD.findall(rest)) < 3:
             return False
         return bool(rest.strip()) and not POINTER.match(rest) and not STAND_IN.match(rest) and _says(rest, names + ([w.lower() for w in NAME_WORD.findall(argument)] if argument else []))
-    unit = re.sub(r"</?\w+(?:\s[^>]*)?/?>", " ", unit).strip()
-    if not unit or TO_DO.match(unit) or TOOL.match(unit) or LICENCE.search(unit) or len(unit) <= LINE and (STAND_IN.match(unit) or POINTER.match(unit) or RULER.match(unit) or CODE.match(unit) or re.fullmatch(r"\{@?\w+\}", unit)):
+    unit = re.sub(r"</?\w+(?:\s[^<>]*)?/?>", " ", unit).strip()
+    if not unit or TO_DO.match(unit) or TOOL.match(unit) or LICENCE.search(unit) or STAND_IN.match(unit) or POINTER.match(unit) or is_ruler(unit) or CODE.match(unit) or re.fullmatch(r"\{@?\w+\}", unit):
         return False
     return _says(unit, names)
 
@@ -247,17 +273,16 @@ def declarations(expected: DataFrame) -> DataFrame:
     return s.groupBy("file_id", F.col("s.start_line").alias("start_line")).agg(F.min(F.struct("s.name", "s.signature")).alias("x")).select("file_id", "start_line", "x.name", "x.signature")
 
 
-def attached(rows: DataFrame) -> DataFrame:
-    """(file_id, start_line, documentation): the comment or docstring at each line of code that has any.
+def comments_above(rows: DataFrame) -> DataFrame:
+    """(file_id, start_line, comment): the comment at each line of code that has one.
 
     Islands are runs of lines of one kind without a gap. The comment island that ends right above a code island, or
-    above the attributes right above it, belongs to the island's first line; lag windows over islands find it. A Python
-    string statement belongs to the `def` row just before it.
+    above the attributes right above it, belongs to the island's first line; lag windows over islands find it.
     """
     w = Window.partitionBy("file_id").orderBy("pos")
-    solid = rows.where(F.col("kind") != "trailing")
     same = (F.lag("kind").over(w) == F.col("kind")) & (F.col("line") <= F.lag("end_line").over(w) + 1)
-    numbered = solid.withColumn("gap", F.when(same, 0).otherwise(1)).withColumn("island", F.sum("gap").over(w))
+    some = rows.select("file_id", "pos", "line", "end_line", "kind", F.when(F.col("kind") == "comment", F.col("text")).alias("text"))
+    numbered = some.withColumn("gap", F.when(same, 0).otherwise(1)).withColumn("island", F.sum("gap").over(w))
     said = F.array_sort(F.collect_list(F.when(F.col("kind") == "comment", F.struct("pos", "text"))))
     islands = numbered.groupBy("file_id", "island", "kind").agg(F.min("line").alias("first"), F.max("end_line").alias("last"), F.array_join(F.transform(said, lambda x: x["text"]), "\n").alias("text"))
     v = Window.partitionBy("file_id").orderBy("island")
@@ -265,58 +290,64 @@ def attached(rows: DataFrame) -> DataFrame:
     touching = [back("last", 1) == F.col("first") - 1, back("last", 2) == back("first", 1) - 1, back("last", 3) == back("first", 2) - 1]
     comment, attribute = [back("kind", n) == "comment" for n in (1, 2, 3)], [back("kind", n) == "attribute" for n in (1, 2)]
     near = F.when(touching[0] & comment[0], back("text", 1))
-    beyond = F.when(touching[0] & attribute[0] & touching[1] & comment[1], back("text", 2)).when(touching[0] & comment[0] & touching[1] & attribute[1] & touching[2] & comment[2], back("text", 3))
-    above = islands.select("file_id", F.col("first").alias("start_line"), "kind", F.concat_ws("\n", beyond, near).alias("documentation")).where((F.col("kind") == "code") & (F.col("documentation") != "")).drop("kind")
-    inner = rows.where(F.col("kind").isin("code", "string"))
-    held = inner.select("file_id", "kind", "text", F.lag("kind").over(w).alias("before"), F.lag("line").over(w).alias("start_line"), F.lag("text").over(w).alias("head"))
-    docstrings = held.where((F.col("kind") == "string") & (F.col("before") == "code") & F.col("head").rlike(r"^(?:async\s+)?def\b")).select("file_id", "start_line", F.col("text").alias("documentation"))
-    return above.unionByName(docstrings)
+    # An attribute over several lines may end on the declaration's own line.
+    beyond = F.when((touching[0] | (back("last", 1) == F.col("first"))) & attribute[0] & touching[1] & comment[1], back("text", 2)).when(touching[0] & comment[0] & touching[1] & attribute[1] & touching[2] & comment[2], back("text", 3))
+    return islands.select("file_id", F.col("first").alias("start_line"), "kind", F.concat_ws("\n", beyond, near).alias("comment")).where((F.col("kind") == "code") & (F.col("comment") != "")).drop("kind")
 
 
 def bodies(rows: DataFrame) -> DataFrame:
-    """(file_id, start_line, end_line) of what each line of code opens: up to the row at which the depth, summed up over the file, falls back to that before the line."""
+    """(file_id, start_line, end_line, docstring) of what each line of code opens.
+
+    A body goes up to the row at which the depth, summed up over the file, falls back to that before the line: the
+    nearest later row that closes the same level, found by one window per file and level. The docstring is the Python
+    string that stands as a statement right behind a `def` row, inside its body.
+    """
     w = Window.partitionBy("file_id").orderBy("pos")
-    code = rows.where(F.col("kind").isin("code", "string"))
-    deep = code.withColumn("after", F.sum("delta").over(w)).withColumn("before", F.col("after") - F.col("delta"))
-    deep = deep.withColumns({"next_delta": F.lead("delta").over(w), "previous_end": F.lag("end_line").over(w)})
-    python = F.col("text").isNotNull()
+    code = rows.where(F.col("kind").isin("code", "string")).select("file_id", "pos", "line", "end_line", "kind", "delta", "braces", F.when(F.col("kind") == "string", F.col("text")).alias("string"), F.when(F.col("kind") == "code", F.col("text")).alias("head"))
+    deep = code.withColumns({"after": F.sum("delta").over(w), "next_delta": F.lead("delta").over(w), "previous_end": F.lag("end_line").over(w), "next_string": F.when(F.lead("kind").over(w) == "string", F.lead("string").over(w))})
+    deep = deep.withColumn("before", F.col("after") - F.col("delta"))
+    is_code, python = F.col("kind") == "code", F.col("head").isNotNull() | F.col("string").isNotNull()
     # A Python row that steps back ends the blocks before it: they close on the line of the row before.
-    closers = deep.where("delta < 0").select("file_id", "pos", F.explode(F.sequence("after", F.col("before") - 1)).alias("level"), F.when(python, F.col("previous_end")).otherwise(F.col("end_line")).alias("close"))
-    entry = F.when(python, F.col("after")).otherwise(F.col("before"))
+    close = F.when(python, F.col("previous_end")).otherwise(F.col("end_line"))
+    closes = F.when(F.col("delta") < 0, F.transform(F.sequence("after", F.col("before") - 1), lambda level: F.struct(level.alias("level"), close.alias("close")))).otherwise(F.array().cast("array<struct<level: bigint, close: int>>"))
+    opens = F.when(is_code, F.array(F.struct(F.when(python, F.col("after")).otherwise(F.col("before")).alias("level"), F.lit(None).cast("int").alias("close")))).otherwise(F.array().cast("array<struct<level: bigint, close: int>>"))
     inline = F.when(python, F.coalesce("next_delta", F.lit(0)) <= 0).otherwise((F.col("delta") == 0) & (F.col("braces") > 0))
-    openers = deep.where("kind = 'code'").select("file_id", "pos", entry.alias("level"), F.lit(None).cast("int").alias("close"), F.col("line").alias("start_line"), F.col("end_line").alias("own_end"), inline.alias("inline"), (~python & (F.col("delta") < 0)).alias("closes"))
-    both = closers.select("file_id", "pos", "level", "close", F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("own_end"), F.lit(None).cast("boolean").alias("inline"), F.lit(None).cast("boolean").alias("closes")).unionByName(openers)
-    ahead = Window.partitionBy("file_id", "level").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    ends = both.withColumn("found", F.first("close", ignorenulls=True).over(ahead)).where("start_line IS NOT NULL")
-    last = rows.groupBy("file_id").agg(F.max("end_line").alias("last_line"))
-    return ends.join(last, "file_id").select("file_id", "start_line", F.when(F.col("inline"), F.col("own_end")).otherwise(F.greatest("own_end", F.coalesce("found", "last_line"))).alias("end_line"))
-
-
-def documented(files: DataFrame, expected: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """(file_id, start_line, name, signature, documentation) of the functions and methods whose documentation says something.
-
-    Defined cases: null texts, unknown languages, JSON and files without an expected row have none; null or empty
-    symbols have none; rows delivered repeatedly count once; a declaration line beyond the text's end has none; any
-    kind of line end and a byte order mark are taken. Kept docstrings of `expected` aren't trusted or read.
+    docstring = F.when(F.col("head") == "def", F.col("next_string"))
+    levels = deep.select("file_id", "pos", F.col("line").alias("start_line"), F.col("end_line").alias("own_end"), inline.alias("inline"), docstring.alias("docstring"), F.explode(F.concat(closes, opens)).alias("x")).select("*", "x.level", "x.close").drop("x")
+    behind = Window.partitionBy("file_id", "level").orderBy(F.col("pos").desc(), F.col("close").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    # In falling order the last close seen is the nearest one behind; what a row closes itself comes after what it opens.
+    own = F.col("close").isNull()
+    last = F.max("own_end").over(Window.partitionBy("file_id"))
+    found = levels.withColumns({"found": F.last("close", ignorenulls=True).over(behind), "last_line": last}).where(own)
+    return found.select("file_id", "start_line", F.when(F.col("inline"), F.col("own_end")).otherwise(F.greatest("own_end", F.coalesce("found", "last_line"))).alias("end_line"), "docstring")
+
+
+def documented(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """(file_id, start_line, end_line, name, signature, documentation) of the functions and methods whose documentation says something.
+
+    The lexed rows are written once; depth windows delimit what each declaration opens, lag windows attach the comment
+    above it, and a docstring belongs to it if it stands inside. Defined cases: null texts, unknown languages, JSON and
+    files without an expected row have none; null or empty symbols have none; rows delivered repeatedly count once; a
+    declaration line without code on it or beyond the text's end has none; any kind of line end and a byte order mark
+    are taken. Kept docstrings of `expected` aren't trusted or read.
     """
-    rows = lexed_files(files, expected) if rows is None else rows
-    docs = attached(rows).groupBy("file_id", "start_line").agg(F.array_join(F.array_sort(F.collect_list("documentation")), "\n\n").alias("documentation"), F.collect_list("documentation").alias("parts"))
-    pairs = declarations(expected).join(docs, ["file_id", "start_line"])
-    schema = "file_id string, start_line int, name string, signature string, documentation string"
+    rows = checkpointed(lexed_files(files, expected))
+    spans = declarations(expected).join(bodies(rows).groupBy("file_id", "start_line").agg(F.max(F.struct("end_line", "docstring")).alias("b")), ["file_id", "start_line"])
+    pairs = spans.join(comments_above(rows), ["file_id", "start_line"], "left").select("file_id", "start_line", "b.end_line", "name", "signature", "comment", "b.docstring").where("comment IS NOT NULL OR docstring IS NOT NULL")
+    schema = "file_id string, start_line int, end_line int, name string, signature string, documentation string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, signatures, parts = (batch.column(i).to_pylist() for i in (2, 3, 5))
-            keep = pa.array([any(says_something(p, n, s) for p in ps) for n, s, ps in zip(names, signatures, parts, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(5)], names=[f.split()[0] for f in schema.split(", ")])
+            names, signatures, *parts = (batch.column(i).to_pylist() for i in (3, 4, 5, 6))
+            keep = pa.array([says_something(a, n, s) or says_something(b, n, s) for n, s, a, b in zip(names, signatures, *parts, strict=True)], pa.bool_())
+            texts = pa.array(["\n\n".join(x for x in both if x) for both in zip(*parts, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).filter(keep) for i in range(5)], texts.filter(keep)], names=[f.split()[0] for f in schema.split(", ")])
 
-    return pairs.select("file_id", "start_line", "name", "signature", "documentation", "parts").mapInArrow(run, schema)
+    return pairs.mapInArrow(run, schema)
 
 
 def code_pairs(files: DataFrame, expected: DataFrame) -> DataFrame:
-    """The rows of documented() with end_line and the code from declaration to the end of the body."""
-    rows = checkpointed(lexed_files(files, expected))
-    found = documented(files, expected, rows).join(bodies(rows), ["file_id", "start_line"])
+    """The rows of documented() with the code from declaration to the end of the body."""
     one = latest_rows(files.where(F.col("file_id").isNotNull()), ["file_id"], "delivered_at", ["source_text"])
     lines = F.split(F.regexp_replace("source_text", r"\r\n?", "\n"), "\n")
-    return found.join(one, "file_id").select("file_id", "start_line", "end_line", "name", "signature", F.array_join(F.slice(lines, F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("code"), "documentation")
+    return documented(files, expected).join(one, "file_id").select("file_id", "start_line", "end_line", "name", "signature", F.array_join(F.slice(lines, F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("code"), "documentation")

@@ -222,3 +222,21 @@ def test_pairs(spark):
     assert {k: v[0] for k, v in got.items()} == {("p", 3): 4, ("p", 6): 11, ("p", 22): 22, ("c", 3): 6, ("c", 9): 12}
     assert got["c", 9][1] == 'fn two()\n{\n    let s = "}";\n}' and got["p", 3][1] == "def above(a):\n    return a"
     assert docs.documented(files.limit(0), expected).count() == 0 and docs.documented(files, expected.limit(0)).count() == 0
+
+
+def test_attributes_over_several_lines(spark):
+    java = "class A {\n    // Retries once, then gives up for good.\n    @Foo(\n        a = 1,  // unused\n        b = {2, 3}\n    )\n    @Bar\n    void f() {\n    }\n\n    // Closes the socket after ten idle seconds.\n    @Foo(\n        1\n    ) void g() {\n    }\n}\n"
+    rust = "/// Only built where threads exist.\n#[cfg(\n    all(unix, threads)\n)]\nfn f() {\n}\n"
+    sharp = "class A {\n    /// <summary>Keeps the oldest entry when full.</summary>\n    [Attr(\n        1)]\n    void F() {\n    }\n}\n"
+    texts = {"j": ("java", java, [("f", 8), ("g", 14)]), "r": ("rust", rust, [("f", 5)]), "s": ("csharp", sharp, [("F", 5)])}
+    files = spark.createDataFrame([(k, "r", "p", None, t, None, "t", "k") for k, (_, t, _) in texts.items()], FILES)
+    expected = spark.createDataFrame([(k, lang, [("function", n, line, "()", None) for n, line in at]) for k, (lang, _, at) in texts.items()], "file_id string, language string, symbols array<struct<kind: string, name: string, start_line: int, signature: string, docstring: string>>")
+    got = {(r.file_id, r.start_line): r.end_line for r in docs.documented(files, expected).collect()}
+    assert got == {("j", 8): 9, ("j", 14): 15, ("r", 5): 6, ("s", 5): 6}
+
+
+def test_long_lines_are_judged_whole():
+    code = "x = sort(y, " + "value, " * 200 + "z);"
+    assert not says_something("// " + code, "f", "()") and not says_something("# " + "-" * 5000 + " helpers " + "-" * 5000, "f", "()")
+    assert says_something("// " + "Waits until the slowest of the workers has answered. " * 40, "f", "()")
+    assert not says_something("# " + "-" * 20000 + "x", "x", "()") and not says_something("// see " + "a.b " * 4, "f", "()")
