@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,10 +26,13 @@ FENCE = re.compile(r"```.*?```", re.S)
 MACHINE = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|at \S+ ?\(|Traceback |File \"|[-*] \[[^\]]*\]\(#)").match
 #: Lines beside the text of an honest page: headings, and a label with a few words or links.
 BESIDE = re.compile(r"^\s*#{1,6} ").match
+LINK_LETTERS = 12
 LABELLED, LABELLED_WORDS = re.compile(r"^\s*[^\W\d_][\w ]{0,20}: ").match, 12
 #: Top-level domains by which a bare host name is told from a file or field name.
 DOMAINS = "com|org|net|info|biz|edu|gov|io|app|dev|shop|site|online|store|xyz|club|top|link|live|pro|blog|example|test|invalid|de|fr|es|nl|pl|ru|jp|cn|kr|br|eu|ch|se|fi|dk|cz|pt|tr|uk|au|ca"
 LINK = re.compile(rf"\[[^\]\n]*\]\([^)\s]*\)|<a\s[^>]*>.*?</a>|(?:https?://|www\.)[^\s)>\]]+|\b(?:[a-z0-9-]{{1,63}}\.){{1,8}}(?:{DOMAINS})\b(?:/[^\s)>\]]*)?", re.I)
+#: A text without any of these has no link.
+LINKED = re.compile(rf"://|www\.|\]\(|<a\s|\.(?:{DOMAINS})\b", re.I).search
 SEPARATOR = re.compile(r"[,;|»›•·#/*~、，；｜・]|(?<=\s)[-–—>](?=\s)")
 SENTENCE_END = re.compile(r"(?<=[.!?।؟])\s+|(?<=[。！？])")
 ENDED = re.compile(r"[.!?。！？।؟…][\"'»”’)\]*_]*\s*$").search
@@ -45,6 +49,7 @@ WORD_LETTERS = 40
 
 FEATURES = "page_lang string, evidence int, prose double, function_share double, top_share double, pair_share double, bigram_share double, duplicate_lines double, link_share double, separators double"
 #: Shares from which on a page without prose is spam, with the reason told: links, words, bigrams, lines, separators.
+MOSTLY_PROSE = 0.6
 SIGNALS = {"link_share": (0.4, "links"), "duplicate_lines": (0.5, "repeated lines"), "pair_share": (0.2, "keywords"), "bigram_share": (0.1, "keywords"), "top_share": (0.1, "keywords"), "separators": (0.3, "tags")}
 
 
@@ -124,22 +129,24 @@ def _page_lines(text: str) -> list[tuple[str, str, int]]:
 
     Lines beside the text don't, unless they hold more than twice as much as the rest.
     """
-    linked = LINK.search(text) is not None
+    linked = LINKED(text) is not None
     body, beside, sizes = [], [], [0, 0]
     for line in (FENCE.sub("\n", text) if "```" in text else text).split("\n"):
         if not line or line.isspace() or MACHINE(line):
             continue
-        bare, n = LINK.subn(" ", line) if linked else (line, 0)
-        words = len(WORD(bare)) + 2 * n
-        aside = BESIDE(line) is not None or n <= 8 and words <= LABELLED_WORDS and ": " in line[:30] and LABELLED(line) is not None
+        bare, n = LINK.subn(" ", line) if linked and LINKED(line) else (line, 0)
+        size = len(bare) + LINK_LETTERS * n
+        aside = BESIDE(line) is not None or n <= 8 and ": " in line[:30] and LABELLED(line) is not None and len(WORD(bare)) + 2 * n <= LABELLED_WORDS
         (beside if aside else body).append((line, bare, n))
-        sizes[aside] += words
+        sizes[aside] += size
     return body if sizes[1] <= 2 * sizes[0] else body + beside
 
 
 def page_features(text: str, languages: dict[str, Language]) -> tuple:
     """The values of FEATURES for one text. Fenced code, logs and stack traces are neither prose nor spam.
 
+    The shares of bigrams and separators only tell kinds of spam apart; for pages mostly of prose they are null.
+
     page_lang is the learned language whose function words the page has most of, 'unspaced' where letters of scripts
     without blanks prevail, or 'other' if less than half of the words are usual in any learned language.
     """
@@ -149,21 +156,24 @@ def page_features(text: str, languages: dict[str, Language]) -> tuple:
     link_chars = sum(len(line) - len(bare) for line, bare, n in rows if n)
     times: Counter = Counter()
     sentences: list[tuple[list[str], bool, str]] = []
-    foreign = UNSPACED.search(text) is not None
+    foreign = not text.isascii() and UNSPACED.search(text) is not None
     for _, bare, _ in rows:
         low = bare.lower()
         times[low] += 1
         kept = times[low] <= LINE_COPIES
         for part in SENTENCE_END.split(low):
-            if s := [w for w in WORD(part) if len(w) <= WORD_LETTERS or foreign and UNSPACED.match(w)]:
+            if s := WORD(part):
+                if max(map(len, s)) > WORD_LETTERS:
+                    s = [w for w in s if len(w) <= WORD_LETTERS or foreign and UNSPACED.match(w)]
                 sentences.append((s, kept, part))
-    counts = Counter(w for s, _, _ in sentences for w in s)
+    words = [w for s, _, _ in sentences for w in s]
+    counts = Counter(words)
     n, letters = counts.total(), sum(len(w) * k for w, k in counts.items())
     runs = {w for w in counts if len(UNSPACED.findall(w)) * 2 > len(w)} if foreign else frozenset()
     unspaced = sum(len(w) * counts[w] for w in runs) * 2 > letters
     lang, known = "other", None
     if n and not unspaced:
-        shares = {label: (sum(k for w, k in counts.items() if w in x.function) / n, sum(k for w, k in counts.items() if w in x.usual) / n) for label, x in languages.items()}
+        shares = {label: (sum(map(counts.__getitem__, x.function.intersection(counts))) / n, sum(map(counts.__getitem__, x.usual.intersection(counts))) / n) for label, x in languages.items()}
         usual = max((u for _, u in shares.values()), default=0.0)
         if usual >= 0.5:
             lang = max(shares, key=lambda label: (shares[label][0], shares[label][1], label))
@@ -173,9 +183,10 @@ def page_features(text: str, languages: dict[str, Language]) -> tuple:
         lang = "unspaced"
     weight = n + sum((len(w) // 2 - 1) * counts[w] for w in runs)
     # What recurs is hot; short words may be function words where those aren't known.
-    content = {w for w in counts if (w not in function if known else w in runs or len(w) > 3 or len(w) > 1 and HANGUL.match(w))}
-    top = Counter({w: counts[w] for w in content}).most_common(2)
-    hot = {w for w in content if counts[w] >= HOT_COUNT and counts[w] >= HOT_SHARE * n and (w not in runs or len(w) < RUN_LETTERS)}
+    content = set(counts) - function if known else {w for w in counts if w in runs or len(w) > 3 or len(w) > 1 and HANGUL.match(w)}
+    top = nlargest(2, map(counts.__getitem__, content))
+    bar = max(HOT_COUNT, HOT_SHARE * n)
+    hot = {w for w in content if counts[w] >= bar and (w not in runs or len(w) < RUN_LETTERS)} if top and top[0] >= bar else frozenset()
     kana = bool(runs) and KANA.search(text) is not None
     prose = total = functions = 0
     for s, kept, part in sentences:
@@ -194,11 +205,13 @@ def page_features(text: str, languages: dict[str, Language]) -> tuple:
             prose += size
         elif not known and len(s) >= SHAPE_WORDS and ENDED(part) and len(set(s)) >= SHAPE_VARIETY * len(s) and len(SEPARATOR.findall(part)) <= SHAPE_SEPARATORS * len(s):
             prose += size
-    words = [w for s, _, _ in sentences for w in s]
-    pairs = Counter(zip(words, words[1:], strict=False)).most_common(1) if n > 1 else []
-    separators = sum(len(SEPARATOR.findall(bare)) for _, bare, _ in rows) / max(1, weight)
+    share = prose / max(1, total + link_chars)
+    bigram = separators = None
+    if share < MOSTLY_PROSE:
+        pairs = max(Counter(zip(words, words[1:], strict=False)).values(), default=0)
+        bigram, separators = pairs / n if pairs > 1 else 0.0, sum(len(SEPARATOR.findall(bare)) for _, bare, _ in rows) / max(1, weight)
     repeated = 1 - len(times) / len(rows) if rows else 0.0
-    return (lang, weight + 2 * links, prose / max(1, total + link_chars), functions / max(1, n) if known else None, top[0][1] / n if top else 0.0, sum(k for _, k in top) / max(1, n), pairs[0][1] / n if pairs and pairs[0][1] > 1 else 0.0, repeated, link_chars / max(1, chars), separators)
+    return (lang, weight + 2 * links, share, functions / max(1, n) if known else None, top[0] / n if top else 0.0, sum(top) / max(1, n), bigram, repeated, link_chars / max(1, chars), separators)
 
 
 def document_features(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[DataFrame, dict[str, Language]]:
