@@ -23,9 +23,9 @@ HANGUL = re.compile(r"[\uac00-\ud7af]")
 HIRAGANA, KANA = re.compile(r"[\u3041-\u309f]"), re.compile(r"[\u3040-\u30ff]")
 FENCE = re.compile(r"```.*?```", re.S)
 #: Lines of machines: time stamps of logs, frames of stack traces, lists of links within the page.
-MACHINE = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|at \S+ ?\(|Traceback |File \"|[-*] \[[^\]]*\]\(#)").match
-#: Lines beside the text of an honest page: headings, and a label with a few words or links.
-BESIDE = re.compile(r"^\s*#{1,6} ").match
+MACHINE = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T\s]\s*\d\d:\d\d|at \S+ ?\(|Traceback |File \"|[-*] \[[^\]]*\]\(#)").match
+#: Lines beside the text of an honest page: headings, a label with a few words or links, or with none.
+BESIDE = re.compile(r"^\s*(?:#{1,6} |[^\W\d_][\w ]{0,30}:\s*$)").match
 LINK_LETTERS = 12
 LABELLED, LABELLED_WORDS = re.compile(r"^\s*[^\W\d_][\w ]{0,20}: ").match, 12
 #: Top-level domains by which a bare host name is told from a file or field name.
@@ -40,6 +40,8 @@ ENDED = re.compile(r"[.!?。！？।؟…][\"'»”’)\]*_]*\s*$").search
 #: A word is hot if it makes up that share of all words of a page and occurs so often; a sentence with that share of hot
 #: words isn't prose.
 HOT_SHARE, HOT_COUNT, HOT_IN_SENTENCE, SENTENCE_WORDS = 0.1, 6, 0.25, 4
+#: A function word is overused at that many times its usual share; a sentence has at most so many separators a word.
+OVERUSED, SEPARATED = 4.0, 0.4
 #: Where a language's function words aren't known, a sentence is told by its end, length, variety and few separators.
 SHAPE_WORDS, SHAPE_VARIETY, SHAPE_SEPARATORS = 5, 0.6, 0.25
 #: A run of letters that is no keyword in an unspaced script, and how often a repeated line still counts as prose.
@@ -50,14 +52,14 @@ WORD_LETTERS = 40
 FEATURES = "page_lang string, evidence int, prose double, function_share double, top_share double, pair_share double, bigram_share double, duplicate_lines double, link_share double, separators double"
 #: Shares from which on a page without prose is spam, with the reason told: links, words, bigrams, lines, separators.
 MOSTLY_PROSE = 0.6
-SIGNALS = {"link_share": (0.4, "links"), "duplicate_lines": (0.5, "repeated lines"), "pair_share": (0.2, "keywords"), "bigram_share": (0.1, "keywords"), "top_share": (0.1, "keywords"), "separators": (0.3, "tags")}
+SIGNALS = {"link_share": (0.4, "links"), "duplicate_lines": (0.5, "repeated lines"), "pair_share": (0.2, "keywords"), "bigram_share": (0.1, "keywords"), "top_share": (0.1, "keywords"), "separators": (0.25, "tags")}
 
 
 @dataclass(frozen=True)
 class Language:
-    """What the corpus tells of a language: its function words, its usual words, and the least share of function words in a sentence."""
+    """What the corpus tells of a language: its function words with their shares of all words, its usual words, and the least share of function words in a sentence."""
 
-    function: frozenset[str]
+    function: dict[str, float]
     usual: frozenset[str]
     least: float
 
@@ -116,12 +118,11 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", fun
     rows = counts.where("word <> ''").join(bounded_broadcast(totals), "label").where(share >= usual_share).select("label", "word", share.alias("share"), (F.col("uses") / F.col("words")).alias("part")).collect()
     found: dict[str, list] = {}
     for r in rows:
-        words = found.setdefault(r["label"], [set(), set(), 0.0])
+        words = found.setdefault(r["label"], [{}, set()])
         words[1].add(r["word"])
         if r["share"] >= function_share:
-            words[0].add(r["word"])
-            words[2] += r["part"]
-    return {label: Language(frozenset(f), frozenset(u), 0.4 * part) for label, (f, u, part) in found.items() if f}
+            words[0][r["word"]] = r["part"]
+    return {label: Language(f, frozenset(u), 0.4 * sum(f.values())) for label, (f, u) in found.items() if f}
 
 
 def _page_lines(text: str) -> list[tuple[str, str, int]]:
@@ -145,7 +146,7 @@ def _page_lines(text: str) -> list[tuple[str, str, int]]:
 def page_features(text: str, languages: dict[str, Language]) -> tuple:
     """The values of FEATURES for one text. Fenced code, logs and stack traces are neither prose nor spam.
 
-    The shares of bigrams and separators only tell kinds of spam apart; for pages mostly of prose they are null.
+    function_share is that of function words in what isn't prose. The shares of bigrams and separators only tell kinds of spam apart; for pages mostly of prose they are null.
 
     page_lang is the learned language whose function words the page has most of, 'unspaced' where letters of scripts
     without blanks prevail, or 'other' if less than half of the words are usual in any learned language.
@@ -173,45 +174,47 @@ def page_features(text: str, languages: dict[str, Language]) -> tuple:
     unspaced = sum(len(w) * counts[w] for w in runs) * 2 > letters
     lang, known = "other", None
     if n and not unspaced:
-        shares = {label: (sum(map(counts.__getitem__, x.function.intersection(counts))) / n, sum(map(counts.__getitem__, x.usual.intersection(counts))) / n) for label, x in languages.items()}
+        shares = {label: (sum(map(counts.__getitem__, [w for w in counts if w in x.function])) / n, sum(map(counts.__getitem__, x.usual.intersection(counts))) / n) for label, x in languages.items()}
         usual = max((u for _, u in shares.values()), default=0.0)
         if usual >= 0.5:
             lang = max(shares, key=lambda label: (shares[label][0], shares[label][1], label))
             known = languages[lang]
-    function = known.function if known else frozenset()
+    function = known.function if known else {}
     if unspaced:
         lang = "unspaced"
     weight = n + sum((len(w) // 2 - 1) * counts[w] for w in runs)
     # What recurs is hot; short words may be function words where those aren't known.
-    content = set(counts) - function if known else {w for w in counts if w in runs or len(w) > 3 or len(w) > 1 and HANGUL.match(w)}
+    # A function word counts as content where a page has it several times as often as the language.
+    content = {w for w, k in counts.items() if w not in function or k >= OVERUSED * function[w] * n} if known else {w for w in counts if w in runs or len(w) > 3 or len(w) > 1 and HANGUL.match(w)}
     top = nlargest(2, map(counts.__getitem__, content))
     bar = max(HOT_COUNT, HOT_SHARE * n)
     hot = {w for w in content if counts[w] >= bar and (w not in runs or len(w) < RUN_LETTERS)} if top and top[0] >= bar else frozenset()
     kana = bool(runs) and KANA.search(text) is not None
-    prose = total = functions = 0
+    prose = total = functions = rest = 0
     for s, kept, part in sentences:
         size = sum(map(len, s))
         total += size
         f = sum(map(function.__contains__, s)) if function else 0
-        functions += f
-        if not kept:
-            continue
-        if hot and sum(map(hot.__contains__, s)) >= HOT_IN_SENTENCE * len(s):
-            continue
-        if runs and sum(len(w) for w in s if w in runs) * 2 > size:
-            running = sum(len(w) for w in s if w in runs and len(w) >= RUN_LETTERS and (not kana or HIRAGANA.search(w)))
-            prose += size if running * 2 >= size else 0
-        elif known and len(s) >= SENTENCE_WORDS and f >= known.least * len(s):
-            prose += size
-        elif not known and len(s) >= SHAPE_WORDS and ENDED(part) and len(set(s)) >= SHAPE_VARIETY * len(s) and len(SEPARATOR.findall(part)) <= SHAPE_SEPARATORS * len(s):
+        if not kept or hot and sum(map(hot.__contains__, s)) >= HOT_IN_SENTENCE * len(s):
+            running = False
+        elif runs and sum(len(w) for w in s if w in runs) * 2 > size:
+            running = sum(len(w) for w in s if w in runs and len(w) >= RUN_LETTERS and (not kana or HIRAGANA.search(w))) * 2 >= size
+        elif known:
+            running = len(s) >= SENTENCE_WORDS and f >= known.least * len(s) and len(SEPARATOR.findall(part)) <= SEPARATED * len(s)
+        else:
+            running = len(s) >= SHAPE_WORDS and ENDED(part) is not None and len(set(s)) >= SHAPE_VARIETY * len(s) and len(SEPARATOR.findall(part)) <= SHAPE_SEPARATORS * len(s)
+        if running:
             prose += size
+        else:
+            functions += f
+            rest += len(s)
     share = prose / max(1, total + link_chars)
     bigram = separators = None
     if share < MOSTLY_PROSE:
         pairs = max(Counter(zip(words, words[1:], strict=False)).values(), default=0)
         bigram, separators = pairs / n if pairs > 1 else 0.0, sum(len(SEPARATOR.findall(bare)) for _, bare, _ in rows) / max(1, weight)
     repeated = 1 - len(times) / len(rows) if rows else 0.0
-    return (lang, weight + 2 * links, share, functions / max(1, n) if known else None, top[0] / n if top else 0.0, sum(top) / max(1, n), bigram, repeated, link_chars / max(1, chars), separators)
+    return (lang, weight + 2 * links, share, functions / max(1, rest) if known else None, top[0] / n if top else 0.0, sum(top) / max(1, n), bigram, repeated, link_chars / max(1, chars), separators)
 
 
 def document_features(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[DataFrame, dict[str, Language]]:
