@@ -49,17 +49,17 @@ def _sizes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         active = state.where("anc IS NOT NULL")
         sums = active.groupBy("g", "anc").agg(F.sum("size").alias("more")).withColumnRenamed("anc", "node")
         up = _lookup(active.select(*KEY, "anc"), "anc", active, ["anc"]).select(*KEY, F.col("__anc").alias("next"))
-        state = checkpointed(state.join(sums, KEY, "left").join(up, KEY, "left").select(*KEY, "par", F.col("next").alias("anc"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        state = checkpointed(state.join(sums, KEY, "left").join(up, KEY, "left").select(*KEY, "par", F.col("next").alias("anc"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), state)
         now = state.where("anc IS NOT NULL").count()
         if now == left:
             break
         left = now
     forest = state.where("anc IS NULL").select(*KEY, "par", "size")
-    rest = state.where("anc IS NOT NULL").select(*KEY, "anc")
+    rest = checkpointed(state.where("anc IS NOT NULL").select(*KEY, "anc"))
     images, before = rest.select("g", F.col("anc").alias("node")).distinct(), -1
     while left and (n := images.count()) != before:
         before = n
-        rest = checkpointed(_lookup(rest, "anc", rest, ["anc"]).select(*KEY, F.col("__anc").alias("anc")))
+        rest = checkpointed(_lookup(rest, "anc", rest, ["anc"]).select(*KEY, F.col("__anc").alias("anc")), rest)
         images = rest.select("g", F.col("anc").alias("node")).distinct()
     cyclic = rest.select(*KEY).join(images.withColumn("hit", F.lit(True)), KEY, "left").select(*KEY, F.col("hit").isNotNull().alias("on_cycle"))
     return forest, cyclic
@@ -74,7 +74,7 @@ def _jump(df: DataFrame) -> DataFrame:
     while not state.where(~F.col("done")).isEmpty():
         moved = _lookup(state.where(~F.col("done")), "ptr", state, ["ptr", "dist", "done"])
         moved = moved.select(*KEY, F.col("__ptr").alias("ptr"), (F.col("dist") + F.col("__dist")).alias("dist"), F.col("__done").alias("done"))
-        state = checkpointed(state.where("done").unionByName(moved))
+        state = checkpointed(state.where("done").unionByName(moved), state)
     return state.drop("done")
 
 
@@ -124,8 +124,7 @@ def paths(h: Hierarchy) -> DataFrame:
         found = _lookup(rest, "up", level, ["prefix", "names"]).where("__names IS NOT NULL")
         level = checkpointed(found.select(*KEY, F.concat("__prefix", F.slice("__names", F.lit(1), F.col("at").cast("int") + 1)).alias("prefix"), "names"))
         whole = whole.unionByName(level)
-        rest = rest.join(level.select(*KEY), KEY, "left_anti")
-        rest = checkpointed(rest)
+        rest = checkpointed(rest.join(level.select(*KEY), KEY, "left_anti"), rest)
     full = _lookup(h.nodes.select(*KEY, "head", "off"), "head", whole, ["prefix", "names"]).select(*KEY, F.concat("__prefix", F.slice("__names", F.lit(1), F.col("off").cast("int") + 1)).alias("path"))
     return roots_and_depths(h).join(full, KEY, "left")
 
@@ -150,7 +149,15 @@ def intervals(h: Hierarchy) -> DataFrame:
     return placed.select(*KEY, F.col("__ptr").alias("root"), first.alias("first"), (first + F.col("size") - 1).alias("last"))
 
 
-def descendants(h: Hierarchy) -> DataFrame:
-    """(g, node, descendant, distance): every pair of a node and a node below it, read off the chain segments of the paths; as many rows as the result has."""
-    p = paths(h).where("path IS NOT NULL")
-    return p.select("g", F.col("node").alias("descendant"), "depth", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("at", "node")).select("g", "node", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+def descendants(h: Hierarchy, stretch: int = 4096) -> DataFrame:
+    """(g, node, descendant, distance): every pair of a node and a node below it; as many rows as the result has.
+
+    The descendants of a node are an interval of the places of its root. Intervals are cut into stretches, whose places
+    are looked up one by one; a place is asked for once by each node above it, so no place is hotter than the tree is
+    deep.
+    """
+    at = checkpointed(intervals(h).join(roots_and_depths(h).select(*KEY, "depth"), KEY))
+    starts = at.where(F.col("last") > F.col("first")).select(*KEY, "root", "last", F.col("depth").alias("__top"), F.explode(F.sequence(F.col("first") + 1, F.col("last"), F.lit(stretch).cast("long"))).alias("from"))
+    asked = starts.select(*KEY, "root", "__top", F.explode(F.sequence("from", F.least("last", F.col("from") + stretch - 1))).alias("place"))
+    there = at.select("g", "root", F.col("first").alias("place"), F.col("node").alias("descendant"), "depth")
+    return asked.join(there, ["g", "root", "place"]).select("g", "node", "descendant", (F.col("depth") - F.col("__top")).alias("distance"))

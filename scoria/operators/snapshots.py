@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoria.plans.runtime import bounded_broadcast
+from scoria.plans.runtime import bounded_broadcast, checkpointed
 
 
 def hex_number(c: Column) -> Column:
@@ -41,8 +41,8 @@ def snapshot_changes(rows: DataFrame, versions: DataFrame, *, group: str = "proj
     chain = chain.select(F.col(group).alias("__g"), F.col(version).alias("__v"), F.col("next_version").alias("__next"), F.col("is_first").alias("__first"))
     picked = rows.select(F.col(group).alias("g"), F.col(version).alias("v"), F.col(key).alias("k"), content.alias("c"), F.col(at).alias("at"))
     picked = picked.where(F.col("k").isNotNull()).join(bounded_broadcast(chain), (F.col("g") == F.col("__g")) & (F.col("v") == F.col("__v")))
-    # One shuffle by key serves the correction of rows and both set differences below.
-    state = picked.groupBy("g", "k", "v", "__next", "__first").agg(F.max(F.struct("at", "c")).alias("best")).select("g", "k", "v", "__next", "__first", F.col("best.c").alias("c"))
+    # Corrections are settled once; both set differences read the result.
+    state = checkpointed(picked.groupBy("g", "k", "v", "__next", "__first").agg(F.max(F.struct("at", "c")).alias("best")).select("g", "k", "v", "__next", "__first", F.col("best.c").alias("c")))
     now = state.where(~F.col("__first")).select("g", "v", "k", "c")
     before = state.where(F.col("__next").isNotNull()).select("g", F.col("__next").alias("v"), "k", "c")
     gained = now.exceptAll(before).withColumn("in_new", F.lit(True))
