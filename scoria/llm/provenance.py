@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoria.operators.centrality import components
 from scoria.operators.snapshots import latest_rows
-from scoria.plans.runtime import checkpointed
+from scoria.plans.runtime import checkpointed, shared_path
 
 #: Directories that package managers and people keep other people's code in, by their exact names.
 VENDOR_DIRS = r"(?:^|/)(?:node_modules|bower_components|jspm_packages|vendor|vendored|_vendor|_vendored|third[-_]?party|3rd[-_]?party|external|externals|extern|deps|site-packages|dist-packages|Carthage/Checkouts|Pods|\.yarn)/"
@@ -27,11 +28,12 @@ def _lines(text: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"\r\n?", "\n"), "\n")
 
 
-def file_evidence(files: DataFrame) -> DataFrame:
+def file_evidence(files: DataFrame, least_minified: int = 500, least_data: int = 300) -> DataFrame:
     """(file_id, repo, path, language, made, minified, data, copied, size, leaf), one row per file.
 
     `leaf` is the hash of the contents as a copy keeps them: without the comment block at the top, marks of byte order,
-    kinds of line end and blanks at line ends. Null and empty texts have no evidence but the path.
+    kinds of line end and blanks at line ends. Null and empty texts have no evidence but the path. Code of fewer
+    characters than the two bounds is no evidence of minifying or of data: so little can look like either by chance.
     """
     cols = {"path": "normalized_path", "repo": "repo", "language": "language", "text": "source_text"}
     one = latest_rows(files.where(F.col("file_id").isNotNull()), ["file_id"], "delivered_at", list(cols.values()))
@@ -51,8 +53,8 @@ def file_evidence(files: DataFrame) -> DataFrame:
     return f.select(
         "file_id", "repo", "path", "language",
         (said(BANNER) | F.col("path").rlike(MADE_SUFFIX) | (F.regexp_count("text", F.lit(NUMBERED_SLOT)) >= 5)).alias("made"),
-        (~F.col("json") & (F.length("code") >= 500) & (F.length("text") >= 150 * F.greatest(filled, F.lit(1))) & (bare >= 0.9 * F.length("text"))).alias("minified"),
-        (~F.col("json") & (F.length("code") >= 300) & (F.length(F.regexp_replace("code", LITERALS, "")) <= 0.12 * F.length("code"))).alias("data"),
+        (~F.col("json") & (F.length("code") >= least_minified) & (F.length("text") >= 150 * F.greatest(filled, F.lit(1))) & (bare >= 0.9 * F.length("text"))).alias("minified"),
+        (~F.col("json") & (F.length("code") >= least_data) & (F.length(F.regexp_replace("code", LITERALS, "")) <= 0.12 * F.length("code"))).alias("data"),
         (said(COPIED) | F.col("path").rlike(VENDOR_DIRS)).alias("copied"),
         F.length("body").cast("long").alias("size"), F.sha2("body", 256).alias("leaf"), "json",
     )
@@ -64,26 +66,51 @@ def merkle_tree(leaves: DataFrame, seeds: tuple[int, int] = (11, 97)) -> DataFra
     `leaves` has (repo, path, leaf, size). A directory's hash is that of the multiset of its children's hashes,
     whatever their names, kept as sums so that a directory of any number of children is combined inside each task
     first. The root of a repository isn't a node.
+
+    Each level is written before the next is hashed, so no plan grows with the depth of the paths.
     """
-    parts = F.split("path", "/")
-    level = leaves.select("repo", F.col("path").alias("node"), F.col("leaf").alias("hash"), "size", F.lit(1).cast("long").alias("files"), F.size(parts).alias("depth"))
-    deepest = level.agg(F.max("depth")).first()[0] or 0
-    files = checkpointed(level) if deepest > 1 else level
-    tree, current = files.drop("depth"), files.where(F.col("depth") == deepest).drop("depth")
+    spark = leaves.sparkSession
+    columns = ["repo", "node", "hash", "size", "files"]
+    level = leaves.select("repo", F.col("path").alias("node"), F.col("leaf").alias("hash"), F.col("size").cast("long").alias("size"), F.lit(1).cast("long").alias("files"), F.size(F.split("path", "/")).alias("depth"))
+    files = checkpointed(level)
+    deepest = files.agg(F.max("depth")).first()[0] or 0
+    root = shared_path(spark)
+    above = None
     for depth in range(deepest - 1, 0, -1):
+        here = files.where(F.col("depth") == depth + 1).select(columns)
+        current = here if above is None else here.unionByName(above)
         sums = [F.sum(F.xxhash64("hash", F.lit(s)).cast("decimal(20,0)")).alias(f"sum{s}") for s in seeds]
         up = current.groupBy("repo", F.regexp_replace("node", r"/[^/]*$", "").alias("node")).agg(*sums, F.sum("size").alias("size"), F.sum("files").alias("files"), F.count(F.lit(1)).alias("n"))
-        folders = up.select("repo", "node", F.sha2(F.concat_ws(":", "n", *[f"sum{s}" for s in seeds]), 256).alias("hash"), "size", "files")
-        folders = checkpointed(folders) if depth % 4 == 0 else folders
-        tree = tree.unionByName(folders)
-        current = folders.unionByName(files.where(F.col("depth") == depth).drop("depth"))
-    return tree
+        up.select("repo", "node", F.sha2(F.concat_ws(":", "n", *[f"sum{s}" for s in seeds]), 256).alias("hash"), "size", "files").write.parquet(f"{root}/depth={depth}")
+        above = spark.read.schema(files.select(columns).schema).parquet(f"{root}/depth={depth}")
+    folders = None if above is None else spark.read.schema(files.select(columns).schema).parquet(*[f"{root}/depth={d}" for d in range(1, deepest)])
+    return files.select(columns) if folders is None else files.select(columns).unionByName(folders)
+
+
+def families(leaves: DataFrame, share: float = 0.25) -> DataFrame:
+    """(repo, family) of the repositories that are related: forks and copies of one another as a whole.
+
+    Two repositories are related if the files that both hold with the same contents at the same path are at least
+    `share` of the files of the smaller one. Of the holders of one file each is compared with the first by name, not
+    with all others; relations are followed through. Repositories without any aren't listed.
+    """
+    placed = leaves.select("repo", "path", "leaf").distinct()
+    first = placed.groupBy("path", "leaf").agg(F.min("repo").alias("other"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    counts = leaves.groupBy("repo").agg(F.count_distinct("path").alias("n"))
+    both = placed.join(first, ["path", "leaf"]).where(F.col("repo") != F.col("other")).groupBy("repo", "other").agg(F.count(F.lit(1)).alias("common"))
+    near = both.join(counts, "repo").join(counts.select(F.col("repo").alias("other"), F.col("n").alias("m")), "other").where(F.col("common") >= share * F.least("n", "m"))
+    return components(near, "repo", "other").select(F.col("node").alias("repo"), F.col("component").alias("family"))
 
 
 def shared_subtrees(leaves: DataFrame, least: int = 200) -> DataFrame:
-    """(repo, node) of the files and directories of at least `least` characters that stand in more than one repository."""
+    """(repo, node) of the files and directories of at least `least` characters that stand in unrelated repositories.
+
+    Shorter ones, such as empty package files, are equal by chance.
+    """
+    leaves = checkpointed(leaves)
     tree = merkle_tree(leaves).where(F.col("size") >= least)
-    shared = tree.groupBy("hash").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where(F.col("a") != F.col("b")).select("hash")
+    known = tree.join(families(leaves), "repo", "left").withColumn("family", F.coalesce("family", "repo"))
+    shared = known.groupBy("hash").agg(F.min("family").alias("a"), F.max("family").alias("b")).where(F.col("a") != F.col("b")).select("hash")
     return tree.join(shared, "hash", "left_semi").select("repo", "node")
 
 
@@ -91,7 +118,7 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     """(file_id, reason) of the files that nobody wrote by hand for their project.
 
     Reasons, the first that holds: generated, minified, data, vendored (by its place, its notice, or because the same
-    contents or directory stand in another repository). Defined cases: of rows delivered repeatedly the last holds;
+    contents or directory stand in an unrelated repository; a fork and its origin are related). Defined cases: of rows delivered repeatedly the last holds;
     null file ids are ignored; files of a null repository are judged alone; null and empty texts only by their path;
     JSON is never data or minified, as it may be kept by hand. Other columns aren't read.
     """

@@ -160,6 +160,25 @@ def test_shared_directory_of_small_files(spark):
     assert got == {("r1", "a/lib"), ("r2", "b/c"), ("r2", "b")} - {("r2", "b")} | ({("r2", "b")} & got)
 
 
+def test_forks_are_no_vendored_copies(spark):
+    body = lambda i: f"def f{i}(a):\n    # keeps the order\n" + "".join(f"    a += {i} * {k}\n" for k in range(20)) + "    return a\n"
+    fork = [(f"{repo}{i}", repo, f"src/core/m{i}.py", body(i)) for repo in ("one/tool", "two/tool") for i in range(3)]
+    copied = [(f"lib{repo}{k}", repo, f"{place}/m{k}.py", body(50 + k)) for repo, place in (("one/tool", "a/lib"), ("far/app", "x/y")) for k in range(2)]
+    own = [(f"own{i}", "far/app", f"src/n{i}.py", body(100 + i)) for i in range(3)]
+    files = spark.createDataFrame([(k, repo, p, None, t, None, "", "") for k, repo, p, t in fork + copied + own], FILES)
+    assert {r.file_id for r in provenance.not_handwritten(files).collect()} == {k for k, *_ in copied}
+    leaves = spark.createDataFrame([(repo, p, t, 500) for _, repo, p, t in fork + copied + own], "repo string, path string, leaf string, size long")
+    assert {tuple(r) for r in provenance.families(leaves).collect()} == {("one/tool", "one/tool"), ("two/tool", "one/tool")}
+
+
+def test_merkle_tree_of_deep_paths(spark):
+    deep = "/".join(f"d{i}" for i in range(12))
+    rows = [("r1", f"{deep}/x.py", "h", 500), ("r2", f"q/{deep}/y.py", "h", 500), ("r2", "top.py", "t", 500)]
+    tree = {(r.repo, r.node): r.hash for r in provenance.merkle_tree(spark.createDataFrame(rows, "repo string, path string, leaf string, size long")).collect()}
+    assert tree["r1", deep] == tree["r2", f"q/{deep}"] and len(tree) == 13 + 14 + 1
+    assert provenance.merkle_tree(spark.createDataFrame([], "repo string, path string, leaf string, size long")).count() == 0
+
+
 TRIVIAL = ["", "// ", "/** */", "// TODO", "/* TODO: document */", "// sort locale", "/** Sorts the locale. */", "// This method sorts the locale.", "# nolint", "// eslint-disable-next-line", "/**\n * @param count\n * @returns\n */", "// ---------- helpers ----------", "// see above", "/** {@inheritDoc} */", "// @since 1.5", "/// <summary>Todo.</summary>", "// x = sort(y);\n// return x;", "// Licensed under the terms of X.\n// All rights reserved.", '"""n/a"""', "'''Helper.'''", "// Takes count and returns the result.", "// sortLocale()", "/// <param name=\"count\"></param>"]
 TELLING = ["// Not thread-safe.", "# Panics if empty.", "/** @param count how many to keep, or zero for all */", "/// <returns>the age in days</returns>", "// 負の値は期限切れを意味するので注意してください。", '"""Sorts the locale.\n\n:return: what was left over\n"""', "// TODO\n// Ties are broken by the smaller id.", "# Ist die Liste leer, bleibt der alte Wert gültig.", "// sortLocale runs in linear time, except when most are fresh."]
 

@@ -80,7 +80,7 @@ def test_mixture_meets_shares_and_caps(spark):
     rows = [(i, ["big", "small", "none", None][min(3, int(rnd.random() ** 2 * 4))], rnd.choice([0, 5, 50, 500])) for i in range(3000)]
     sizes = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 4), ("absent", 0.1, 2), (None, 0.2, 1), ("zero", 0.0, 3)], "source string, target_share double, max_repeats int")
-    used, plan = mixture.mix_sources(sizes, targets)
+    used, plan = mixture.mix_sources(sizes, targets, exact=True)
     have, tokens, by_id = used.collect(), defaultdict(int), {r[0]: r for r in rows}
     for r in have:
         assert r.n_tokens == by_id[r.doc_id][2] > 0 and r.copies <= {"big": 1, "small": 4}[r.source]
@@ -90,6 +90,13 @@ def test_mixture_meets_shares_and_caps(spark):
     assert tokens["big"] / total == pytest.approx(2 / 3, abs=0.01) and tokens["small"] / total == pytest.approx(1 / 3, abs=0.01)
     report = {r.source: r for r in mixture.mixture_report(used, plan).collect()}
     assert set(report) == {"big", "small", "absent", "zero"} and report["absent"].mixed == 0 and report["big"].actual_share == pytest.approx(tokens["big"] / total)
+    # By default the mix is planned for what the usable sources hold; a source at its cap falls short and shows it.
+    default = {r.source: r for r in mixture.mixture_report(*mixture.mix_sources(sizes, targets)).collect()}
+    held = default["big"].available + default["small"].available
+    assert default["big"].target_tokens == pytest.approx(held * 2 / 3) and default["big"].short == 0
+    assert default["small"].mixed <= 4 * default["small"].available and default["small"].gap == pytest.approx(0.3 - default["small"].actual_share)
+    short = {r.source: r.short for r in mixture.mixture_report(*mixture.mix_sources(sizes, targets, total_tokens=10 * held)).collect()}
+    assert short["small"] == pytest.approx(10 * held / 3 - 4 * default["small"].available) and short["absent"] == short["zero"] == 0
     full, _ = mixture.mix_sources(sizes, targets, total_tokens=10**9)
     assert all(r.copies == {"big": 1, "small": 4}[r.source] for r in full.collect())
     assert mixture.mix_sources(sizes.limit(0), targets)[0].count() == 0 and mixture.mix_sources(sizes, targets.limit(0))[0].count() == 0
