@@ -25,17 +25,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     n = state.count()
     if not n:
         return state.select("node", F.lit(None).cast("double").alias("pagerank"))
-    state = state.withColumn("score", F.lit(1.0 / n))
+    kept, state = state, state.withColumn("score", F.lit(1.0 / n))
     for i in range(1, rounds + 1):
         loose = state.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("score"))), F.lit(0.0)).alias("x")).scalar()
         given = state.where("out IS NOT NULL").select(F.col("node").alias("source"), (F.col("score") / F.col("out")).alias("share")).join(weights, "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("n")).alias("given"))
         state = state.join(given, "node", "left").select("node", "out", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("given", F.lit(0.0)) + loose / n)).alias("score"))
         if i % write_every == 0 or i == rounds:
-            state = checkpointed(state)
+            state = checkpointed(state, kept)
+            kept = state
     return state.select("node", F.round("score", GRAIN).alias("pagerank"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, betweenness) from shortest paths out of the given sources (column node), scaled to all nodes.
 
     All sources are walked at once, level by level: path counts are summed forward over (source, node) rows, and
@@ -46,7 +47,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame, max_dept
     step = checkpointed(edges.select("source", "target").where(F.col("source") != F.col("target")).distinct())
     level = checkpointed(sources.select(F.col("node").alias("s"), "node").distinct().withColumn("paths", F.lit(1.0)))
     levels, seen = [level], level.select("s", "node")
-    while len(levels) <= max_depth:
+    while True:
         found = level.join(step, F.col("node") == F.col("source")).groupBy("s", F.col("target").alias("node")).agg(F.sum("paths").alias("paths"))
         level = checkpointed(found.join(seen, ["s", "node"], "left_anti"))
         if level.isEmpty():
@@ -74,13 +75,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     both = checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
+    state = kept = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
     while True:
         near = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = state.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jumped = step.join(state.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
-        nxt = checkpointed(jumped)
-        moved = nxt.where(F.col("old") != F.col("label")).isEmpty()
-        state = nxt.select("node", "label")
-        if moved:
+        kept = checkpointed(jumped, kept)
+        done = kept.where(F.col("old") != F.col("label")).isEmpty()
+        state = kept.select("node", "label")
+        if done:
             return state.select("node", F.col("label").alias("component"))

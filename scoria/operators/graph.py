@@ -72,6 +72,8 @@ def ranked_frontier(origins: DataFrame, edges: DataFrame, per_origin: int, tests
 def reach(seeds: DataFrame, edges: DataFrame, max_depth: int, direction: str = "out", max_nodes: int | None = None) -> DataFrame:
     """(root, node, depth): the nodes within max_depth steps of each seed (column node), the seed itself at 0.
 
+    Seeds may name their own roots (column root), so that several nodes are walked from as one.
+
     direction is out, in or both. Each level is one join and one anti join against what was reached; a level is
     written before the next begins. With max_nodes every root gets the same share of the budget: nodes are taken round
     robin over roots, per root by depth, confidence, sites and id.
@@ -80,7 +82,7 @@ def reach(seeds: DataFrame, edges: DataFrame, max_depth: int, direction: str = "
     back = edges.select(F.col("target").alias("a"), F.col("source").alias("b"), "confidence", "sites")
     step = {"out": step, "in": back, "both": step.unionByName(back)}[direction]
     step = checkpointed(step.where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.max("confidence").alias("confidence"), F.sum("sites").alias("sites")))
-    level = checkpointed(seeds.select(F.col("node").alias("root"), "node").where(F.col("node").isNotNull()).distinct().withColumns({"depth": F.lit(0), "confidence": F.lit(None).cast("float"), "sites": F.lit(None).cast("long")}))
+    level = checkpointed(seeds.select("root" if "root" in seeds.columns else F.col("node").alias("root"), "node").where(F.col("node").isNotNull()).distinct().withColumns({"depth": F.lit(0), "confidence": F.lit(None).cast("float"), "sites": F.lit(None).cast("long")}))
     seen = level
     for depth in range(1, max_depth + 1):
         found = level.select("root", F.col("node").alias("a")).join(step, "a").groupBy("root", F.col("b").alias("node")).agg(F.max("confidence").alias("confidence"), F.max("sites").alias("sites"))
@@ -94,15 +96,18 @@ def reach(seeds: DataFrame, edges: DataFrame, max_depth: int, direction: str = "
     return seen.select("root", "node", "depth")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 20, kind: str | None = None) -> list[str]:
-    """The nodes of one unweighted shortest path, ties by the smallest id at each step; empty if there is none."""
+def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | None = None, kind: str | None = None) -> list[str]:
+    """The nodes of one unweighted shortest path, ties by the smallest id at each step; empty if there is none.
+
+    The search goes on until the target is met or nothing new is reached, or for max_depth steps if that is given.
+    """
     spark = edges.sparkSession
     step = checkpointed((edges if kind is None else edges.where(F.col("kind") == kind)).select("source", "target").distinct())
     levels = [checkpointed(spark.createDataFrame([(source, None)], "node string, parent string"))]
     if source == target:
         return [source]
     seen = levels[0].select("node")
-    for _ in range(max_depth):
+    while max_depth is None or len(levels) <= max_depth:
         found = step.join(levels[-1].select(F.col("node").alias("source")), "source").groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent"))
         level = checkpointed(found.join(seen, "node", "left_anti"))
         if level.isEmpty():
@@ -124,6 +129,21 @@ def affected_tests(reached: DataFrame, symbols: DataFrame, files: DataFrame, tes
     return tests.groupBy("root", "path").agg(F.min(F.struct("depth", "node")).alias("x")).select("root", "path", "x.depth", F.col("x.node").alias("symbol_id"))
 
 
+def file_test_impact(files: DataFrame, edges: DataFrame, symbols: DataFrame, paths: DataFrame, max_depth: int, test_path: str, barrel_path: str) -> DataFrame:
+    """(root, path, depth, symbols, barrel): the test files from which symbols of a file (column file_id) are reached.
+
+    A walk backwards over the edges from all symbols of a file at once; depth is that of the nearest symbol, symbols how
+    many of the test file are reached, barrel whether the file only passes on what others hold. Files whose tests stand
+    in themselves aren't listed for themselves.
+    """
+    at = symbols.select("symbol_id", "file_id", "symbol_kind").distinct()
+    seeds = at.join(files.select("file_id").distinct(), "file_id", "left_semi").select(F.col("file_id").alias("root"), F.col("symbol_id").alias("node"))
+    near = reach(seeds, edges, max_depth, "in").join(at.select(F.col("symbol_id").alias("node"), "file_id", "symbol_kind"), "node").where(F.col("file_id") != F.col("root"))
+    located = near.join(paths, "file_id").where((F.col("symbol_kind") == "test") | F.col("path").rlike(test_path))
+    barrels = paths.select(F.col("file_id").alias("root"), F.col("path").rlike(barrel_path).alias("barrel"))
+    return located.groupBy("root", "path").agg(F.min("depth").alias("depth"), F.count_distinct("node").alias("symbols")).join(barrels, "root").select("root", "path", "depth", "symbols", "barrel")
+
+
 def file_dependencies(edges: DataFrame, symbols: DataFrame, per_file: int) -> DataFrame:
     """(file_id, direction, other, edges, sites, kinds, rank): arcs between files, both directions, the largest per file."""
     where = symbols.select("symbol_id", "file_id").distinct()
@@ -144,7 +164,7 @@ def degrees(edges: DataFrame, population: int) -> DataFrame:
 
 
 #: Groups of edge kinds by what they depend on.
-DEPENDENCY_GROUPS = {"calls": ("calls",), "modules": ("imports", "exports"), "types": ("type_of", "returns", "implements", "extends", "overrides"), "composition": ("instantiates", "decorates"), "data": ("references", "field_access", "def_use")}
+DEPENDENCY_GROUPS = {"calls": ("calls",), "modules": ("imports", "exports"), "types": ("implements", "extends", "type_of", "returns"), "composition": ("instantiates", "decorates"), "data": ("field_access", "def_use")}
 
 
 def dependency_counts(edges: DataFrame) -> DataFrame:

@@ -86,15 +86,21 @@ def page_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def between(spark: SparkSession, d: str) -> DataFrame:
-    e = checkpointed(graph.arcs(merged(spark, d), ("extends", "implements", "overrides", "contains", "returns")))
+    """Over calls and references of all symbols, from 200 sources, which is the measure's own bound on its work."""
+    e = checkpointed(graph.arcs(merged(spark, d), ("calls", "references")))
     nodes = e.select(F.explode(F.array("source", "target")).alias("node"))
     sources = nodes.distinct().orderBy(F.xxhash64("node"), "node").limit(200)
     return centrality.betweenness(nodes, e, sources)
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:
-    e = graph.arcs(merged(spark, d), ("implements", "contains", "exports"))
-    return centrality.components(e, "source", "target")
+    """Components of the clone graph: documents of one text, and search documents' code of one shape, each linked to the first of its group."""
+    docs = table(spark, d, "documents").where("text <> ''").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.sha2("text", 256).alias("h"))
+    words = F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^a-z]+", " "), r"^ | $", "")
+    loose = table(spark, d, "documents").where("text <> ''").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.sha2(words, 256).alias("h"), words.alias("w")).where("length(w) > 20").drop("w")
+    both = docs.unionByName(loose)
+    first = both.groupBy("h").agg(F.min("id").alias("first"), F.count_distinct("id").alias("n")).where("n > 1")
+    return centrality.components(both.join(first, "h").select(F.col("id").alias("a"), F.col("first").alias("b")))
 
 
 def names_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -189,12 +195,13 @@ SQL = {
         SELECT node, coalesce(in_arcs, 0) AS in_arcs, coalesce(in_sites, 0) AS in_sites, coalesce(out_arcs, 0) AS out_arcs, coalesce(out_targets, 0) AS out_targets, round(least(1.0, coalesce(in_sites, 0) / (SELECT greatest(count(DISTINCT symbol_id) - 1, 1) FROM sym)::DOUBLE), 9) AS degree_centrality FROM i FULL JOIN o USING (node)""",
     "g11_dependency_counts": _E + """, c AS (SELECT DISTINCT source, target FROM arc WHERE kind = 'contains')
         SELECT source AS node, count(DISTINCT target) AS distinct_outgoing, count(DISTINCT target) FILTER (kind = 'calls') AS calls, count(DISTINCT target) FILTER (kind IN ('imports', 'exports')) AS modules,
-          count(DISTINCT target) FILTER (kind IN ('type_of', 'returns', 'implements', 'extends', 'overrides')) AS types, count(DISTINCT target) FILTER (kind IN ('instantiates', 'decorates')) AS composition, count(DISTINCT target) FILTER (kind IN ('references', 'field_access', 'def_use')) AS data
+          count(DISTINCT target) FILTER (kind IN ('type_of', 'returns', 'implements', 'extends')) AS types, count(DISTINCT target) FILTER (kind IN ('instantiates', 'decorates')) AS composition, count(DISTINCT target) FILTER (kind IN ('field_access', 'def_use')) AS data
         FROM arc ANTI JOIN c USING (source, target) WHERE kind <> 'contains' AND source <> target GROUP BY 1""",
     "g14_containment": _E + "SELECT source, target, a.qualified_name AS container, b.qualified_name AS member FROM arc JOIN (SELECT DISTINCT symbol_id, qualified_name FROM sym) a ON a.symbol_id = source JOIN (SELECT DISTINCT symbol_id, qualified_name FROM sym) b ON b.symbol_id = target WHERE kind = 'contains'",
     "g7_pagerank": _PR + "SELECT node, round(round(score, 9), 7) AS pagerank FROM pr WHERE i = 40",
-    "g10_components": _R + """, l AS (SELECT DISTINCT source AS a, target AS b FROM arc WHERE kind IN ('implements', 'contains', 'exports') UNION SELECT target, source FROM arc WHERE kind IN ('implements', 'contains', 'exports')),
-        w AS (SELECT DISTINCT a AS node, a AS other FROM l UNION SELECT w.node, l.b FROM w JOIN l ON l.a = w.other) SELECT node, min(other) AS component FROM w GROUP BY 1""",
+    "g10_components": r"""WITH RECURSIVE x AS (SELECT 'd' || doc_id AS id, text, regexp_replace(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), '^ | $', '', 'g') AS w FROM documents WHERE text <> ''),
+        g AS (SELECT id, sha256(text) AS h FROM x UNION SELECT id, sha256(w) FROM x WHERE len(w) > 20), f AS (SELECT h, min(id) AS first FROM g GROUP BY 1 HAVING count(DISTINCT id) > 1), l AS (SELECT id AS a, first AS b FROM g JOIN f USING (h) UNION SELECT first, id FROM g JOIN f USING (h)),
+        k AS (SELECT DISTINCT a AS node, a AS other FROM l UNION SELECT k.node, l.b FROM k JOIN l ON l.a = k.other) SELECT node, min(other) AS component FROM k GROUP BY 1""",
     "q2_exact_names": _E + "SELECT project_id, symbol_id, qualified_name, start_line FROM sym WHERE simple_name IN ('flush_handler', 'build_trace') OR qualified_name = 'grade::TransientCallback::encrypt_fixture'",
     "q4_at_range": _E + "SELECT project_id, file_id, symbol_id, row_number() OVER (PARTITION BY project_id, file_id ORDER BY end_line - start_line, start_line, end_line, symbol_id) AS rank FROM sym WHERE end_line >= 100 AND start_line <= 140",
     "q8_qualified": _E + f"SELECT project_id, symbol_id, qualified_name, pagerank FROM sym WHERE symbol_kind IN ('function', 'method') AND contains(lower(qualified_name), 'trace') AND (pagerank IS NULL OR pagerank <= 0.001) AND symbol_id IN (SELECT source FROM arc WHERE {_IMPACT} AND target IN (SELECT symbol_id FROM library_symbols))",

@@ -9,7 +9,7 @@ from scoria.operators import graph, insights, search, vectors
 from scoria.operators.snapshots import hex_number
 from scoria.plans.runtime import table
 from scoria.queries.graph import _E, _R, fence, merged, paths, symbols
-from scoria.queries.problems import _HEX
+from scoria.queries.problems import _HEX, _P1
 
 TERMS = ["scanner", "rollback", "budget", "jahofoze", "trace"]
 
@@ -137,15 +137,6 @@ def path_symbols(spark: SparkSession, d: str) -> DataFrame:
     return insights.top_per_group(s, ["top"], [F.col("pagerank").desc_nulls_last(), F.col("project_id"), F.col("symbol_id")], 3).select("top", "project_id", "symbol_id", "rank", "total")
 
 
-def centrality_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Percent rank of symbols by incoming sites, within their kind."""
-    from pyspark.sql import Window
-
-    n = graph.arcs(merged(spark, d)).groupBy(F.col("target").alias("symbol_id")).agg(F.sum("sites").alias("sites"))
-    s = symbols(spark, d).join(n, "symbol_id", "left").withColumn("sites", F.coalesce("sites", F.lit(0)))
-    return s.select("project_id", "symbol_id", F.round(F.percent_rank().over(Window.partitionBy("symbol_kind").orderBy("sites")), 9).alias("percentile"))
-
-
 def cochange(spark: SparkSession, d: str) -> DataFrame:
     """Files whose symbols changed in the same generations, generations being the commits."""
     from scoria.queries.problems import p1_found
@@ -179,12 +170,12 @@ def symbol_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Drift between two halves of the files' deliveries taken as index and disk."""
+    """Drift between two tables made of the files' deliveries, taken as index and disk: a third of the paths is only on either side."""
     f = table(spark, d, "files").where("normalized_path IS NOT NULL")
-    half = F.pmod(F.crc32(F.encode("normalized_path", "UTF-8")), F.lit(3))
+    half = F.pmod(F.conv(F.substring(F.md5("normalized_path"), 1, 4), 16, 10).cast("int"), F.lit(3))
     old = f.where(half != 0).groupBy(F.col("normalized_path").alias("path")).agg(F.max("content_hash").alias("content_hash"))
     new = f.where(half != 1).groupBy(F.col("normalized_path").alias("path")).agg(F.max(F.when(half == 2, F.reverse("content_hash")).otherwise(F.col("content_hash"))).alias("content_hash"))
-    return insights.drift(old, new).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    return insights.drift(old, new)
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -199,13 +190,14 @@ def kept_generations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missing_ends(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "symbols").select("symbol_id").unionByName(table(spark, d, "library_symbols").select("symbol_id"))
+    """Ends of edges that are no symbol of a current generation nor of the library."""
+    known = symbols(spark, d).select("symbol_id").unionByName(table(spark, d, "library_symbols").select("symbol_id"))
     return insights.missing_keys(merged(spark, d), ["source", "target"], known, "symbol_id")
 
 
 def digests(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "symbols").select("project_id", "generation_id", "symbol_id", "qualified_name", "start_line")
-    return insights.logical_digest(s, ["symbol_id", "qualified_name", "start_line"], ["project_id", "generation_id"]).select("project_id", "generation_id", "rows")
+    return insights.logical_digest(s, ["symbol_id", "qualified_name", "start_line"], ["project_id", "generation_id"])
 
 
 def reduced(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +249,7 @@ SELECT doc, round(score, 9) AS score, best_rank, tier, row_number() OVER (ORDER
 QUERIES = {
     "r2_bm25": bm25_all, "r3_bm25_names": bm25_names, "r4_bm25_intent": bm25_intent, "r5_fuzzy": fuzzy_names, "r12_fused": fused, "r6_similar": similar, "r11_valid_vectors": vectors_valid, "r10_pending": pending,
     "i1_findings": all_findings, "i4_finding_stats": stats, "i4_worst": worst_per_detector, "i2_clones": clones, "i2_shapes": shapes, "i5_dead_code": dead, "i6_hotspots": hot, "a12_directories": rollup, "i14_languages": languages,
-    "i9_reference_coverage": reference_coverage, "i12_test_reach": test_reach, "i15_path_symbols": path_symbols, "w_percent_rank": centrality_rank, "i17_cochange": cochange, "i17_part_cochange": part_cochange, "a11_facets": edge_facets,
+    "i9_reference_coverage": reference_coverage, "i12_test_reach": test_reach, "i15_path_symbols": path_symbols, "i17_cochange": cochange, "i17_part_cochange": part_cochange, "a11_facets": edge_facets,
     "i28_usage": call_usage, "i22_symbol_diff": symbol_diff, "i21_drift": path_drift, "i13_coverage": coverage, "i29_retention": kept_generations, "i31_missing": missing_ends, "i32_digests": digests, "i30_conflicts": reduced, "i33_carried": carried,
 }
 
@@ -284,7 +276,6 @@ SQL = {
     "i9_reference_coverage": "SELECT kind, count(*) AS n, count(*) FILTER (t IS NULL) AS unresolved, count(DISTINCT s) AS sources FROM (SELECT DISTINCT lower(trim(edge_kind)) AS kind, target_symbol_id AS t, source_symbol_id AS s FROM edges) GROUP BY 1",
     "i12_test_reach": _E + "SELECT target AS node, count(DISTINCT source) AS users, count(DISTINCT CASE WHEN kind = 'tests' THEN file_id END) AS test_files FROM arc LEFT JOIN (SELECT DISTINCT symbol_id, file_id FROM sym) ON symbol_id = source WHERE kind <> 'contains' GROUP BY 1",
     "i15_path_symbols": _E + "SELECT string_split(path, '/')[1] AS top, project_id, symbol_id, row_number() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY pagerank DESC NULLS LAST, project_id, symbol_id) AS rank, count(*) OVER (PARTITION BY string_split(path, '/')[1]) AS total FROM sym JOIN fil USING (file_id) QUALIFY rank <= 3",
-    "w_percent_rank": _E + "SELECT project_id, symbol_id, round(percent_rank() OVER (PARTITION BY symbol_kind ORDER BY coalesce(n, 0)), 9) AS percentile FROM sym LEFT JOIN (SELECT target AS symbol_id, sum(sites) AS n FROM arc GROUP BY 1) USING (symbol_id)",
     "i17_part_cochange": "WITH o AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS x FROM lineitem), n AS (SELECT x, count(*) AS n FROM o GROUP BY 1), k AS (SELECT c FROM o GROUP BY 1 HAVING count(*) <= 8), s AS (SELECT * FROM o JOIN k USING (c)), p AS (SELECT a.x AS a, b.x AS b, count(*) AS shared FROM s a JOIN s b ON a.c = b.c AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a, b, shared, na.n AS commits_a, nb.n AS commits_b, round(shared / (na.n + nb.n - shared), 9) AS jaccard FROM p JOIN n na ON na.x = a JOIN n nb ON nb.x = b",
     "a11_facets": "WITH e AS (SELECT lower(trim(edge_kind)) AS k, provenance AS p, (confidence IS NULL)::VARCHAR AS u FROM edges), x AS (SELECT 'edge_kind' AS dimension, coalesce(k, 'none_observed') AS value FROM e UNION ALL SELECT 'provenance', coalesce(p, 'none_observed') FROM e UNION ALL SELECT 'unsure', u FROM e), n AS (SELECT dimension, value, count(*) AS n FROM x GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value = 'none_observed', value) AS rank FROM n QUALIFY rank <= 5",
     "i28_usage": "SELECT event_type, count(*) AS calls, count(*) FILTER (value < 1) AS failures, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS longest FROM events GROUP BY 1",
@@ -297,8 +288,10 @@ SQL = {
         SELECT * FROM x WHERE change <> 'modified' OR reasons <> ''""",
     "i13_coverage": _E + "SELECT project_id || '@' || symbol_id AS symbol_id, count(*) AS found, sum(l.n % 2)::BIGINT AS hit, round(sum(l.n % 2) / count(*), 9) AS fraction FROM sym JOIN (SELECT range AS n FROM range(1, 1201, 3)) l ON l.n BETWEEN start_line AND end_line WHERE file_id IS NOT NULL GROUP BY 1",
     "i29_retention": "SELECT project_id, generation_id, state, row_number() OVER (PARTITION BY project_id, state ORDER BY staged_at DESC NULLS LAST, generation_id DESC) AS age, state = 'current' OR age <= 2 AS kept FROM generations",
-    "i31_missing": _E + ", k AS (SELECT symbol_id FROM symbols UNION SELECT symbol_id FROM library_symbols) SELECT 'source' AS relation, source AS missing FROM (SELECT source FROM e EXCEPT SELECT symbol_id FROM k) UNION ALL SELECT 'target', target FROM (SELECT target FROM e EXCEPT SELECT symbol_id FROM k)",
-    "i32_digests": "SELECT project_id, generation_id, count(*) AS rows FROM (SELECT DISTINCT project_id, generation_id, symbol_id, qualified_name, start_line FROM symbols) GROUP BY 1, 2",
+    "i31_missing": _E + ", k AS (SELECT symbol_id FROM sym UNION SELECT symbol_id FROM library_symbols) SELECT 'source' AS relation, source AS missing FROM (SELECT source FROM e EXCEPT SELECT symbol_id FROM k) UNION ALL SELECT 'target', target FROM (SELECT target FROM e EXCEPT SELECT symbol_id FROM k)",
+    "i32_digests": "WITH h AS (SELECT DISTINCT project_id, generation_id, sha256(concat(" + ", ".join(f"coalesce(len({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("symbol_id", "qualified_name", "start_line")) + ")) AS h FROM symbols) SELECT project_id, generation_id, count(*) AS rows, concat_ws('-', " + ", ".join(f"sum(('0x' || h[{1 + 12 * i}:{12 + 12 * i}])::BIGINT)::VARCHAR" for i in range(4)) + ") AS digest FROM h GROUP BY 1, 2",
+    "i21_drift": "WITH f AS (SELECT normalized_path AS path, content_hash AS h, ('0x' || md5(normalized_path)[1:4])::INT % 3 AS k FROM files WHERE normalized_path IS NOT NULL), a AS (SELECT path, max(h) AS was FROM f WHERE k <> 0 GROUP BY 1), b AS (SELECT path, max(CASE WHEN k = 2 THEN reverse(h) ELSE h END) AS now FROM f WHERE k <> 1 GROUP BY 1), x AS (SELECT path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN was IS DISTINCT FROM now THEN 'modified' END AS change FROM a FULL JOIN b USING (path)) SELECT * FROM x WHERE change IS NOT NULL",
+    "i17_cochange": "WITH ch AS (" + _P1 + "), w AS (SELECT project_id, generation_id, symbol_id, max(file_id) AS file_id FROM symbols GROUP BY ALL), o AS (SELECT DISTINCT project_id || '@' || generation_id AS c, file_id AS x FROM ch JOIN w USING (project_id, generation_id, symbol_id) WHERE change_kind <> 'removed' AND file_id IS NOT NULL), n AS (SELECT x, count(*) AS n FROM o GROUP BY 1), k AS (SELECT c FROM o GROUP BY 1 HAVING count(*) <= 512), s AS (SELECT * FROM o JOIN k USING (c)), p AS (SELECT a.x AS a, b.x AS b, count(*) AS shared FROM s a JOIN s b ON a.c = b.c AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a, b, shared, na.n AS commits_a, nb.n AS commits_b, round(shared / (na.n + nb.n - shared), 9) AS jaccard FROM p JOIN n na ON na.x = a JOIN n nb ON nb.x = b",
     "i30_conflicts": "SELECT project_id, generation_id, symbol_id, count(DISTINCT (coalesce(structural_digest, 'null') || '|' || start_line || '|' || end_line)) AS variants FROM symbols GROUP BY 1, 2, 3 HAVING variants > 1",
     "i33_carried": _OLD + f"SELECT s.project_id, s.symbol_id, {_HEX.replace('structural_digest', 's.structural_digest')} AS digest, o.pagerank AS pagerank FROM sym s JOIN olds o ON o.project_id = s.project_id AND o.symbol_id = s.symbol_id AND {_HEX.replace('structural_digest', 's.structural_digest')} = {_HEX.replace('structural_digest', 'o.structural_digest')}",
 }

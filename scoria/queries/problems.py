@@ -90,6 +90,20 @@ anc AS (
   SELECT anc.project_id, anc.descendant, n.par, anc.distance + 1 FROM anc JOIN n ON anc.project_id = n.project_id AND anc.node = n.node WHERE n.par IS NOT NULL)
 """
 
+#: Places in depth-first order, the heavy child (largest subtree, then smallest name) first, other children by name.
+_PLACES = _TREE + """,
+sz AS (SELECT project_id, node, 1 + count(descendant) AS size FROM t LEFT JOIN anc USING (project_id, node) GROUP BY ALL),
+kid AS (SELECT n.project_id, n.node, n.par, size, row_number() OVER (PARTITION BY n.project_id, n.par ORDER BY size DESC, n.node) = 1 AS heavy FROM n JOIN sz USING (project_id, node) WHERE par IS NOT NULL),
+off AS (
+  SELECT project_id, node, par, CASE WHEN heavy THEN 0 ELSE max(CASE WHEN heavy THEN size END) OVER (PARTITION BY project_id, par)
+    + coalesce(sum(CASE WHEN heavy THEN 0 ELSE size END) OVER (PARTITION BY project_id, par ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS skip FROM kid),
+place AS (
+  SELECT project_id, node, node AS root, 0::BIGINT AS first FROM n WHERE par IS NULL
+  UNION ALL
+  SELECT off.project_id, off.node, place.root, (place.first + 1 + skip)::BIGINT FROM off JOIN place ON off.project_id = place.project_id AND off.par = place.node)
+SELECT project_id, node, root, first, first + size - 1 AS last, size - 1 AS descendants FROM place JOIN sz USING (project_id, node)
+"""
+
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_paths": p2_paths, "p2_intervals": p2_intervals, "p2_descendants": p2_descendants, "p7_found": p7_found, "p7_pairs": p7_pairs}
 
 _CLEAN = "lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g'))"
@@ -104,6 +118,7 @@ SQL = {
     "p1_found": _P1,
     "p2_found": _TREE + "SELECT project_id, node, root, depth FROM t UNION ALL SELECT project_id, node, '', CASE WHEN cyc.node IS NULL THEN -2 ELSE -1 END FROM loose LEFT JOIN cyc USING (project_id, node)",
     "p2_paths": _TREE + "SELECT project_id, node, root, depth, path FROM t UNION ALL SELECT project_id, node, '', CASE WHEN cyc.node IS NULL THEN -2 ELSE -1 END, NULL FROM loose LEFT JOIN cyc USING (project_id, node)",
+    "p2_intervals": _PLACES,
     "p2_descendants": _TREE + "SELECT project_id, node, descendant, distance FROM anc",
     "p7_found": _P7 + "SELECT target_symbol_id, edge_kind FROM p WHERE edges >= 0.01 * (SELECT sum(edges) FROM p)",
     "p7_pairs": _P7 + "SELECT * FROM p",

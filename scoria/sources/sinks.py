@@ -1,4 +1,4 @@
-"""Sinks: generation-partitioned tables with an atomic pointer, graph exports."""
+"""Sinks: generation-partitioned tables with a pointer to the published one, graph exports."""
 
 from __future__ import annotations
 
@@ -14,31 +14,35 @@ def write_generation(df: DataFrame, root: str, relation: str, generation: int) -
     df.write.mode("overwrite").parquet(f"{root}/{relation}/generation_id={generation}")
 
 
-def _pointer(spark: SparkSession, root: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/current.json")
+def _file_system(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def current(spark: SparkSession, root: str) -> dict | None:
-    """The published pointer {generation, sequence}, or None."""
-    path, fs = _pointer(spark, root)
-    if not fs.exists(path):
-        return None
-    return json.loads(spark.read.text(str(path.toString())).first()[0])
+    """The published pointer {generation, sequence}, or None: the pointer file of the greatest sequence."""
+    path, fs = _file_system(spark, root)
+    found = [str(x.getPath().toString()) for x in (fs.listStatus(path) if fs.exists(path) else []) if str(x.getPath().getName()).startswith("pointer-")]
+    return json.loads(spark.read.text(max(found)).first()[0]) if found else None
 
 
 def publish(spark: SparkSession, root: str, generation: int, sequence: int) -> None:
-    """Point readers to a generation; a sequence that isn't newer than the published one is refused."""
+    """Point readers to a generation; a sequence that isn't newer than the published one is refused.
+
+    Each sequence has a pointer file of its own, written aside and renamed into place: a reader sees the old pointer or
+    the new one, never none, and of two writers with one sequence the second fails.
+    """
     now = current(spark, root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer-{sequence:020d}.json")
+    draft, fs = _file_system(spark, f"{root}/.draft-{uuid.uuid4().hex}")
     if now and sequence <= now["sequence"]:
         raise ValueError(f"sequence {sequence} is stale: {now['sequence']} is published")
-    path, fs = _pointer(spark, root)
-    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/.current-{uuid.uuid4().hex}")
     out = fs.create(draft, True)
     out.write(bytearray(json.dumps({"generation": generation, "sequence": sequence}).encode()))
     out.close()
-    fs.delete(path, False)
-    fs.rename(draft, path)
+    if fs.exists(path) or not fs.rename(draft, path):
+        fs.delete(draft, False)
+        raise ValueError(f"sequence {sequence} is stale: another writer has published it")
 
 
 def read_current(spark: SparkSession, root: str, relation: str) -> DataFrame:
