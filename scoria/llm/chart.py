@@ -227,9 +227,13 @@ class Grammar:
 
 class Bounds:
     """Lower bounds of repair costs: those towards the grammar's regular approximation, in which the end of a rule may
-    go on after any occurrence of its head. That language holds the grammar's, so no repair costs less."""
+    go on after any occurrence of its head. That language holds the grammar's, so no repair costs less.
 
-    FAR = 10_000
+    Where a parse stands in the approximation is told by the tokens that may come next; states with the same ones are
+    one place. A step is a token class together with the place behind it.
+    """
+
+    FAR = 1 << 20
 
     def __init__(self, g: Grammar, start: str):
         self.g = g
@@ -241,66 +245,78 @@ class Bounds:
                 reached.add(h)
                 todo += [s for r in g.by[h] for s in g.rules[r][1] if s in g.by]
         states = [q for q, h in enumerate(heads) if h in reached]
-        after: dict[str, list[int]] = {}
+        after: dict[str, list[int]] = {h: [] for h in reached}
         for q in states:
             if symbols[q] in reached:
-                after.setdefault(symbols[q], []).append(q + 1)
-        self.terminals = [q for q in states if symbols[q] is not None and symbols[q] not in g.by]
-        place = {q: k for k, q in enumerate(self.terminals)}
-        m = len(self.terminals)
-        closure: dict[int, set] = {}
+                after[symbols[q]].append(q + 1)
+
+        def following(q: int) -> tuple:
+            """What the next tokens depend on: the nonterminal after the dot, the head whose rule ends, or the state itself."""
+            s = symbols[q]
+            return ("end", heads[q]) if s is None else ("in", s) if s in reached else ("at", q)
 
-        def reach(q: int) -> set:
-            seen, open_ = {q}, [q]
+        def tokens_next(f: tuple) -> frozenset[int]:
+            seen, open_, found = {f}, [f], set()
             while open_:
-                x = open_.pop()
-                s = symbols[x]
-                nexts = after.get(heads[x], []) if s is None else predicted[s] if s in reached else []
-                if s is None and heads[x] == start:
-                    seen.add(-1)
-                for y in nexts:
+                kind, x = open_.pop()
+                if kind == "at":
+                    found.add(x)
+                    continue
+                if kind == "end" and x == start:
+                    found.add(-1)
+                for q in after[x] if kind == "end" else predicted[x]:
+                    y = following(q)
                     if y not in seen:
                         seen.add(y)
                         open_.append(y)
-            return seen
+            return frozenset(found)
 
-        # One more column for the end of the text.
-        self.closed = np.full((len(symbols), m + 1), self.FAR, np.int16)
+        nexts = {f: tokens_next(f) for f in {following(q) for q in states}}
+        of_state = {q: nexts[following(q)] for q in states}
+        # Steps that read the same class and lead to the same tokens are one.
+        steps: dict[tuple, int] = {}
+        step_of = {q: steps.setdefault((symbols[q], of_state[q + 1]), len(steps)) for q in states if symbols[q] is not None and symbols[q] not in reached}
+        step_of[-1] = -1
+        places: dict[frozenset[int], int] = {}
+        place = {n: places.setdefault(frozenset(step_of[q] for q in n), len(places)) for n in set(of_state.values())}
+        self.place = np.zeros(len(symbols), np.int64)
         for q in states:
-            closure[q] = reach(q)
-            for x in closure[q]:
-                if x in place:
-                    self.closed[q, place[x]] = 0
-            if -1 in closure[q]:
-                self.closed[q, m] = 0
-        self.after = self.closed[[q + 1 for q in self.terminals]] if m else np.zeros((0, 1), np.int16)
-        inserted = np.full((m, m + 1), self.FAR, np.int16)
-        inserted[self.after == 0] = 1
-        for k in range(m):
-            inserted[k, k] = 0
-        for k in range(m):
-            np.minimum(inserted, inserted[:, k : k + 1] + inserted[k], out=inserted)
-        self.inserted = np.minimum(inserted, self.FAR)
-        self.symbols = [symbols[q] for q in self.terminals]
+            self.place[q] = place[of_state[q]]
+        self.behind = np.array([place[n] for _, n in steps], np.int64)
+        self.symbols = [s for s, _ in steps]
+        m, k = len(places), len(steps)
+        direct = np.full((m, k), self.FAR, np.int32)
+        ends = np.full(m, self.FAR, np.int32)
+        for n, i in places.items():
+            for x in n:
+                if x < 0:
+                    ends[i] = 0
+                else:
+                    direct[i, x] = 0
+        # Tokens to insert from place to place.
+        between = np.full((m, m), self.FAR, np.int32)
+        for i in range(m):
+            between[i, self.behind[direct[i] == 0]] = 1
+            between[i, i] = 0
+        for j in range(m):
+            np.minimum(between, between[:, j : j + 1] + between[j], out=between)
+        self.ends = np.minimum((between + ends).min(1), self.FAR)
+        self.inserted = np.full((m, k), self.FAR, np.int32)
+        for x in range(k):
+            self.inserted[:, x] = np.minimum((between + direct[:, x]).min(1), self.FAR)
         self.misses: dict = {}
 
     def _miss(self, token) -> np.ndarray:
         if token not in self.misses:
-            self.misses[token] = np.array([not self.g.fits(s, token) for s in self.symbols], np.int16)
+            self.misses[token] = np.array([not self.g.fits(s, token) for s in self.symbols], np.int32)
         return self.misses[token]
 
     def ahead(self, tokens: tuple) -> list[list[int]]:
-        """For each place and state the least cost of what is still to come."""
-        n, m = len(tokens), len(self.terminals)
-        at = np.empty(m + 1, np.int16)
-        at[:m], at[m] = self.inserted[:, m], 0
-        out = [(self.closed + at).min(1).tolist()]
+        """For each position and state the least cost of what is still to come."""
+        n = len(tokens)
+        here = self.ends
+        out = [here[self.place].tolist()]
         for i in range(n - 1, -1, -1):
-            scan = self._miss(tokens[i]) + (self.after + at).min(1)
-            new = np.empty(m + 1, np.int16)
-            new[:m] = np.minimum(at[:m] + 1, (self.inserted[:, :m] + scan).min(1)) if m else 0
-            new[:m] = np.minimum(new[:m], self.inserted[:, m] + (n - i))
-            new[m] = n - i
-            at = np.minimum(new, self.FAR)
-            out.append((self.closed + at).min(1).tolist())
+            here = np.minimum(here + 1, np.minimum((self.inserted + (self._miss(tokens[i]) + here[self.behind])).min(1), self.ends + (n - i)))
+            out.append(here[self.place].tolist())
         return out[::-1]
