@@ -35,13 +35,14 @@ def _matcher(language: str):
     return re.compile(rf"(?P<n>\n)|(?P<w>[ \t\f\r﻿]+)|(?P<c>{COMMENTS[language]})|(?P<s>{STRINGS[language]}|{template})|(?P<r>{regex})|(?P<o>[({{\[])|(?P<e>[)}}\]])|(?P<x>\w+|{plain}|[\s\S])").match
 
 
-def lexed_rows(language: str, text: str) -> list[tuple]:
+def lexed_rows(language: str, text: str, starts: frozenset[int] | None = None) -> list[tuple]:
     """(line, end_line, kind, delta, braces, text) per lexed stretch of a line, in order.
 
     kind is comment (alone on its lines), attribute, string (a Python string that stands as a statement) or code; delta
     is the change of depth within the stretch: of brackets, in Python of indentation; braces counts the opening ones.
     Comments after code on the same line have no row; an attribute is one row up to the end of its bracket. Text is kept
-    for comments and strings; for code it is null but in Python, where it is 'def' or empty.
+    for comments and strings; for code it is null but in Python, where it is 'def' or empty. With `starts`, the lines at
+    which something is declared, other stretches of code that change no depth are one row as long as nothing else comes.
     """
     match, n = _matcher(language), len(text)
     rows: list[tuple] = []
@@ -66,7 +67,14 @@ def lexed_rows(language: str, text: str) -> list[tuple]:
             kind, words = "string", raw
         if python:
             words = words if kind == "string" else "def" if DEFINES(raw) else ""
-        rows.append((start, end_line, kind, delta, raw.count("{") if not python else 0, words))
+        braces = 0 if python else raw.count("{")
+        if starts is not None and rows and kind == "code" and not delta and not braces and not words and heads is None and start not in starts:
+            before = rows[-1]
+            if before[2] == "code" and not before[3] and not before[4] and not before[5] and before[0] not in starts:
+                rows[-1] = (before[0], end_line, *before[2:])
+                start, first_string = 0, None
+                return
+        rows.append((start, end_line, kind, delta, braces, words))
         if python and kind == "code" and heads is not None:
             rows.append((heads[0], heads[1], "string", 0, 0, heads[2]))
         start, delta, first_string, heads = 0, 0, None, None
@@ -250,17 +258,18 @@ ROWS = "file_id string, pos int, line int, end_line int, kind string, delta int,
 def lexed_files(files: DataFrame, expected: DataFrame) -> DataFrame:
     """ROWS of every file whose language has comments, the last delivered row of a file counting."""
     one = latest_rows(files.where(F.col("file_id").isNotNull()), ["file_id"], "delivered_at", ["source_text"])
-    languages = expected.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.max("language").alias("language"))
-    inputs = one.join(languages, "file_id").where(F.col("language").isin(list(ATTRIBUTE)) & F.col("source_text").isNotNull()).select("file_id", "language", "source_text")
+    declared = F.flatten(F.collect_list(F.transform("symbols", lambda x: x["start_line"])))
+    languages = expected.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.max("language").alias("language"), declared.alias("starts"))
+    inputs = one.join(languages, "file_id").where(F.col("language").isin(list(ATTRIBUTE)) & F.col("source_text").isNotNull()).select("file_id", "language", "source_text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), *[pa.int32()] * 3, pa.string(), pa.int32(), pa.int32(), pa.string()]
         names = [f.split()[0] for f in ROWS.split(", ")]
         for batch in batches:
             out: list[tuple] = []
-            for file_id, language, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            for file_id, language, text, starts in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
-                out += [(file_id, i, r[0], r[1], r[2], r[3], r[4], r[5]) for i, r in enumerate(lexed_rows(language, text))]
+                out += [(file_id, i, r[0], r[1], r[2], r[3], r[4], r[5]) for i, r in enumerate(lexed_rows(language, text, frozenset(starts)))]
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
