@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoria.plans.runtime import checkpointed
@@ -36,6 +36,44 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     return state.select("node", F.round("score", GRAIN).alias("pagerank"))
 
 
+#: The seed of the sample of sources, and the constants of the mulberry32 generator.
+SAMPLE_SEED, STEP, SHIFTS, MIX = 0xC0DE2026, 0x6D2B79F5, (15, 7, 14), 61
+
+
+def sample_positions(n: int, k: int, seed: int = SAMPLE_SEED) -> list[int]:
+    """k of the positions 0 .. n - 1 by the first k steps of a shuffle, all if k is 0 or n at least; equal for equal arguments."""
+    if k == 0 or k >= n:
+        return list(range(n))
+    word, state = 0xFFFFFFFF, seed & 0xFFFFFFFF
+    moved: dict[int, int] = {}
+    out = []
+    for i in range(k):
+        state = (state + STEP) & word
+        x = ((state ^ state >> SHIFTS[0]) * (state | 1)) & word
+        x ^= (x + ((x ^ x >> SHIFTS[1]) * (x | MIX))) & word
+        j = i + ((x ^ x >> SHIFTS[2]) * (n - i) >> 32)
+        out.append(moved.get(j, j))
+        moved[j] = moved.get(i, i)
+    return out
+
+
+def sample_sources(nodes: DataFrame, k: int = 200, seed: int = SAMPLE_SEED) -> DataFrame:
+    """(node): the nodes at sample_positions in the order of their ids.
+
+    Ids are sorted in ranges; a node's position is its place in its range and the sizes of the ranges before, so no task
+    sees all of them.
+    """
+    once = nodes.select("node").where(F.col("node").isNotNull()).distinct()
+    ranges = checkpointed(once.repartitionByRange("node").withColumn("part", F.spark_partition_id()))
+    # One row per partition.
+    sizes = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    total = ranges.count()
+    wanted = nodes.sparkSession.createDataFrame([(p,) for p in sample_positions(total, k, seed)], "at long") if total > k else None
+    placed = ranges.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1).join(F.broadcast(before), "part").select("node", (F.col("place") + F.col("before")).alias("at"))
+    return placed.select("node") if wanted is None else placed.join(F.broadcast(wanted), "at").select("node")
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, betweenness) from shortest paths out of the given sources (column node), scaled to all nodes.
 

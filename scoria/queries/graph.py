@@ -89,8 +89,7 @@ def between(spark: SparkSession, d: str) -> DataFrame:
     """Over calls and references of all symbols, from 200 sources, which is the measure's own bound on its work."""
     e = checkpointed(graph.arcs(merged(spark, d), ("calls", "references")))
     nodes = e.select(F.explode(F.array("source", "target")).alias("node"))
-    sources = nodes.distinct().orderBy(F.xxhash64("node"), "node").limit(200)
-    return centrality.betweenness(nodes, e, sources)
+    return centrality.betweenness(nodes, e, centrality.sample_sources(nodes))
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:

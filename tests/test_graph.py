@@ -91,3 +91,14 @@ def test_components(spark):
     links = [(f"c{i:02}", f"c{i + 1:02}") for i in range(20)] + [("x", "y"), ("y", "x"), (None, "x"), ("z", "z")]
     got = {r.node: r.component for r in centrality.components(spark.createDataFrame(links, "a string, b string")).collect()}
     assert got == {f"c{i:02}": "c00" for i in range(21)} | {"x": "x", "y": "x", "z": "z"}
+
+
+def test_sample_of_sources(spark):
+    assert centrality.sample_positions(5, 9) == [0, 1, 2, 3, 4] and centrality.sample_positions(0, 3) == []
+    drawn = centrality.sample_positions(1000, 200)
+    assert len(set(drawn)) == 200 and set(drawn) <= set(range(1000)) and drawn == centrality.sample_positions(1000, 200) != centrality.sample_positions(1000, 200, 1)
+    # The whole shuffle is a permutation that begins alike.
+    assert sorted(centrality.sample_positions(1000, 999)) == sorted(set(centrality.sample_positions(1000, 999))) and centrality.sample_positions(1000, 999)[:200] == drawn
+    nodes = spark.createDataFrame([(f"n{i:04d}",) for i in range(1000)] + [("n0000",), (None,)], "node string").repartition(7)
+    assert {r.node for r in centrality.sample_sources(nodes).collect()} == {f"n{i:04d}" for i in drawn}
+    assert centrality.sample_sources(nodes.where("node < 'n0005'")).count() == 5 and centrality.sample_sources(nodes.limit(0)).count() == 0

@@ -33,7 +33,7 @@ def test_nearest_against_brute_force(spark):
     m = np.random.default_rng(1).normal(size=(60, 8))
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(90, [0.0] * 8), (91, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {(r["query"], r["rank"]): r.neighbour for r in vectors.nearest(df.where("vec_id % 20 = 0"), df, 3, block=2).collect()}
+    got = {(r["query"], r["rank"]): r.neighbour for r in vectors.nearest(df.where("vec_id % 20 = 0"), df, 3, query_block=2, base_block=7).collect()}
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     for q in (0, 20, 40):
         s = u @ u[q]
@@ -54,9 +54,11 @@ def test_adhoc_sql(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     rows = adhoc.run(spark, "WITH k AS (SELECT a, b FROM symbols) SELECT a, b FROM k ORDER BY a;", {"symbols": df}).collect()
     assert [r.row for r in rows] == ['{"a":1,"b":null}', '{"a":2,"b":"x"}']
-    for bad in ("DROP TABLE symbols", "SELECT * FROM secret", "SELECT 1; SELECT 2", 'SELECT "a" FROM symbols', "SELECT * FROM symbols, other", "SELECT * FROM default.symbols", "SELECT * FROM symbols -- x", "WITH x AS (DELETE FROM symbols) SELECT 1", "SELECT reflect('a') FROM symbols", "SELECT * FROM symbols WHERE a IN (SELECT a FROM hidden)"):
+    for bad in ("DROP TABLE symbols", "SELECT * FROM secret", "SELECT 1; SELECT 2", 'SELECT "a" FROM symbols', "SELECT * FROM symbols, other", "SELECT * FROM default.symbols", "SELECT * FROM symbols -- x", "WITH x AS (DELETE FROM symbols) SELECT 1", "SELECT reflect('a') FROM symbols", "SELECT * FROM symbols WHERE a IN (SELECT a FROM hidden)", "INSERT INTO symbols VALUES (1, 'x')", "CREATE TABLE t AS SELECT 1", "SET a = 1", "SELECT * FROM parquet.files", "SELECT (SELECT max(a) FROM hidden)", "WITH k AS (SELECT * FROM hidden) SELECT 1", "SELECT * FROM symbols s JOIN LATERAL (SELECT * FROM hidden) h", "SELECT java_method('a', 'b')", "SELECT '", "nonsense", "", "SELECT 1 UNION SELECT a FROM hidden", "TRUNCATE TABLE symbols", "SELECT * FROM read_files('x')"):
         with pytest.raises(adhoc.QueryRefused):
-            adhoc.validate(bad)
+            adhoc.validate(spark, bad)
+    for good in ("SELECT 'it''s; -- fine' AS x", "SELECT s.a, count(*) OVER (PARTITION BY b) FROM symbols s LEFT JOIN files f ON s.a = f.a WHERE s.a > (SELECT min(a) FROM edges) GROUP BY ALL HAVING count(*) > 1 ORDER BY 1 LIMIT 3", "EXPLAIN SELECT * FROM symbols", "SELECT * FROM VALUES (1), (2) AS t(x) UNION ALL SELECT a FROM symbols", "SELECT x FROM symbols LATERAL VIEW explode(array(1, 2)) t AS x"):
+        assert adhoc.validate(spark, good + ";") == good
 
 
 def test_lcov(spark):
