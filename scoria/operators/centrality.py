@@ -84,22 +84,25 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataF
     n, k = nodes.count(), sources.select("node").distinct().count()
     step = checkpointed(edges.select("source", "target").where(F.col("source") != F.col("target")).distinct())
     level = checkpointed(sources.select(F.col("node").alias("s"), "node").distinct().withColumn("paths", F.lit(1.0)))
-    levels, seen = [level], level.select("s", "node")
+    # What was reached is one scan over the levels' tables, however many there are.
+    together = lambda states: nodes.sparkSession.read.schema(states[0].schema).parquet(*[x._scoria_path for x in states])
+    levels = [level]
     while True:
         found = level.join(step, F.col("node") == F.col("source")).groupBy("s", F.col("target").alias("node")).agg(F.sum("paths").alias("paths"))
-        level = checkpointed(found.join(seen, ["s", "node"], "left_anti"))
+        level = checkpointed(found.join(together(levels).select("s", "node"), ["s", "node"], "left_anti"))
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.unionByName(level.select("s", "node"))
-    total = None
     after = levels[-1].select("s", "node", "paths", F.lit(0.0).alias("dep"))
+    states = []
     for level in reversed(levels[:-1]):
         part = level.join(step, F.col("node") == F.col("source")).select("s", "node", "paths", "target").alias("a").join(after.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.target") == F.col("b.node"))).groupBy("a.s", "a.node").agg(F.sum(F.col("a.paths") / F.col("b.paths") * (1 + F.col("b.dep"))).alias("dep"))
-        total = after.select("s", "node", "dep") if total is None else total.unionByName(after.select("s", "node", "dep"))
         after = checkpointed(level.join(part, ["s", "node"], "left").select("s", "node", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep")))
-    if total is None or n <= 2:
+        states.append(after)
+    if not states or n <= 2:
         return nodes.withColumn("betweenness", F.lit(0.0))
+    # The last level passes nothing on; sources don't count for themselves.
+    total = together(states)
     scale = n / k / ((n - 1) * (n - 2))
     sums = total.where(F.col("s") != F.col("node")).groupBy("node").agg(F.sum("dep").alias("dep"))
     return nodes.join(sums, "node", "left").select("node", F.round(F.greatest(F.lit(0.0), F.coalesce(F.col("dep") * scale, F.lit(0.0))), GRAIN).alias("betweenness"))

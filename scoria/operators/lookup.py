@@ -179,3 +179,33 @@ def percent_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def overlay(native: DataFrame, imported: DataFrame, covered: DataFrame, key: str) -> DataFrame:
     """The native rows but for those whose key is covered, and the imported rows in their place."""
     return native.join(covered.select(key).distinct(), key, "left_anti").unionByName(imported.select(native.columns))
+
+
+def page_after(rows: DataFrame, order: list[str], last: tuple | None, size: int) -> DataFrame:
+    """The next `size` rows in rising order of some columns after the key `last` of the page before, and one more if there is one.
+
+    The key itself is the bookmark: no rows before it are counted or skipped. Nulls come first.
+    """
+    if last is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for c, v in zip(order, last, strict=True):
+            after = F.col(c).isNotNull() if v is None else F.col(c) > F.lit(v)
+            beyond, equal = beyond | (equal & after), equal & F.col(c).eqNullSafe(F.lit(v))
+        rows = rows.where(beyond)
+    return rows.orderBy(*[F.col(c).asc_nulls_first() for c in order]).limit(size + 1)
+
+
+def interchange(files: DataFrame, symbols: DataFrame, edges: DataFrame, sites: DataFrame) -> DataFrame:
+    """(relation, place, row): the rows of a generation's relations as JSON, each relation in the order of its keys.
+
+    place is the position within a block of keys (the first two letters of the digest of the first key), so that no
+    relation is numbered in one task; blocks and places together are the order of an export.
+    """
+    keys = {"files": (files, ["file_id"]), "symbols": (symbols, ["project_id", "symbol_id"]), "edges": (edges, ["source", "target", "kind", "provenance"]), "references": (sites, ["owner", "kind", "target", "provenance", "line"])}
+    out = None
+    for name, (df, key) in keys.items():
+        w = Window.partitionBy("block").orderBy(*key)
+        rows = df.withColumn("block", F.substring(F.md5(F.coalesce(F.col(key[0]).cast("string"), F.lit(""))), 1, 2))
+        one = rows.select(F.lit(name).alias("relation"), "block", F.row_number().over(w).alias("place"), F.to_json(F.struct(*key), {"ignoreNullFields": "false"}).alias("row"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoria.operators.joins import salted_join
@@ -55,6 +55,34 @@ def fuzzy_terms(index: DataFrame, token: str, distance: int) -> DataFrame:
     return index.select("term").distinct().withColumn("edits", F.levenshtein(F.col("term"), F.lit(token), distance)).where(F.col("edits") >= 0)
 
 
+def fuzzy_ranked(index: DataFrame, token: str, distance: int) -> DataFrame:
+    """(doc, score, best_edits): documents by their terms near the token; each such term counts its uses over one more than its edits."""
+    near = fuzzy_terms(index, token, distance)
+    # Levenshtein runs over distinct terms; postings join by term.
+    return index.join(near, "term").groupBy("doc").agg(F.sum(F.col("tf") / (1 + F.col("edits"))).alias("score"), F.min("edits").alias("best_edits"))
+
+
+def persist_index(index: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write an index as a table partitioned by a hash of the term, so that a query reads only its terms' parts."""
+    index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """A persisted index, or the parts of it that hold the terms."""
+    index = spark.read.parquet(path)
+    if terms is None:
+        return index.drop("bucket")
+    hashes = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct()
+    return index.where(F.col("bucket").isin([b for (b,) in hashes.collect()]) & F.col("term").isin(terms)).drop("bucket")
+
+
+def index_differences(index: DataFrame, stored: DataFrame) -> DataFrame:
+    """(doc, field, term, tf, length, side): postings that only one of two indexes has; none if the stored one is whole."""
+    columns = ["doc", "field", "term", "tf", "length"]
+    a, b = index.select(columns), stored.select(columns)
+    return a.exceptAll(b).withColumn("side", F.lit("missing")).unionByName(b.exceptAll(a).withColumn("side", F.lit("stale")))
+
+
 def fuse(channels: DataFrame, tiers: DataFrame | None = None, constant: int = RRF) -> DataFrame:
     """(doc, score, best_rank, tier, place): reciprocal-rank fusion of rows (channel, doc, rank).
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoria.operators import context, detectors, graph, history, lookup
+from scoria.operators import context, detectors, graph, history, lookup, search
 from scoria.operators.skew import canonical
 from scoria.operators.snapshots import hex_number
 from scoria.plans.runtime import table
 from scoria.queries.graph import _E, _R, TEST_PATH, fence, merged, paths, symbols
-from scoria.queries.insights import _PREV
+from scoria.queries.insights import _BM, _PREV
 from scoria.queries.problems import _HEX
 
 NAMES = ["flush_handler", "build_trace"]
@@ -194,6 +194,23 @@ def embedding_readiness(spark: SparkSession, d: str) -> DataFrame:
     return history.readiness(table(spark, d, "documents"), table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", 64)
 
 
+def fuzzy_documents(spark: SparkSession, d: str) -> DataFrame:
+    return search.fuzzy_ranked(search.postings(table(spark, d, "search_documents"), ("qualified_name",)), "flush", 2).withColumn("score", F.round("score", 9))
+
+
+def next_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of ten of the current symbols by kind, name and id."""
+    s = symbols(spark, d).select("symbol_kind", "qualified_name", "symbol_id", "project_id")
+    order = ["symbol_kind", "qualified_name", "symbol_id", "project_id"]
+    first = lookup.page_after(s, order, None, 10).collect()
+    return lookup.page_after(s, order, tuple(first[9]), 10)
+
+
+def exchanged(spark: SparkSession, d: str) -> DataFrame:
+    files = paths(spark, d)
+    return lookup.interchange(files, symbols(spark, d), merged(spark, d), _sites(spark, d).where("line IS NOT NULL")).groupBy("relation", "block").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("last"))
+
+
 def symbol_lists(spark: SparkSession, d: str) -> DataFrame:
     """Per project: the names of its first symbols in order, and the number of each kind as text."""
     s = symbols(spark, d).select("project_id", "symbol_kind", "symbol_id")
@@ -250,7 +267,7 @@ QUERIES = {
     "q1_files_at": files_by_path, "q3_file_symbols": file_symbols, "q5_symbols_by_id": symbols_by_id, "q6_references": references_named, "q7_entry_buckets": entries, "q9_qualified": qualified_query, "q9_callers_of": qualified_calls,
     "i7_imports": imports_between, "i8_packages": packages, "i11_rename": rename, "j13_same_names": same_names, "s11_overlay": scip_overlay, "w_percentiles": percentiles, "g6_test_impact": test_impact,
     "i1_symbol_findings": symbol_findings, "i1_text_findings": text_findings, "i1_details": copies_detail, "i3_fingerprints": fingerprints, "r16_edit_files": edit_files, "r14_states": packet_states, "r16_evidence": packet_evidence, "r16_tests": packet_tests,
-    "i18_peers": supplier_peers, "i19_commit_peers": order_peers, "i26_pending": pending, "i27_queue": queue, "r7_readiness": embedding_readiness, "a6_lists": symbol_lists,
+    "i18_peers": supplier_peers, "i19_commit_peers": order_peers, "i26_pending": pending, "i27_queue": queue, "r7_readiness": embedding_readiness, "r5_fuzzy_documents": fuzzy_documents, "l_next_page": next_page, "s13_interchange": exchanged, "a6_lists": symbol_lists,
 }
 
 SQL = {
@@ -295,5 +312,8 @@ SQL = {
     "i26_pending": _BASE[: _BASE.index("  loci AS (")].rstrip().rstrip(",") + f", od AS (SELECT DISTINCT project_id, symbol_id, {_HEX} AS digest FROM old WHERE structural_digest IS NOT NULL) SELECT project_id, symbol_id, digest, CASE WHEN (project_id, symbol_id) IN (SELECT (project_id, symbol_id) FROM od) THEN 'stale' ELSE 'missing' END AS why, row_number() OVER (PARTITION BY project_id ORDER BY pagerank DESC NULLS LAST, symbol_id) AS place FROM cur WHERE digest IS NOT NULL AND (project_id, symbol_id, digest) NOT IN (SELECT (project_id, symbol_id, digest) FROM od) QUALIFY place <= 25",
     "i27_queue": _E + ", q AS (SELECT target AS symbol_id, count(*) AS p FROM arc WHERE kind = 'calls' GROUP BY 1), h AS (SELECT DISTINCT symbol_id FROM sym WHERE regexp_matches(lower(simple_name), 'trace|budget')) SELECT symbol_id, least(coalesce(p, 0) + (h.symbol_id IS NOT NULL)::INT, 5)::INT AS priority FROM q FULL JOIN h USING (symbol_id)",
     "r7_readiness": "WITH v AS (SELECT vec_id AS doc_id, max((len(embedding) = 64)::INT) AS fits FROM embeddings GROUP BY 1), b AS (SELECT doc_id, fits FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) LEFT JOIN v USING (doc_id)) SELECT count(*) AS documents, count(fits) AS embedded, count(*) - count(fits) AS missing, count(*) FILTER (fits = 0) AS wrong_dimension, count(*) > 0 AND count(*) = count(fits) AND count(*) FILTER (fits = 0) = 0 AS ready FROM b",
+    "r5_fuzzy_documents": _BM + "SELECT doc, round(sum(tf / (1.0 + levenshtein(term, 'flush'))), 9) AS score, min(levenshtein(term, 'flush')) AS best_edits FROM p WHERE field = 'qualified_name' AND levenshtein(term, 'flush') <= 2 GROUP BY 1",
+    "l_next_page": _E + "SELECT symbol_kind, qualified_name, symbol_id, project_id FROM sym ORDER BY ALL LIMIT 11 OFFSET 10",
+    "s13_interchange": _E + _LIB + ", k AS (SELECT 'files' AS relation, file_id AS x FROM fil UNION ALL SELECT 'symbols', project_id FROM sym UNION ALL SELECT 'edges', source FROM e UNION ALL SELECT 'references', owner FROM site WHERE line IS NOT NULL) SELECT relation, md5(x)[1:2] AS block, count(*) AS n, count(*) AS last FROM k GROUP BY 1, 2",
     "a6_lists": _E + ", k AS (SELECT project_id, symbol_kind || ':' || count(*) AS x, symbol_kind FROM sym GROUP BY project_id, symbol_kind), f AS (SELECT project_id, symbol_id FROM sym QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY symbol_id) <= 5) SELECT project_id, kinds, first FROM (SELECT project_id, string_agg(x, ',' ORDER BY symbol_kind) AS kinds FROM k GROUP BY 1) JOIN (SELECT project_id, string_agg(symbol_id, ',' ORDER BY symbol_id) AS first FROM f GROUP BY 1) USING (project_id)",
 }

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,9 +36,47 @@ def issue_numbers(commits: DataFrame) -> DataFrame:
     return commits.select("commit", F.explode(F.array_distinct(F.regexp_extract_all("message", F.lit(r"(?:^|[\s(])#(\d{1,9})\b"), F.lit(1)))).alias("issue")).withColumn("issue", F.col("issue").cast("long"))
 
 
-def source_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, modified, text) of the files below a directory whose names match."""
+def glob_regex(glob: str) -> str:
+    """The regular expression of a path pattern: * and ? stay within a part, ** crosses parts, a last / means all below."""
+    out, i = "", 0
+    glob = glob + "**" if glob.endswith("/") else glob
+    while i < len(glob):
+        if glob.startswith("**/", i):
+            out, i = out + r"(?:.*/)?", i + 3
+        elif glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            c = glob[i]
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)), i + 1
+    return f"(?:^|/){out}(?:/.*)?$" if "/" not in glob.rstrip("/*") else f"^{out}(?:/.*)?$"
+
+
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether a path is ignored by the lines of an ignore file: the last rule that fits decides, one with ! takes back."""
+    out = F.lit(False)
+    for rule in rules:
+        rule = rule.strip()
+        if rule and not rule.startswith("#"):
+            back = rule.startswith("!")
+            out = F.when(path.rlike(glob_regex(rule.lstrip("!").lstrip("/"))), F.lit(not back)).otherwise(out)
+    return out
+
+
+def source_tree(spark: SparkSession, root: str, pattern: str = "*", exclude: list[str] | None = None, allow: list[str] | None = None, largest: int | None = None) -> DataFrame:
+    """(path, bytes, modified, text) of the files below a directory whose names match.
+
+    path is relative to root. `exclude` has the rules of an ignore file; with `allow` only paths that fit one of its
+    patterns stay; files above `largest` bytes are left out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    files = files.withColumn("path", F.regexp_replace("path", r"^.*?\Q" + root.rstrip("/") + r"\E/", ""))
+    files = files.where(~ignored(F.col("path"), exclude)) if exclude else files
+    if allow:
+        hit = F.lit(False)
+        for glob in allow:
+            hit = hit | F.col("path").rlike(glob_regex(glob))
+        files = files.where(hit)
+    files = files if largest is None else files.where(F.col("length") <= largest)
     return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
 
 

@@ -3,9 +3,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from scoria.operators import context, detectors, graph, history, lookup
+from scoria.operators import context, detectors, graph, history, lookup, search
 from scoria.plans import runtime
-from scoria.sources import sinks
+from scoria.sources import reports, sinks
 
 SYMBOLS = "project_id string, symbol_id string, file_id string, symbol_kind string, qualified_name string, simple_name string, signature string, start_line int, end_line int, exported boolean, declaration_only boolean, pagerank double, path string, language string, digest string, name string"
 
@@ -221,3 +221,33 @@ def test_states_are_freed_and_need_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         runtime.ensure_checkpoint_dir(Session())
+
+
+def test_pages_by_key(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 1), ("b", None), ("b", 3)], "k string, n int")
+    seen, last = [], None
+    while rows := lookup.page_after(df.distinct(), ["k", "n"], last, 2).collect():
+        seen += [tuple(r) for r in rows[:2]]
+        last = seen[-1]
+    assert seen == [(None, 1), (None, 2), ("a", 1), ("b", None), ("b", 3)]
+
+
+def test_index_is_stored_and_verified(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "flushBuffer", "", ""), ("d2", "flish_other", "x flush", ""), (None, "flush", "", "")], "document_id string, qualified_name string, code string, natural_text string")
+    index = search.postings(docs)
+    search.persist_index(index, str(tmp_path / "i"), 8)
+    stored = search.read_index(spark, str(tmp_path / "i"), buckets=8)
+    assert search.index_differences(index, stored).isEmpty()
+    assert {r.side for r in search.index_differences(index, stored.where("doc <> 'd1'")).collect()} == {"missing"}
+    assert {r.doc for r in search.read_index(spark, str(tmp_path / "i"), ["flush"], 8).collect()} == {"d1", "d2"}
+    names = index.where("field = 'qualified_name'")
+    assert {(r.doc, r.score, r.best_edits) for r in search.fuzzy_ranked(names, "flush", 1).collect()} == {("d1", 1.0, 0), ("d2", 0.5, 1)}
+
+
+def test_source_trees_follow_ignore_rules(spark, tmp_path):
+    for p, t in {"a.py": "x", "lib/b.py": "y", "lib/keep.log": "k", "lib/c.log": "l", "node_modules/d.py": "z", "big.py": "x" * 99}.items():
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_text(t)
+    tree = lambda **k: {r.path for r in reports.source_tree(spark, str(tmp_path), **k).collect()}
+    assert tree(exclude=["# comment", "*.log", "!keep.log", "node_modules/"]) == {"a.py", "lib/b.py", "lib/keep.log", "big.py"}
+    assert tree(pattern="*.py", allow=["lib/**"]) == {"lib/b.py"} and tree(largest=50, exclude=["lib", "node_modules"]) == {"a.py"}
