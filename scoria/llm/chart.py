@@ -24,6 +24,7 @@ class Grammar:
         self.costs: dict = {}
         self.dotted: tuple | None = None
         self.bounds: dict[str, Bounds] = {}
+        self.fitted: dict = {}
         self._find_nullable()
 
     def sequence(self, item: str) -> str:
@@ -139,9 +140,16 @@ class Grammar:
                 first.append(len(symbols))
                 symbols += [*body, None]
                 heads += [head] * (len(body) + 1)
+            self.numbers = {h: k for k, h in enumerate(self.by)}
             self.dotted = {h: [first[r] for r in rs] for h, rs in self.by.items()}, symbols, heads
         return self.dotted
 
+    def _fitting(self, token) -> frozenset[str]:
+        """The token classes of the grammar that a token fits."""
+        if token not in self.fitted:
+            self.fitted[token] = frozenset(s for _, body in self.rules for s in body if s not in self.by and self.fits(s, token))
+        return self.fitted[token]
+
     def _bounds(self, start: str) -> Bounds:
         if start not in self.bounds:
             self.bounds[start] = Bounds(self, start)
@@ -156,71 +164,88 @@ class Grammar:
         only decides the order; an item reached at less cost later is taken up again, so the result is the least cost.
         """
         predicted, symbols, heads = self._states()
-        by, fits, n = self.by, self.fits, len(tokens)
-        ahead = self._bounds(start).ahead(tokens)
+        numbers, n = self.numbers, len(tokens)
+        bounds = self._bounds(start)
+        ahead = bounds.ahead(tokens)
         width = n + 1
         square = width * width
+        far = 1 << 30
+        fitting = [self._fitting(t) for t in tokens]
         best: dict[int, int] = {}
         done: dict[int, int] = {}
-        began: dict[tuple, int] = {(start, 0): 0}
-        waiting: dict[tuple, list] = {}
-        complete: dict[tuple, dict] = {}
+        # By nonterminal and place: least cost there, what waits with its cost, and where it ends at what own cost.
+        began: dict[int, int] = {numbers[start] * width: 0}
+        waiting: dict[int, list] = {}
+        complete: dict[int, dict[int, int]] = {}
         queues: list[list[int]] = [[]]
         least, goal = 0, below
 
-        def push(c: int, item: int) -> None:
-            if c < best.get(item, 1 << 30):
-                best[item] = c
-                bound = c + ahead[item % width][item // square]
-                if bound < goal:
-                    while len(queues) <= bound:
-                        queues.append([])
-                    queues[bound if bound > least else least].append(item)
+        def push(c: int, item: int, bound: int) -> None:
+            best[item] = c
+            while len(queues) <= bound:
+                queues.append([])
+            queues[bound if bound > least else least].append(item)
 
         if min(ahead[0][q] for q in predicted[start]) >= below:
             return below
         for state in predicted[start]:
-            push(0, state * square)
+            push(0, state * square, ahead[0][state])
         while least < len(queues) and least < goal:
             queue = queues[least]
             while queue:
                 item = queue.pop()
                 c = best[item]
-                if done.get(item, 1 << 30) <= c:
+                if done.get(item, far) <= c:
                     continue
                 done[item] = c
                 state, at = divmod(item, square)
                 origin, i = divmod(at, width)
                 s = symbols[state]
+                here = ahead[i]
                 if s is None:
                     head = heads[state]
                     if origin == 0 and head == start:
                         goal = min(goal, c + n - i)
                         if goal <= least:
                             break
-                    own = c - began[head, origin]
-                    ends = complete.setdefault((head, origin), {})
-                    if own < ends.get(i, 1 << 30):
+                    key = numbers[head] * width + origin
+                    own = c - began[key]
+                    ends = complete.setdefault(key, {})
+                    if own < ends.get(i, far):
                         ends[i] = own
-                        for waiter, k in waiting.get((head, origin), ()):
-                            push(k + own, waiter + i)
-                elif s in by:
+                        for waiter, k in waiting.get(key, ()):
+                            new, to = k + own, waiter + i
+                            if new < best.get(to, far) and (bound := new + here[to // square]) < goal:
+                                push(new, to, bound)
+                elif s in numbers:
                     # The waiting item with its dot moved on; its place is added when the nonterminal ends.
                     onward = (state + 1) * square + origin * width
-                    key = (s, i)
+                    key = numbers[s] * width + i
                     waiting.setdefault(key, []).append((onward, c))
-                    if c < began.get(key, 1 << 30):
+                    if c < began.get(key, far):
                         began[key] = c
                         for q in predicted[s]:
-                            push(c, q * square + i * width + i)
-                    for e, own in complete.get(key, {}).items():
-                        push(c + own, onward + e)
+                            to = q * square + i * width + i
+                            if c < best.get(to, far) and (bound := c + here[q]) < goal:
+                                push(c, to, bound)
+                    known = complete.get(key)
+                    if known:
+                        for e, own in known.items():
+                            new, to = c + own, onward + e
+                            if new < best.get(to, far) and (bound := new + ahead[e][state + 1]) < goal:
+                                push(new, to, bound)
                 else:
-                    onward = item + square
-                    push(c + 1, onward)
+                    to, dearer = item + square, c + 1
+                    if dearer < best.get(to, far) and (bound := dearer + here[state + 1]) < goal:
+                        push(dearer, to, bound)
                     if i < n:
-                        push(c if fits(s, tokens[i]) else c + 1, onward + 1)
-                        push(c + 1, item + 1)
+                        there = ahead[i + 1]
+                        new, to = c if s in fitting[i] else dearer, to + 1
+                        if new < best.get(to, far) and (bound := new + there[state + 1]) < goal:
+                            push(new, to, bound)
+                        to = item + 1
+                        if dearer < best.get(to, far) and (bound := dearer + there[state]) < goal:
+                            push(dearer, to, bound)
             least += 1
         return goal
 
