@@ -252,24 +252,46 @@ def _unit_says(unit: str, names: list[str]) -> bool:
     return _says(unit, names)
 
 
-ROWS = "file_id string, pos int, line int, end_line int, kind string, delta int, braces int, text string"
+ROWS = "file_id string, pos int, line int, end_line int, kind string, delta int, braces int, text string, leads boolean, declared boolean"
+
+
+def telling_rows(rows: list[tuple], starts: frozenset[int], python: bool) -> Iterator[tuple]:
+    """(pos, row, leads, declared) of the lexed rows that comments, bodies or docstrings can depend on.
+
+    leads: code right behind a comment or attribute; declared: code at a line where something is declared. Code that
+    neither leads nor is declared, changes no depth, and stands beside no such row decides nothing.
+    """
+    code = [i for i, r in enumerate(rows) if r[2] in ("code", "string")]
+    needed = set(code[-1:])
+    for k, i in enumerate(code):
+        if rows[i][3] or rows[i][2] == "string" or rows[i][0] in starts:
+            needed.add(i)
+            if python and rows[i][3] < 0 and k:
+                needed.add(code[k - 1])
+            if rows[i][0] in starts and k + 1 < len(code):
+                needed.add(code[k + 1])
+    for i, r in enumerate(rows):
+        leads = r[2] == "code" and i > 0 and rows[i - 1][2] in ("comment", "attribute")
+        if leads or i in needed or r[2] not in ("code", "string"):
+            yield i, r, leads, r[2] == "code" and r[0] in starts
 
 
 def lexed_files(files: DataFrame, expected: DataFrame) -> DataFrame:
-    """ROWS of every file whose language has comments, the last delivered row of a file counting."""
+    """ROWS of every file whose language has comments, those that tell something; the last delivered row of a file counts."""
     one = latest_rows(files.where(F.col("file_id").isNotNull()), ["file_id"], "delivered_at", ["source_text"])
     declared = F.flatten(F.collect_list(F.transform("symbols", lambda x: x["start_line"])))
     languages = expected.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.max("language").alias("language"), declared.alias("starts"))
     inputs = one.join(languages, "file_id").where(F.col("language").isin(list(ATTRIBUTE)) & F.col("source_text").isNotNull()).select("file_id", "language", "source_text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), *[pa.int32()] * 3, pa.string(), pa.int32(), pa.int32(), pa.string()]
+        types = [pa.string(), *[pa.int32()] * 3, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
         names = [f.split()[0] for f in ROWS.split(", ")]
         for batch in batches:
             out: list[tuple] = []
             for file_id, language, text, starts in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
-                out += [(file_id, i, r[0], r[1], r[2], r[3], r[4], r[5]) for i, r in enumerate(lexed_rows(language, text, frozenset(starts)))]
+                at = frozenset(starts)
+                out += [(file_id, i, *r, leads, declared) for i, r, leads, declared in telling_rows(lexed_rows(language, text, at), at, language == "python")]
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
@@ -290,7 +312,7 @@ def comments_above(rows: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("file_id").orderBy("pos")
     same = (F.lag("kind").over(w) == F.col("kind")) & (F.col("line") <= F.lag("end_line").over(w) + 1)
-    some = rows.select("file_id", "pos", "line", "end_line", "kind", F.when(F.col("kind") == "comment", F.col("text")).alias("text"))
+    some = rows.where(F.col("kind").isin("comment", "attribute") | F.col("leads")).select("file_id", "pos", "line", "end_line", "kind", F.when(F.col("kind") == "comment", F.col("text")).alias("text"))
     numbered = some.withColumn("gap", F.when(same, 0).otherwise(1)).withColumn("island", F.sum("gap").over(w))
     said = F.array_sort(F.collect_list(F.when(F.col("kind") == "comment", F.struct("pos", "text"))))
     islands = numbered.groupBy("file_id", "island", "kind").agg(F.min("line").alias("first"), F.max("end_line").alias("last"), F.array_join(F.transform(said, lambda x: x["text"]), "\n").alias("text"))
@@ -305,29 +327,28 @@ def comments_above(rows: DataFrame) -> DataFrame:
 
 
 def bodies(rows: DataFrame) -> DataFrame:
-    """(file_id, start_line, end_line, docstring) of what each line of code opens.
+    """(file_id, start_line, end_line, docstring) of what each declared line of code opens.
 
     A body goes up to the row at which the depth, summed up over the file, falls back to that before the line: the
     nearest later row that closes the same level, found by one window per file and level. The docstring is the Python
     string that stands as a statement right behind a `def` row, inside its body.
     """
     w = Window.partitionBy("file_id").orderBy("pos")
-    code = rows.where(F.col("kind").isin("code", "string")).select("file_id", "pos", "line", "end_line", "kind", "delta", "braces", F.when(F.col("kind") == "string", F.col("text")).alias("string"), F.when(F.col("kind") == "code", F.col("text")).alias("head"))
-    deep = code.withColumns({"after": F.sum("delta").over(w), "next_delta": F.lead("delta").over(w), "previous_end": F.lag("end_line").over(w), "next_string": F.when(F.lead("kind").over(w) == "string", F.lead("string").over(w))})
+    code = rows.where(F.col("kind").isin("code", "string")).select("file_id", "pos", "line", "end_line", "kind", "delta", "braces", "declared", F.when(F.col("kind") == "string", F.col("text")).alias("string"), F.when(F.col("kind") == "code", F.col("text")).alias("head"))
+    # Rows without a level of their own are gone after the explode below, so the file's last line is told here.
+    deep = code.withColumns({"last_line": F.max("end_line").over(Window.partitionBy("file_id")), "after": F.sum("delta").over(w), "next_delta": F.lead("delta").over(w), "previous_end": F.lag("end_line").over(w), "next_string": F.when(F.lead("kind").over(w) == "string", F.lead("string").over(w))})
     deep = deep.withColumn("before", F.col("after") - F.col("delta"))
-    is_code, python = F.col("kind") == "code", F.col("head").isNotNull() | F.col("string").isNotNull()
+    python = F.col("head").isNotNull() | F.col("string").isNotNull()
     # A Python row that steps back ends the blocks before it: they close on the line of the row before.
     close = F.when(python, F.col("previous_end")).otherwise(F.col("end_line"))
     closes = F.when(F.col("delta") < 0, F.transform(F.sequence("after", F.col("before") - 1), lambda level: F.struct(level.alias("level"), close.alias("close")))).otherwise(F.array().cast("array<struct<level: bigint, close: int>>"))
-    opens = F.when(is_code, F.array(F.struct(F.when(python, F.col("after")).otherwise(F.col("before")).alias("level"), F.lit(None).cast("int").alias("close")))).otherwise(F.array().cast("array<struct<level: bigint, close: int>>"))
+    opens = F.when(F.col("declared"), F.array(F.struct(F.when(python, F.col("after")).otherwise(F.col("before")).alias("level"), F.lit(None).cast("int").alias("close")))).otherwise(F.array().cast("array<struct<level: bigint, close: int>>"))
     inline = F.when(python, F.coalesce("next_delta", F.lit(0)) <= 0).otherwise((F.col("delta") == 0) & (F.col("braces") > 0))
     docstring = F.when(F.col("head") == "def", F.col("next_string"))
-    levels = deep.select("file_id", "pos", F.col("line").alias("start_line"), F.col("end_line").alias("own_end"), inline.alias("inline"), docstring.alias("docstring"), F.explode(F.concat(closes, opens)).alias("x")).select("*", "x.level", "x.close").drop("x")
+    levels = deep.select("file_id", "pos", F.col("line").alias("start_line"), F.col("end_line").alias("own_end"), inline.alias("inline"), docstring.alias("docstring"), "last_line", F.explode(F.concat(closes, opens)).alias("x")).select("*", "x.level", "x.close").drop("x")
     behind = Window.partitionBy("file_id", "level").orderBy(F.col("pos").desc(), F.col("close").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     # In falling order the last close seen is the nearest one behind; what a row closes itself comes after what it opens.
-    own = F.col("close").isNull()
-    last = F.max("own_end").over(Window.partitionBy("file_id"))
-    found = levels.withColumns({"found": F.last("close", ignorenulls=True).over(behind), "last_line": last}).where(own)
+    found = levels.withColumn("found", F.last("close", ignorenulls=True).over(behind)).where(F.col("close").isNull())
     return found.select("file_id", "start_line", F.when(F.col("inline"), F.col("own_end")).otherwise(F.greatest("own_end", F.coalesce("found", "last_line"))).alias("end_line"), "docstring")
 
 
