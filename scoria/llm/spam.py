@@ -72,12 +72,13 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], list[int]] = {}
+        documents: dict[str, Counter] = {}
+        uses: dict[str, Counter] = {}
 
         def out() -> pa.RecordBatch:
-            keys = list(counts)
-            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k][0] for k in keys], pa.int64()), pa.array([counts[k][1] for k in keys], pa.int64())], names=["label", "word", "documents", "uses"])
-            counts.clear()
+            keys = [(label, w) for label, words in documents.items() for w in words]
+            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([documents[k][w] for k, w in keys], pa.int64()), pa.array([uses[k][w] for k, w in keys], pa.int64())], names=["label", "word", "documents", "uses"])
+            documents.clear(), uses.clear()
             return made
 
         for batch in batches:
@@ -85,16 +86,13 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
                 m = LABEL.match(claimed or "")
                 if not m or not t or (label := m.group(1).lower()) == "und":
                     continue
-                words = Counter(WORD(t.lower()))
-                words[""] = words.total()
-                for w, n in words.items():
-                    have = counts.get((label, w))
-                    if have is None:
-                        counts[label, w] = [1, n]
-                    else:
-                        have[0] += 1
-                        have[1] += n
-            if len(counts) > 500_000:
+                words = WORD(t.lower())
+                some = documents.setdefault(label, Counter())
+                some.update({"", *words})
+                total = uses.setdefault(label, Counter())
+                total.update(words)
+                total[""] += len(words)
+            if sum(map(len, documents.values())) > 500_000:
                 yield out()
         yield out()
 
@@ -164,20 +162,25 @@ def page_features(text: str, languages: dict[str, Language]) -> tuple:
         kept = times[low] <= LINE_COPIES
         for part in SENTENCE_END.split(low):
             if s := WORD(part):
-                if max(map(len, s)) > WORD_LETTERS:
-                    s = [w for w in s if len(w) <= WORD_LETTERS or foreign and UNSPACED.match(w)]
                 sentences.append((s, kept, part))
     words = [w for s, _, _ in sentences for w in s]
     counts = Counter(words)
-    n, letters = counts.total(), sum(len(w) * k for w, k in counts.items())
+    if blobs := {w for w in counts if len(w) > WORD_LETTERS and not (foreign and UNSPACED.match(w))}:
+        sentences = [([w for w in s if w not in blobs], kept, part) for s, kept, part in sentences]
+        words = [w for w in words if w not in blobs]
+        counts = Counter(words)
+    n = len(words)
     runs = {w for w in counts if len(UNSPACED.findall(w)) * 2 > len(w)} if foreign else frozenset()
-    unspaced = sum(len(w) * counts[w] for w in runs) * 2 > letters
+    unspaced = bool(runs) and sum(len(w) * counts[w] for w in runs) * 2 > sum(map(len, words))
     lang, known = "other", None
     if n and not unspaced:
-        shares = {label: (sum(map(counts.__getitem__, [w for w in counts if w in x.function])) / n, sum(map(counts.__getitem__, x.usual.intersection(counts))) / n) for label, x in languages.items()}
-        usual = max((u for _, u in shares.values()), default=0.0)
-        if usual >= 0.5:
-            lang = max(shares, key=lambda label: (shares[label][0], shares[label][1], label))
+        shares = {}
+        for label, x in languages.items():
+            # Function words are usual ones too.
+            hits = x.usual.intersection(counts)
+            shares[label] = (sum([counts[w] for w in hits if w in x.function]), sum([counts[w] for w in hits]), label)
+        if max((u for _, u, _ in shares.values()), default=0) * 2 >= n:
+            lang = max(shares.values())[2]
             known = languages[lang]
     function = known.function if known else {}
     if unspaced:
@@ -200,7 +203,8 @@ def page_features(text: str, languages: dict[str, Language]) -> tuple:
         elif runs and sum(len(w) for w in s if w in runs) * 2 > size:
             running = sum(len(w) for w in s if w in runs and len(w) >= RUN_LETTERS and (not kana or HIRAGANA.search(w))) * 2 >= size
         elif known:
-            running = len(s) >= SENTENCE_WORDS and f >= known.least * len(s) and len(SEPARATOR.findall(part)) <= SEPARATED * len(s)
+            # There are no more separators than signs that are neither letters nor blanks.
+            running = len(s) >= SENTENCE_WORDS and f >= known.least * len(s) and (len(part) - size - part.count(" ") <= SEPARATED * len(s) or len(SEPARATOR.findall(part)) <= SEPARATED * len(s))
         else:
             running = len(s) >= SHAPE_WORDS and ENDED(part) is not None and len(set(s)) >= SHAPE_VARIETY * len(s) and len(SEPARATOR.findall(part)) <= SHAPE_SEPARATORS * len(s)
         if running:
