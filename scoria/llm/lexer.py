@@ -97,6 +97,13 @@ def tables(language: str) -> tuple:
     return pattern.match, words, used
 
 
+@cache
+def plain_operators(language: str) -> dict[str, str]:
+    """Operators that are always what they look like, with their classes."""
+    other = {"/", "//", "`", "'", '"', "\\", "$"} | ({"<"} if language in ANGLES else set()) | ({"|", "&&", "?."} if language == "rust" else set())
+    return {op: OPERATORS.get(op, "op") for op in [*OPERATORS, *BINARY] if op not in other}
+
+
 #: Languages with lists of types in angle brackets, and words that stand in none of them.
 ANGLES = frozenset(["java", "csharp", "rust", "typescript"])
 NOT_IN_TYPES = frozenset("return if else while do switch case break continue throw try catch var let function class import package".split())
@@ -192,6 +199,7 @@ def lex(language: str, text: str, faults: Callable[[str], int] = lambda types: 0
     left as its marker is one error.
     """
     match, words, _ = tables(language)
+    plain = plain_operators(language)
     script, go, rust, angled = language in ("javascript", "typescript"), language == "go", language == "rust", language in ANGLES
     classes: list[str] = []
     lines: list[int] = []
@@ -205,9 +213,9 @@ def lex(language: str, text: str, faults: Callable[[str], int] = lambda types: 0
         m = match(text, pos)
         if m:
             kind = m.lastgroup
-            pos = m.start(kind)
+            pos, stop = m.span(kind)
         else:
-            kind = None
+            kind, stop = None, 0
             while pos < n and text[pos] in " \t\f\r\ufeff":
                 pos += 1
             if pos == n:
@@ -217,32 +225,34 @@ def lex(language: str, text: str, faults: Callable[[str], int] = lambda types: 0
             continue
         if kind == "g":
             errors.append((line, "conflict"))
-            pos = m.end()
+            pos = stop
             continue
         if kind == "c":
-            k = text.count("\n", pos, m.end())
-            line, fresh, pos = line + k, fresh or k > 0, m.end()
+            k = text.count("\n", pos, stop)
+            line, fresh, pos = line + k, fresh or k > 0, stop
             continue
         last = classes[-1] if classes else ""
         ch = text[pos]
         cls, end, start = "", 0, line
-        if ch == "`" and script:
-            end, cls = _template(text, pos), "v"
-        elif ch == "/" and script and last not in ("i", "q", "v", ")", "]", "}", "this", "super", "inc") and last[:1] != "~":
-            r = REGEX.match(text, pos)
-            end, cls = (r.end(), "v") if r else (pos + 1, "op")
-        elif kind == "s":
-            end, cls = m.end(), "s" if language == "json" else "v"
-        elif kind == "d":
-            end, cls = m.end(), "v"
-        elif kind == "i":
-            end, word = m.end(), m.group(kind)
+        if kind == "i":
+            end, word = stop, text[pos:stop]
             if language == "json":
                 cls = "v" if word in ("true", "false", "null") else "kw"
             else:
                 cls = words.get(word, "i") if last not in (".", "?.") or rust and word == "await" else "i"
                 if script and last in ("{", ",") and word != "default" and text[end : end + 2].lstrip().startswith(":"):
                     cls = "i"
+        elif kind == "o" and (known := plain.get(text[pos:stop])):
+            end, cls = stop, known
+        elif ch == "`" and script:
+            end, cls = _template(text, pos), "v"
+        elif ch == "/" and script and last not in ("i", "q", "v", ")", "]", "}", "this", "super", "inc") and last[:1] != "~":
+            r = REGEX.match(text, pos)
+            end, cls = (r.end(), "v") if r else (pos + 1, "op")
+        elif kind == "s":
+            end, cls = stop, "s" if language == "json" else "v"
+        elif kind == "d":
+            end, cls = stop, "v"
         elif rust and ch == "'" and (m2 := LIFETIME(text, pos)):
             end, cls = m2.end(), "lt"
         elif rust and ch == "|" and last not in ("i", "q", "v", ")", "]", "}", "?", "..") and not text.startswith("||", pos) and (m2 := BARS(text, pos)) and last != "op" and last != "=>":
@@ -256,13 +266,13 @@ def lex(language: str, text: str, faults: Callable[[str], int] = lambda types: 0
                 if last == "::":
                     classes.pop(), lines.pop()
                 continue
-            end, cls = m.end(), OPERATORS.get(m.group(kind), "op")
+            end, cls = stop, OPERATORS.get(text[pos:stop], "op")
         elif kind == "o":
-            op = m.group(kind)
+            op = text[pos:stop]
             if op == "//" and language != "python" or ch in "\"'`\\" or ch in "$" or not (op in OPERATORS or op in BINARY):
                 cls = ""
             else:
-                cls, end = OPERATORS.get(op, "op"), m.end()
+                cls, end = OPERATORS.get(op, "op"), stop
             if rust and op in ("&&", "?."):
                 cls, end = op[0], pos + 1
         if not cls or not end:
@@ -277,17 +287,18 @@ def lex(language: str, text: str, faults: Callable[[str], int] = lambda types: 0
             stop = text.find("\n", pos) if ch in "\"'" and not text.startswith(('"""', "'''"), pos) and not rust else n if quote else pos + 1
             pos = n if stop < 0 else stop
             continue
-        line += text.count("\n", pos, end) if kind == "s" or cls == "v" else 0
+        if cls == "v" and kind != "d":
+            line += text.count("\n", pos, end)
         if fresh and classes and (go and last in ENDS_GO or script and (last in ENDS_SCRIPT or last[:1] == "~" or last == "!" and classes[-2:-1] and classes[-2] in ENDS_SCRIPT) and (cls not in GOES_ON or cls == "else" and last not in ("}", ";")) and cls != "inc" and not (last == ")" and after_condition)) and not (script and cls == "while" and last == "}"):
             classes.append(";")
             lines.append(start)
         fresh = False
-        if cls in ("(", "[", "{"):
+        if script and cls in ("(", "[", "{"):
             conditions.append(cls == "(" and last in ("if", "for", "while", "with", "~await"))
-        elif cls in (")", "]", "}"):
+        elif script and cls in (")", "]", "}"):
             after_condition = conditions.pop() if conditions else False
         pos = end
-        if cls == "i" and len(classes) > 1 and classes[-1] in (".", "::") and (classes[-2] in "iq" or classes[-2][:1] == "~") and language != "python":
+        if cls == "i" and last in (".", "::") and len(classes) > 1 and classes[-1] == last and (classes[-2] in "iq" or classes[-2][:1] == "~") and language != "python":
             classes.pop(), lines.pop()
             classes[-1] = "q"
             continue

@@ -332,10 +332,18 @@ class Checker:
         return Repair(cost, spots, open_end, loose, any(what == "conflict" for _, what in errors))
 
 
+@cache
+def _python_operators() -> dict[str, str]:
+    """Operators with their classes in Python; those of other languages are foreign words."""
+    foreign = {"!", "?", "#", "::", "=>", "&&", "||", "===", "!==", "<=>", "??", "?.", "<-"}
+    return {op: OPERATORS.get(op, "op") for op in [*OPERATORS, *BINARY]} | {"**": "**", "++": "pm", "--": "pm", "/": "/"} | dict.fromkeys(foreign, "kw")
+
+
 def _python_lines(text: str) -> tuple[list, list, list, list, list]:
     """Classes and lines of each logical line, where it starts and how far it is indented, at tabs of eight and of one;
     lexical errors as lex() has them."""
     match, words, _ = tables("python")
+    operators = _python_operators()
     out: tuple[list, list, list, list, list] = ([], [], [], [], [])
     tokens: list[str] = []
     at: list[int] = []
@@ -362,19 +370,20 @@ def _python_lines(text: str) -> tuple[list, list, list, list, list]:
         m = match(text, pos)
         kind = m.lastgroup if m else None
         if m:
-            pos = m.start(kind)
+            pos, past = m.span(kind)
         else:
+            past = pos
             while pos < n and text[pos] in " \t\f\r\ufeff":
                 pos += 1
             if pos == n:
                 break
         if kind == "c":
-            pos = m.end()
+            pos = past
             continue
         if kind == "g":
             # A line that a merge left isn't part of any logical line.
             out[4].append((line, "conflict"))
-            pos = m.end()
+            pos = past
             continue
         if kind == "n":
             pos, line = pos + 1, line + 1
@@ -382,6 +391,15 @@ def _python_lines(text: str) -> tuple[list, list, list, list, list]:
                 end()
                 begin, depth = True, 0
             continue
+        if kind == "i":
+            cls = words.get(text[pos:past], "i")
+            if tokens and (tokens[-1], cls) in (("not", "in"), ("is", "not")):
+                tokens[-1] = "not in" if cls == "in" else "is not"
+            else:
+                tokens.append(cls)
+                at.append(line)
+            pos = past
+            continue
         if text[pos] == "\\" and text[pos + 1 : pos + 3].lstrip("\r").startswith("\n"):
             pos, line = text.index("\n", pos) + 1, line + 1
             continue
@@ -392,23 +410,17 @@ def _python_lines(text: str) -> tuple[list, list, list, list, list]:
             line += text.count("\n", pos, stop)
             pos = stop
             continue
-        word = m.group(kind)
-        cls = {"s": "v", "d": "v"}.get(kind) or (words.get(word, "i") if kind == "i" else OPERATORS.get(word, "op"))
         if kind == "o":
-            if word in ("!", "?", "#", "::", "=>", "inc", "++", "--", "&&", "||", "===", "!==", "<=>", "??", "?.", "<-") and word not in BINARY | {"++", "--"}:
-                cls = "kw"
-            cls = {"**": "**", "++": "pm", "--": "pm", "/": "/", "!": "kw", "?": "kw", "inc": "pm"}.get(word, cls)
-            if word in ("&&", "||", "===", "!==", "<=>", "??"):
-                cls = "kw"
+            word = text[pos:past]
+            cls = operators.get(word, "op")
             depth += (word in "([{") - (word in ")]}") if len(word) == 1 else 0
-        if tokens and (tokens[-1], cls) in (("not", "in"), ("is", "not")):
-            tokens[-1] = "not in" if cls == "in" else "is not"
-            pos = m.end()
-            continue
+        else:
+            cls = "v"
         tokens.append(cls)
         at.append(line)
-        line += word.count("\n")
-        pos = m.end()
+        if kind == "s":
+            line += text.count("\n", pos, past)
+        pos = past
     end()
     return out
 
