@@ -263,6 +263,16 @@ _quote = lambda p: p.replace("'", "''")
 _COUNTS = " ".join(f"WHEN '{n}' THEN len(regexp_extract_all(code, '{_quote(p)}'))" + (f" - len(regexp_extract_all(code, '{_quote(detectors.EXCEPT[n])}'))" if n in detectors.EXCEPT else "") for n, (p, *_) in detectors.TEXT_DETECTORS.items())
 _LEVELS = ", ".join(f"('{n}', {i}, {w}, {e})" for n, (_, i, w, e) in detectors.TEXT_DETECTORS.items())
 
+#: The packet's channels, ranks and fused places.
+_PACKET = _BM.replace("('scanner', 'rollback', 'budget', 'jahofoze', 'trace')", "(" + ", ".join(f"'{t}'" for t in context.task_terms(TASK)) + ")") + """,
+x AS (SELECT DISTINCT document_id AS doc FROM search_documents WHERE document_id IS NOT NULL AND (qualified_name IN ({0}) OR path IN ({0}) OR list_extract(string_split(replace(qualified_name, '::', '.'), '.'), -1) IN ({0}))),
+c AS (SELECT 'exact' AS channel, doc, 1.0 AS score FROM x UNION ALL SELECT 'all', doc, round(sum(x), 6) FROM s GROUP BY 2 UNION ALL SELECT 'names', doc, round(sum(x), 6) FROM s WHERE field = 'qualified_name' GROUP BY 2 UNION ALL SELECT 'text', doc, round(sum(x), 6) FROM s WHERE field = 'natural_text' GROUP BY 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY score DESC, doc) AS rank FROM c),
+z AS (SELECT doc, sum(1.0::DOUBLE / (60 + rank)) AS score, min(rank) AS best_rank FROM r WHERE rank <= 20 GROUP BY 1),
+t AS (SELECT document_id AS doc, CASE WHEN max(document_kind) = 'test' OR regexp_matches(max(path), '(^|/)tests?/') THEN 3 WHEN regexp_matches(max(path), '(?i)(^|/)(bench|benches|examples?|fixtures?|docs)/') THEN 2 ELSE 0 END AS tier FROM search_documents GROUP BY 1),
+ev AS (SELECT doc, score, best_rank, tier, row_number() OVER (ORDER BY tier, score DESC, best_rank, doc) AS place FROM z JOIN t USING (doc))
+""".replace("{0}", ", ".join(f"'{a}'" for a in context.anchors(TASK)))
+
 QUERIES = {
     "q1_files_at": files_by_path, "q3_file_symbols": file_symbols, "q5_symbols_by_id": symbols_by_id, "q6_references": references_named, "q7_entry_buckets": entries, "q9_qualified": qualified_query, "q9_callers_of": qualified_calls,
     "i7_imports": imports_between, "i8_packages": packages, "i11_rename": rename, "j13_same_names": same_names, "s11_overlay": scip_overlay, "w_percentiles": percentiles, "g6_test_impact": test_impact,
@@ -306,6 +316,9 @@ SQL = {
         h AS (SELECT path, name, len(list_intersect(list_distinct({_TOKENS.format('name')} || {_TOKENS.format('path')}), [{_TERMS}])) AS n FROM o), f AS (SELECT path, max(n) AS terms FROM h GROUP BY 1), t AS (SELECT path, terms, row_number() OVER (ORDER BY path) AS place FROM f WHERE terms = (SELECT max(terms) FROM f) AND terms > 0 ORDER BY path LIMIT 16),
         s AS (SELECT path, name FROM h JOIN t USING (path) WHERE n = terms AND name <> '' QUALIFY row_number() OVER (PARTITION BY path ORDER BY name) <= 5)
         SELECT t.path, terms, false AS exact, coalesce(x.names, '') AS names, place FROM t LEFT JOIN (SELECT path, string_agg(name, ',' ORDER BY name) AS names FROM s GROUP BY 1) x USING (path)""",
+    "r16_evidence": _PACKET + "SELECT doc, round(score, 9) AS score, best_rank, tier, place FROM ev",
+    "r16_tests": _PACKET + "SELECT DISTINCT ON (path) d.path, doc, 0 AS distance FROM ev JOIN (SELECT document_id AS doc, max(path) AS path FROM search_documents WHERE document_kind = 'test' GROUP BY 1) d USING (doc) ORDER BY path, place",
+    "r14_states": _PACKET + ", chn AS (SELECT unnest(['exact', 'all', 'names', 'text']) AS channel), k AS (SELECT channel, CASE WHEN count(doc) > 0 THEN 'used' ELSE 'empty' END AS state FROM chn LEFT JOIN c USING (channel) GROUP BY 1) SELECT * FROM k UNION ALL SELECT 'semantic', 'unavailable' UNION ALL SELECT 'packet', CASE WHEN bool_or(state = 'used') THEN 'ok' ELSE 'no_relevant_evidence' END FROM k",
     "i18_peers": """WITH o AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS x FROM lineitem), n AS (SELECT x, count(*) AS n FROM o GROUP BY 1), k AS (SELECT c FROM o GROUP BY 1 HAVING count(*) <= 4), s AS (SELECT * FROM o JOIN k USING (c)), p AS (SELECT a.x AS item, b.x AS peer, count(*) AS shared FROM s a JOIN s b ON a.c = b.c AND a.x <> b.x GROUP BY 1, 2),
         q AS (SELECT item, peer, shared, round(shared / (na.n + nb.n - shared), 9) AS jaccard FROM p JOIN n na ON na.x = item JOIN n nb ON nb.x = peer) SELECT *, row_number() OVER (PARTITION BY item ORDER BY shared DESC, jaccard DESC, peer) AS place FROM q QUALIFY place <= 3""",
     "i19_commit_peers": "WITH o AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS x FROM lineitem), n AS (SELECT x, count(*) AS commits FROM o GROUP BY 1), a(ordinal, c) AS (VALUES (1, 7), (2, 3), (3, 99), (4, 3)) SELECT ordinal, c AS commit, x AS item, commits, row_number() OVER (PARTITION BY ordinal ORDER BY commits DESC, x) AS place FROM a JOIN o USING (c) JOIN n USING (x) QUALIFY place <= 2",
