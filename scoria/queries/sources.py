@@ -60,7 +60,7 @@ def imports(spark: SparkSession, d: str) -> DataFrame:
     """Relative and bare imports of scripts, resolved among the known paths."""
     f = _texts(spark, d).where(F.col("path").rlike(r"\.(ts|js)$"))
     found = f.select(F.col("path").alias("importer"), F.explode(F.regexp_extract_all("text", F.lit(r'(?m)^import [^;\n]* from "([^"\n]+)";'), F.lit(1))).alias("specifier"))
-    return review.audit_imports(found, f.select("path")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return review.audit_imports(found, f.select("path"))
 
 
 QUERIES = {"s16_content": content, "s3_python_symbols": parsed_python, "s10_issues": issues, "s14_export": exported, "sql_report": sql_report, "st_windows": windowed, "st_sessions": user_sessions, "i1_illegal_imports": layers, "q16_imports": imports}
