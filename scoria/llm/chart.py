@@ -25,12 +25,15 @@ class Grammar:
         self.dotted: tuple | None = None
         self.bounds: dict[str, Bounds] = {}
         self.fitted: dict = {}
+        self.looking: dict = {}
+        self.looks: dict = {}
         self._find_nullable()
 
     def sequence(self, item: str) -> str:
         """The nonterminal for any number of items."""
         name = self._expand(item + "*")
         self._find_nullable()
+        self.dotted = None
         return name
 
     def _find_nullable(self) -> None:
@@ -73,6 +76,11 @@ class Grammar:
         distinct = set(tokens)
         return any(all(s in self.by or any(self.fits(s, t) for t in distinct) for s in self.rules[r][1]) for r in self.by[start])
 
+    def can_begin(self, start: str, tokens: tuple) -> bool:
+        """Whether a rule of start can begin with the first token, which matching needs and is quick to tell."""
+        self._states()
+        return bool(self._looking(tokens[0] if tokens else None)[2][start])
+
     def matches(self, start: str, tokens: tuple) -> bool:
         """Whether the tokens derive from start without any edit."""
         key = (start, tokens)
@@ -83,39 +91,50 @@ class Grammar:
         return self.recognized[key]
 
     def _earley(self, start: str, tokens: tuple) -> bool:
-        by, rules, nullable, fits = self.by, self.rules, self.nullable, self.fits
-        chart: list[dict] = [{} for _ in range(len(tokens) + 1)]
-        waiting: list[dict[str, list]] = [{} for _ in range(len(tokens) + 1)]
-        chart[0] = {(r, 0, 0): None for r in by[start]}
-        for i in range(len(tokens) + 1):
-            agenda, seen, wait = list(chart[i]), chart[i], waiting[i]
-            token = tokens[i] if i < len(tokens) else None
-            following = chart[i + 1] if token is not None else None
-            for r, dot, origin in agenda:
-                head, body = rules[r]
-                if dot == len(body):
-                    for q, d, o in waiting[origin].get(head, ()):
-                        item = (q, d + 1, o)
-                        if item not in seen:
-                            seen[item] = None
-                            agenda.append(item)
-                    continue
-                s = body[dot]
-                if s in by:
-                    first = s not in wait
-                    wait.setdefault(s, []).append((r, dot, origin))
-                    news = [(q, 0, i) for q in by[s]] if first else []
-                    if s in nullable:
-                        news.append((r, dot + 1, origin))
-                    for item in news:
-                        if item not in seen:
-                            seen[item] = None
-                            agenda.append(item)
-                elif token is not None and fits(s, token):
-                    following[(r, dot + 1, origin)] = None
-            if following is not None and not following:
+        """Items are dotted rules with where they began; those whose rest can neither begin with the next token nor be empty are left out."""
+        predicted, symbols, heads, onward = self._states()
+        nullable, n = self.nullable, len(tokens)
+        bits = (n + 1).bit_length()
+        low = (1 << bits) - 1
+        fitting, live, coming = self._looking(tokens[0] if tokens else None)
+        column = {q << bits: None for q in coming[start]}
+        waiting: list[dict[str, list[int]]] = []
+        for i in range(n + 1):
+            if not column:
                 return False
-        return any(o == 0 and rules[r][0] == start and d == len(rules[r][1]) for r, d, o in chart[-1])
+            wait: dict[str, list[int]] = {}
+            waiting.append(wait)
+            agenda, following = list(column), {}
+            fitting_next, live_next, coming_next = self._looking(tokens[i + 1] if i + 1 < n else None)
+            for item in agenda:
+                state = item >> bits
+                s = symbols[state]
+                if s is None:
+                    for moved in waiting[item & low].get(heads[state], ()):
+                        if moved not in column and live[moved >> bits]:
+                            column[moved] = None
+                            agenda.append(moved)
+                elif s in predicted:
+                    moved = onward[state] << bits | item & low
+                    if s in wait:
+                        wait[s].append(moved)
+                    else:
+                        wait[s] = [moved]
+                        for q in coming[s]:
+                            new = q << bits | i
+                            if new not in column:
+                                column[new] = None
+                                agenda.append(new)
+                    if s in nullable and moved not in column and live[moved >> bits]:
+                        column[moved] = None
+                        agenda.append(moved)
+                elif s in fitting:
+                    state = onward[state]
+                    if live_next[state]:
+                        following[state << bits | item & low] = None
+            if i < n:
+                column, fitting, live, coming = following, fitting_next, live_next, coming_next
+        return self.last[start] << bits in column
 
     def cost(self, start: str, tokens: tuple, below: int = 1 << 30) -> int:
         """The least number of tokens to insert, drop or replace so that the rest derives from start.
@@ -133,17 +152,61 @@ class Grammar:
         return known
 
     def _states(self) -> tuple:
-        """Dotted rules as numbers: first states of each nonterminal, and per state the symbol after the dot (None at the end) and the rule's head."""
+        """Dotted rules as numbers, those with one head and the same rest being one: first states of each nonterminal, and
+        per state the symbol after the dot (None at the end), the rule's head and the state with the dot moved on."""
         if self.dotted is None:
-            first, symbols, heads = [], [], []
+            known: dict[tuple, int] = {}
+            symbols, heads, onward = [], [], []
             for head, body in self.rules:
-                first.append(len(symbols))
-                symbols += [*body, None]
-                heads += [head] * (len(body) + 1)
+                for k in range(len(body), -1, -1):
+                    if (head, body[k:]) not in known:
+                        known[head, body[k:]] = len(symbols)
+                        symbols.append(body[k] if k < len(body) else None)
+                        heads.append(head)
+                        onward.append(known[head, body[k + 1 :]] if k < len(body) else -1)
             self.numbers = {h: k for k, h in enumerate(self.by)}
-            self.dotted = {h: [first[r] for r in rs] for h, rs in self.by.items()}, symbols, heads
+            #: Whether no token class comes after the dot: tokens aren't dropped there, but at the states that follow.
+            self.inner = [s is None or s in self.by for s in symbols]
+            self.last = {h: known[h, ()] for h in self.by}
+            self.dotted = {h: list(dict.fromkeys(known[h, self.rules[r][1]] for r in rs)) for h, rs in self.by.items()}, symbols, heads, onward
+            self._find_beginnings()
         return self.dotted
 
+    def _find_beginnings(self) -> None:
+        """Which token classes the rest of each state can begin with, and whether it can be empty."""
+        predicted, symbols, _, onward = self.dotted
+        self.looking.clear()
+        self.looks.clear()
+        begins: dict[str, set[str]] = {h: set() for h in self.by}
+        self.begins: list[set[str]] = [set() for _ in symbols]
+        self.empty = [False] * len(symbols)
+        grown = True
+        while grown:
+            grown = False
+            for q, s in enumerate(symbols):
+                # The state with the dot moved on has the smaller number.
+                more = set(begins[s]) if s in begins else set() if s is None else {s}
+                if s in self.nullable:
+                    more |= self.begins[onward[q]]
+                self.empty[q] = s is None or s in self.nullable and self.empty[onward[q]]
+                if not more <= self.begins[q]:
+                    self.begins[q] |= more
+                    grown = True
+            for h, states in predicted.items():
+                for q in states:
+                    begins[h] |= self.begins[q]
+
+    def _looking(self, token) -> tuple[frozenset[str], list[bool], dict[str, list[int]]]:
+        """With a token next, or none: the token classes it fits, per state whether its rest can begin there, and the first
+        states of each nonterminal that can."""
+        if token not in self.looking:
+            fitting = frozenset() if token is None else self._fitting(token)
+            if fitting not in self.looks:
+                live = [e or not b.isdisjoint(fitting) for e, b in zip(self.empty, self.begins, strict=True)]
+                self.looks[fitting] = fitting, live, {h: [q for q in states if live[q]] for h, states in self.dotted[0].items()}
+            self.looking[token] = self.looks[fitting]
+        return self.looking[token]
+
     def _fitting(self, token) -> frozenset[str]:
         """The token classes of the grammar that a token fits."""
         if token not in self.fitted:
@@ -162,34 +225,31 @@ class Grammar:
         What a nonterminal costs on its own is added to whatever waits for it. Tokens are dropped only right before a
         token of the grammar or at the end, which every repair can be brought to. The bound of what is still to come
         only decides the order; an item reached at less cost later is taken up again, so the result is the least cost.
+        An item that costs as much as the same one some tokens earlier and dropping these is left out: whatever goes on from
+        it goes on from the earlier one, which drops them right before its next token of the grammar.
         """
-        predicted, symbols, heads = self._states()
-        numbers, n = self.numbers, len(tokens)
-        bounds = self._bounds(start)
-        ahead = bounds.ahead(tokens)
-        width = n + 1
-        square = width * width
+        predicted, symbols, heads, onward = self._states()
+        numbers, inner, n = self.numbers, self.inner, len(tokens)
+        ahead = self._bounds(start).ahead(tokens)
+        if min(ahead[0][q] for q in predicted[start]) >= below:
+            return below
+        # An item is its state, origin and place in one number.
+        bits = (n + 1).bit_length()
+        twice, low = 2 * bits, (1 << bits) - 1
         far = 1 << 30
         fitting = [self._fitting(t) for t in tokens]
         best: dict[int, int] = {}
         done: dict[int, int] = {}
         # By nonterminal and place: least cost there, what waits with its cost, and where it ends at what own cost.
-        began: dict[int, int] = {numbers[start] * width: 0}
+        began: dict[int, int] = {numbers[start] << bits: 0}
         waiting: dict[int, list] = {}
         complete: dict[int, dict[int, int]] = {}
-        queues: list[list[int]] = [[]]
         least, goal = 0, below
-
-        def push(c: int, item: int, bound: int) -> None:
-            best[item] = c
-            while len(queues) <= bound:
-                queues.append([])
-            queues[bound if bound > least else least].append(item)
-
-        if min(ahead[0][q] for q in predicted[start]) >= below:
-            return below
+        # One queue per bound; what is found below the present one joins it.
+        queues: list[list[int]] = [[] for _ in range(max(ahead[0]) + n + 2)]
         for state in predicted[start]:
-            push(0, state * square, ahead[0][state])
+            best[state << twice] = 0
+            queues[ahead[0][state]].append(state << twice)
         while least < len(queues) and least < goal:
             queue = queues[least]
             while queue:
@@ -198,54 +258,92 @@ class Grammar:
                 if done.get(item, far) <= c:
                     continue
                 done[item] = c
-                state, at = divmod(item, square)
-                origin, i = divmod(at, width)
+                state, i = item >> twice, item & low
                 s = symbols[state]
                 here = ahead[i]
                 if s is None:
-                    head = heads[state]
+                    head, origin = heads[state], item >> bits & low
                     if origin == 0 and head == start:
                         goal = min(goal, c + n - i)
                         if goal <= least:
                             break
-                    key = numbers[head] * width + origin
+                    key = numbers[head] << bits | origin
                     own = c - began[key]
-                    ends = complete.setdefault(key, {})
+                    ends = complete.get(key)
+                    if ends is None:
+                        ends = complete[key] = {}
                     if own < ends.get(i, far):
                         ends[i] = own
-                        for waiter, k in waiting.get(key, ()):
-                            new, to = k + own, waiter + i
-                            if new < best.get(to, far) and (bound := new + here[to // square]) < goal:
-                                push(new, to, bound)
+                        for waiter, k, then in waiting.get(key, ()):
+                            new, to = k + own, waiter | i
+                            if new >= best.get(to, far):
+                                continue
+                            if best.get(to - 1, far) < new:
+                                if inner[then]:
+                                    best[to] = new
+                            elif (bound := new + here[then]) < goal:
+                                best[to] = new
+                                if bound >= len(queues):
+                                    queues += [[] for _ in range(bound)]
+                                queues[bound if bound > least else least].append(to)
                 elif s in numbers:
                     # The waiting item with its dot moved on; its place is added when the nonterminal ends.
-                    onward = (state + 1) * square + origin * width
-                    key = numbers[s] * width + i
-                    waiting.setdefault(key, []).append((onward, c))
+                    then = onward[state]
+                    waiter = then << twice | item & low << bits
+                    key = numbers[s] << bits | i
+                    if key in waiting:
+                        waiting[key].append((waiter, c, then))
+                    else:
+                        waiting[key] = [(waiter, c, then)]
                     if c < began.get(key, far):
                         began[key] = c
                         for q in predicted[s]:
-                            to = q * square + i * width + i
+                            to = q << twice | i << bits | i
                             if c < best.get(to, far) and (bound := c + here[q]) < goal:
-                                push(c, to, bound)
+                                best[to] = c
+                                if bound >= len(queues):
+                                    queues += [[] for _ in range(bound)]
+                                queues[bound if bound > least else least].append(to)
                     known = complete.get(key)
                     if known:
                         for e, own in known.items():
-                            new, to = c + own, onward + e
-                            if new < best.get(to, far) and (bound := new + ahead[e][state + 1]) < goal:
-                                push(new, to, bound)
+                            new, to = c + own, waiter | e
+                            if new >= best.get(to, far):
+                                continue
+                            if best.get(to - 1, far) < new:
+                                if inner[then]:
+                                    best[to] = new
+                            elif (bound := new + ahead[e][then]) < goal:
+                                best[to] = new
+                                if bound >= len(queues):
+                                    queues += [[] for _ in range(bound)]
+                                queues[bound if bound > least else least].append(to)
                 else:
-                    to, dearer = item + square, c + 1
-                    if dearer < best.get(to, far) and (bound := dearer + here[state + 1]) < goal:
-                        push(dearer, to, bound)
+                    then, dearer = onward[state], c + 1
+                    to = then << twice | item & (1 << twice) - 1
+                    if dearer < best.get(to, far) and (bound := dearer + here[then]) < goal:
+                        best[to] = dearer
+                        if bound >= len(queues):
+                            queues += [[] for _ in range(bound)]
+                        queues[bound if bound > least else least].append(to)
                     if i < n:
                         there = ahead[i + 1]
                         new, to = c if s in fitting[i] else dearer, to + 1
-                        if new < best.get(to, far) and (bound := new + there[state + 1]) < goal:
-                            push(new, to, bound)
+                        if new < best.get(to, far):
+                            if best.get(to - 1, far) < new:
+                                if inner[then]:
+                                    best[to] = new
+                            elif (bound := new + there[then]) < goal:
+                                best[to] = new
+                                if bound >= len(queues):
+                                    queues += [[] for _ in range(bound)]
+                                queues[bound if bound > least else least].append(to)
                         to = item + 1
                         if dearer < best.get(to, far) and (bound := dearer + there[state]) < goal:
-                            push(dearer, to, bound)
+                            best[to] = dearer
+                            if bound >= len(queues):
+                                queues += [[] for _ in range(bound)]
+                            queues[bound if bound > least else least].append(to)
             least += 1
         return goal
 
@@ -262,7 +360,7 @@ class Bounds:
 
     def __init__(self, g: Grammar, start: str):
         self.g = g
-        predicted, symbols, heads = g._states()
+        predicted, symbols, heads, onward = g._states()
         reached, todo = set(), [start]
         while todo:
             h = todo.pop()
@@ -273,7 +371,7 @@ class Bounds:
         after: dict[str, list[int]] = {h: [] for h in reached}
         for q in states:
             if symbols[q] in reached:
-                after[symbols[q]].append(q + 1)
+                after[symbols[q]].append(onward[q])
 
         def following(q: int) -> tuple:
             """What the next tokens depend on: the nonterminal after the dot, the head whose rule ends, or the state itself."""
@@ -300,7 +398,7 @@ class Bounds:
         of_state = {q: nexts[following(q)] for q in states}
         # Steps that read the same class and lead to the same tokens are one.
         steps: dict[tuple, int] = {}
-        step_of = {q: steps.setdefault((symbols[q], of_state[q + 1]), len(steps)) for q in states if symbols[q] is not None and symbols[q] not in reached}
+        step_of = {q: steps.setdefault((symbols[q], of_state[onward[q]]), len(steps)) for q in states if symbols[q] is not None and symbols[q] not in reached}
         step_of[-1] = -1
         places: dict[frozenset[int], int] = {}
         place = {n: places.setdefault(frozenset(step_of[q] for q in n), len(places)) for n in set(of_state.values())}
@@ -310,25 +408,25 @@ class Bounds:
         self.behind = np.array([place[n] for _, n in steps], np.int64)
         self.symbols = [s for s, _ in steps]
         m, k = len(places), len(steps)
-        direct = np.full((m, k), self.FAR, np.int32)
+        direct = np.zeros((m, k), bool)
         ends = np.full(m, self.FAR, np.int32)
         for n, i in places.items():
             for x in n:
                 if x < 0:
                     ends[i] = 0
                 else:
-                    direct[i, x] = 0
+                    direct[i, x] = True
         # Tokens to insert from place to place.
         between = np.full((m, m), self.FAR, np.int32)
         for i in range(m):
-            between[i, self.behind[direct[i] == 0]] = 1
+            between[i, self.behind[direct[i]]] = 1
             between[i, i] = 0
         for j in range(m):
             np.minimum(between, between[:, j : j + 1] + between[j], out=between)
         self.ends = np.minimum((between + ends).min(1), self.FAR)
         self.inserted = np.full((m, k), self.FAR, np.int32)
         for x in range(k):
-            self.inserted[:, x] = np.minimum((between + direct[:, x]).min(1), self.FAR)
+            self.inserted[:, x] = between[:, direct[:, x]].min(1)
         self.misses: dict = {}
 
     def _miss(self, token) -> np.ndarray:
@@ -338,10 +436,12 @@ class Bounds:
 
     def ahead(self, tokens: tuple) -> list[list[int]]:
         """For each position and state the least cost of what is still to come."""
-        n = len(tokens)
         here = self.ends
-        out = [here[self.place].tolist()]
-        for i in range(n - 1, -1, -1):
-            here = np.minimum(here + 1, np.minimum((self.inserted + (self._miss(tokens[i]) + here[self.behind])).min(1), self.ends + (n - i)))
-            out.append(here[self.place].tolist())
-        return out[::-1]
+        out = [here]
+        sums, least = np.empty_like(self.inserted), np.minimum.reduce
+        for token in reversed(tokens):
+            # A token is dropped, or read by the best step to insert up to.
+            np.add(self.inserted, self._miss(token) + here[self.behind], out=sums)
+            here = np.minimum(here + 1, least(sums, axis=1))
+            out.append(here)
+        return np.array(out[::-1])[:, self.place].tolist()

@@ -72,6 +72,8 @@ STRINGS = {
 WORDS = {"java": r"[^\W\d][\w]*|[$_][\w$]*", "csharp": r"@?[^\W\d]\w*", "go": r"[^\W\d]\w*", "rust": r"(?:r#)?[^\W\d]\w*", "javascript": r"[#@]?[^\W\d][\w$]*|#?\$[\w$]*", "python": r"[^\W\d]\w*", "json": r"[^\W\d]\w*"}
 WORDS["javascript"] = r"#?(?:[^\W\d]|\$)[\w$]*"
 WORDS["typescript"] = WORDS["javascript"]
+#: Most words, which are tried first: those that nothing precedes or follows which could make them part of something else.
+PLAIN_WORDS = {language: r"(?>[^\W\d]\w*)" for language in ("java", "csharp", "go", "json")} | {language: r"(?>(?:[^\W\d]|\$)[\w$]*)" for language in ("javascript", "typescript")} | {language: r"(?>[^\W\d]\w*)(?![\"'#])" for language in ("rust", "python")}
 REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
 LIFETIME, BARS = re.compile(r"'[^\W\d]\w*(?!')").match, re.compile(r"\|[^|\n;{]*\|").match
 RUN = re.compile(r"\w+").match
@@ -93,7 +95,7 @@ def tables(language: str) -> tuple:
     words |= ALIKE.get(language, {})
     for w in MODIFIERS.get(language, "").split():
         words[w] = "~mod" if w in soft else "mod"
-    pattern = re.compile(rf"[ \t\f\r﻿]*(?:(?P<n>\n)|(?P<g>(?m:^(?:<{{7}}|={{7}}|>{{7}}|\|{{7}})(?:[ \t][^\n]*)?$))|(?P<c>{COMMENTS[language]})|(?P<s>{STRINGS[language]})|(?P<d>(?:{NUMBERS[language]})(?!\w))|(?P<i>{WORDS[language]})|(?P<o>{OPERATOR}))")
+    pattern = re.compile(rf"[ \t\f\r﻿]*(?:(?P<w>{PLAIN_WORDS[language]})|(?P<p>[()\[\]{{}},;])|(?P<n>\n)|(?P<g>(?m:^(?:<{{7}}|={{7}}|>{{7}}|\|{{7}})(?:[ \t][^\n]*)?$))|(?P<c>{COMMENTS[language]})|(?P<s>{STRINGS[language]})|(?P<d>(?:{NUMBERS[language]})(?!\w))|(?P<i>{WORDS[language]})|(?P<o>{OPERATOR}))")
     return pattern.match, words, used
 
 
@@ -108,6 +110,8 @@ def plain_operators(language: str) -> dict[str, str]:
 ANGLES = frozenset(["java", "csharp", "rust", "typescript"])
 NOT_IN_TYPES = frozenset("return if else while do switch case break continue throw try catch var let function class import package".split())
 PLAIN_ANGLES = re.compile(r"<[\w\s,.?\[\]:']*>").match
+#: Groups of the pattern that only say that something is told quickly.
+SAME = {"w": "i", "p": "o"}
 BEFORE_BRACES = frozenset("< , | & = : ( [ ; { => extends keyof".split())
 
 
@@ -129,6 +133,7 @@ def _angles(language: str, text: str, at: int) -> int:
             return 0
         kind = m.lastgroup
         token, start, pos = m.group(kind), m.start(kind), m.end()
+        kind = SAME.get(kind, kind)
         if kind == "n" or kind == "c":
             continue
         if kind == "g" or kind == "i" and token in NOT_IN_TYPES:
@@ -201,6 +206,9 @@ def lex(language: str, text: str, faults: Callable[[str], int] = lambda types: 0
     match, words, _ = tables(language)
     plain = plain_operators(language)
     script, go, rust, angled = language in ("javascript", "typescript"), language == "go", language == "rust", language in ANGLES
+    line_ends, worded = script or go, language != "json"
+    # After these a word may be something else, or part of a name with dots.
+    joining = frozenset([".", "::", "?.", "{", ","] if script else [".", "::", "?."])
     classes: list[str] = []
     lines: list[int] = []
     errors: list[tuple[int, str]] = []
@@ -221,8 +229,21 @@ def lex(language: str, text: str, faults: Callable[[str], int] = lambda types: 0
             if pos == n:
                 break
         if kind == "n":
-            pos, line, fresh = pos + 1, line + 1, True
+            pos, line, fresh = stop, line + 1, True
             continue
+        last = classes[-1] if classes else ""
+        if not fresh or not line_ends:
+            # Brackets, separators and words are most of what there is, and here no line end counts.
+            if kind == "p" and (not script or text[pos] in ",;"):
+                classes.append(text[pos])
+                lines.append(line)
+                pos = stop
+                continue
+            if kind == "w" and worded and last not in joining:
+                classes.append(words.get(text[pos:stop], "i"))
+                lines.append(line)
+                pos = stop
+                continue
         if kind == "g":
             errors.append((line, "conflict"))
             pos = stop
@@ -231,10 +252,11 @@ def lex(language: str, text: str, faults: Callable[[str], int] = lambda types: 0
             k = text.count("\n", pos, stop)
             line, fresh, pos = line + k, fresh or k > 0, stop
             continue
-        last = classes[-1] if classes else ""
         ch = text[pos]
         cls, end, start = "", 0, line
-        if kind == "i":
+        if kind == "p":
+            end, cls = stop, ch
+        elif kind == "w" or kind == "i":
             end, word = stop, text[pos:stop]
             if language == "json":
                 cls = "v" if word in ("true", "false", "null") else "kw"
@@ -289,14 +311,15 @@ def lex(language: str, text: str, faults: Callable[[str], int] = lambda types: 0
             continue
         if cls == "v" and kind != "d":
             line += text.count("\n", pos, end)
-        if fresh and classes and (go and last in ENDS_GO or script and (last in ENDS_SCRIPT or last[:1] == "~" or last == "!" and classes[-2:-1] and classes[-2] in ENDS_SCRIPT) and (cls not in GOES_ON or cls == "else" and last not in ("}", ";")) and cls != "inc" and not (last == ")" and after_condition)) and not (script and cls == "while" and last == "}"):
-            classes.append(";")
-            lines.append(start)
-        fresh = False
-        if script and cls in ("(", "[", "{"):
-            conditions.append(cls == "(" and last in ("if", "for", "while", "with", "~await"))
-        elif script and cls in (")", "]", "}"):
-            after_condition = conditions.pop() if conditions else False
+        if line_ends:
+            if fresh and classes and (go and last in ENDS_GO or script and (last in ENDS_SCRIPT or last[:1] == "~" or last == "!" and classes[-2:-1] and classes[-2] in ENDS_SCRIPT) and (cls not in GOES_ON or cls == "else" and last not in ("}", ";")) and cls != "inc" and not (last == ")" and after_condition)) and not (script and cls == "while" and last == "}"):
+                classes.append(";")
+                lines.append(start)
+            if script and cls in ("(", "[", "{"):
+                conditions.append(cls == "(" and last in ("if", "for", "while", "with", "~await"))
+            elif script and cls in (")", "]", "}"):
+                after_condition = conditions.pop() if conditions else False
+            fresh = False
         pos = end
         if cls == "i" and last in (".", "::") and len(classes) > 1 and classes[-1] == last and (classes[-2] in "iq" or classes[-2][:1] == "~") and language != "python":
             classes.pop(), lines.pop()

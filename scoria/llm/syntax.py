@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from scoria.llm.chart import Grammar
 from scoria.llm.grammars import FIRST_ITEMS, LAST_ITEMS, LISTS, SEMICOLON_LISTS, SEQUENCES, TOPS, WHOLES, grammar
-from scoria.llm.lexer import BINARY, CLOSERS, LANGUAGES, OPERATORS, RUN, lex, tables
+from scoria.llm.lexer import BINARY, CLOSERS, LANGUAGES, OPERATORS, RUN, SAME, lex, tables
 from scoria.operators.snapshots import latest_rows
 
 #: What may come after a bracket in braces so that the statement goes on.
 CONTINUES = frozenset(["else", "catch", "finally", "while", "~while", "op", "pm", "*", "&", "<", ">", "=", "asg", "?", ":", ".", ",", ";", "=>", "?.", "as", "~as", "in", "instanceof", "is", "inc", "where", "~where", "from", "~from", "!", "~get", "~set", "->"])
 HEADS = frozenset(["if", "for", "switch"])
+#: The classes of brackets, and the kinds of token that they make with their contents.
+BRACKETS, KINDS = frozenset("()[]{}"), {"(": "P", "[": "B", "{": "C"}
 #: How the lines begin that a merge leaves.
 MARKS = frozenset(c * 7 for c in "<=>|")
 #: A repetition counts as so many copies at most when a stretch is matched: no rule of the grammars counts further.
@@ -41,7 +43,7 @@ def condensed(part: tuple) -> tuple:
     for t in part:
         out.append(t)
         for p in PERIODS:
-            if len(out) > COPIES * p and t == out[-1 - p] and all(out[-p:] == out[-p * (k + 1) : -p * k] for k in range(1, COPIES + 1)):
+            if len(out) > COPIES * p and t == out[-1 - p] and t == out[-1 - COPIES * p] and out[-COPIES * p :] == out[-(COPIES + 1) * p : -p]:
                 del out[-p:]
                 break
     return tuple(out) if len(out) < len(part) else part
@@ -85,7 +87,13 @@ class Checker:
         self.language, self.grammar = language, grammar(language)
         self.everything = frozenset([label for lists in LISTS[language].values() for label, _ in lists] + [label for label, _ in SEQUENCES[language]] + [x for xs in WHOLES[language].values() for x in xs] + ["Empty"])
         self.semicolons, self.headers = language in ("javascript", "typescript", "go"), language == "go"
+        firsts, lasts = FIRST_ITEMS.get(language, {}), LAST_ITEMS.get(language, {})
+        #: Per sequence its label, what its first stretch, those between and its last one must derive from, and what ends one.
+        self.sequences = [(label, firsts.get(label), item + "*", lasts.get(label), frozenset(";,") if label == "Arms" else frozenset(";")) for label, item in SEQUENCES[language]]
+        wholes = {x for xs in WHOLES[language].values() for x in xs}
+        self.of_empty = self.everything - wholes if language != "python" else frozenset(["Empty", "Args", "Params"])
         self.seen: dict = {}
+        self.known: dict[tuple, dict[str, bool]] = {}
         self.types: dict[str, int] = {}
 
     def _closed(self, tokens: tuple) -> tuple:
@@ -94,22 +102,33 @@ class Checker:
 
     def derives(self, item: str, part: tuple) -> bool:
         """Whether a stretch derives from an item without any edit."""
-        known, key = self.grammar.recognized, (item, part)
-        if key not in known:
-            found = self.grammar.matches(item, condensed(part))
-            known[key] = found
-            return found
-        return known[key]
-
-    def pieces(self, label: str, item: str, tokens: list, ends: frozenset[str]) -> Iterator[tuple[str, int, int]]:
+        known = self.known.get(part)
+        if known is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            known = self.known[part] = {}
+        found = known.get(item)
+        if found is None:
+            found = self.grammar.can_begin(item, part)
+            if found:
+                short = condensed(part)
+                # Only what several stretches come down to is worth keeping twice.
+                found = self.grammar._earley(item, part) if short is part else self.grammar.matches(item, short)
+            known[item] = found
+        return found
+
+    def pieces(self, sequence: tuple, tokens: list) -> Iterator[tuple[str, int, int]]:
         """The stretches of a sequence with the nonterminal that each must derive from; the first and last may have their own."""
-        first, last = FIRST_ITEMS.get(self.language, {}).get(label), LAST_ITEMS.get(self.language, {}).get(label)
+        _, first, item, last, ends = sequence
         for a, b in _chunks(tokens, ends, self.headers):
-            yield first if first and not a else last if last and b == len(tokens) else item + "*", a, b
-
-    def fits_all(self, label: str, item: str, tokens: list, ends: frozenset[str]) -> bool:
-        for what, a, b in self.pieces(label, item, tokens, ends):
-            part = tuple(tokens[a:b])
+            yield first if first and not a else last if last and b == len(tokens) else item, a, b
+
+    def fits_all(self, sequence: tuple, parts: list[tuple]) -> bool:
+        """Whether all stretches of a sequence derive from what they must."""
+        _, first, item, last, _ = sequence
+        end = len(parts) - 1
+        for k, part in enumerate(parts):
+            what = first if first and not k else last if last and k == end else item
             if not self.derives(what, part) and not (self.semicolons and part[-1] != ";" and self.derives(what, (*part, ";"))):
                 return False
         return True
@@ -143,10 +162,11 @@ class Checker:
     def labels(self, kind: str, tokens: list) -> frozenset[str]:
         """The nonterminals that the contents of a bracket derive from."""
         if not tokens:
-            return self.everything - {x for xs in WHOLES[self.language].values() for x in xs} if self.language != "python" else frozenset(["Empty", "Args", "Params"])
+            return self.of_empty
         key = (kind, *tokens)
-        if key in self.seen:
-            return self.seen[key]
+        result = self.seen.get(key)
+        if result is not None:
+            return result
         found = set()
         parts, at = [], 0
         plain = tokens[:-1] if tokens[-1] == ";" and self.semicolons else tokens
@@ -166,9 +186,13 @@ class Checker:
             if self.separated(item, plain) if item else self.derives(label, tuple(tokens)) or plain is not tokens and self.derives(label, tuple(plain)):
                 found.add(label)
         if kind == "C":
-            for label, item in SEQUENCES[self.language]:
-                if self.fits_all(label, item, tokens, frozenset(";,") if label == "Arms" else frozenset(";")):
-                    found.add(label)
+            stretches: dict[frozenset[str], list[tuple]] = {}
+            for sequence in self.sequences:
+                ends = sequence[-1]
+                if ends not in stretches:
+                    stretches[ends] = [tuple(tokens[a:b]) for a, b in _chunks(tokens, ends, self.headers)]
+                if self.fits_all(sequence, stretches[ends]):
+                    found.add(sequence[0])
         result = frozenset(found)
         if len(self.seen) > 100_000:
             self.seen.clear()
@@ -177,14 +201,14 @@ class Checker:
 
     def repair(self, kind: str, tokens: list, lines: list[int], spots: list[int]) -> int:
         """The least cost of making contents fit; the lines of the stretches to edit are added to spots."""
-        options = [("", item, frozenset(",")) for _, item in LISTS[self.language].get(kind, ())]
+        options: list[tuple] = [("", None, item, None, frozenset(",")) for _, item in LISTS[self.language].get(kind, ())]
         if kind == "C":
-            options += [(label, item, frozenset(";,") if label == "Arms" else frozenset(";")) for label, item in SEQUENCES[self.language]]
+            options += self.sequences
         tried = []
-        for label, item, ends in options:
+        for option in options:
             bad = []
-            commas = ends == frozenset(",")
-            for what, a, b in ((item, a, b) for a, b in _chunks(tokens, ends, self.headers)) if commas else self.pieces(label, item, tokens, ends):
+            commas = not option[0]
+            for what, a, b in self.pieces(option, tokens):
                 part = tuple(x for x in tokens[a:b] if x != ",") if commas and tokens[b - 1] == "," else tuple(tokens[a:b])
                 if part and not self.derives(what, part) and not self.derives(what, self._closed(part)):
                     bad.append((what, part, lines[a]))
@@ -225,7 +249,7 @@ class Checker:
 
         def close() -> None:
             nonlocal tokens, at, cost
-            kind = {"(": "P", "[": "B", "{": "C"}[stack[-1][0]]
+            kind = KINDS[stack[-1][0]]
             labels = self.labels(kind, tokens)
             if not labels:
                 cost += self.repair(kind, tokens, at, spots)
@@ -236,10 +260,15 @@ class Checker:
             tokens, at = outer, outer_at
 
         for c, line in zip(classes, lines, strict=True):
-            if c in CLOSERS:
+            if c not in BRACKETS:
+                tokens.append(c)
+                at.append(line)
+            elif c in CLOSERS:
                 stack.append((c, tokens, at, line))
                 tokens, at = [], []
-            elif c in (")", "]", "}"):
+            elif stack and CLOSERS[stack[-1][0]] == c:
+                close()
+            else:
                 fit = next((k for k in range(len(stack) - 1, -1, -1) if CLOSERS[stack[k][0]] == c), None)
                 if fit is None:
                     cost += 1
@@ -251,9 +280,6 @@ class Checker:
                     spots.append(line)
                     close()
                 close()
-            else:
-                tokens.append(c)
-                at.append(line)
         unclosed = len(stack)
         while stack:
             cost += 1
@@ -371,6 +397,7 @@ def _python_lines(text: str) -> tuple[list, list, list, list, list]:
         kind = m.lastgroup if m else None
         if m:
             pos, past = m.span(kind)
+            kind = SAME.get(kind, kind)
         else:
             past = pos
             while pos < n and text[pos] in " \t\f\r\ufeff":
@@ -462,11 +489,13 @@ def check_file(language: str | None, text: str | None) -> tuple[int, str | None,
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     if not text.strip():
         return int(language == "json"), "truncated" if language == "json" else None, []
-    r = checker(language).check(text)
-    cost = r.cost
     # The chart is laxer or stricter than the language in some places; where its own parser is at hand, that decides.
     exact = own_parser(language, text)
-    if exact == 0 or exact is None and not cost:
+    if exact == 0:
+        return 0, None, []
+    r = checker(language).check(text)
+    cost = r.cost
+    if exact is None and not cost:
         return 0, None, []
     if exact and not cost:
         cost, r = 1, Repair(1, [exact], False, [], False)

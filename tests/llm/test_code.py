@@ -88,6 +88,22 @@ def test_repair_costs_are_least(rules, start, alphabet):
         assert g.cost(start, (*w, "foreign")) >= 1 and Grammar(rules).cost(start, w, want) >= want
 
 
+def test_what_the_own_parser_takes_is_not_charted(monkeypatch):
+    charted = []
+    check = syntax.Checker.check
+    monkeypatch.setattr(syntax.Checker, "check", lambda self, text: charted.append(text) or check(self, text))
+    assert syntax.check_file("python", "x = f(1)\n") == (0, None, []) and syntax.check_file("json", "[1, {}]") == (0, None, []) and not charted
+    assert syntax.check_file("python", "x = f(1\n") == (1, "truncated", [1]) and syntax.check_file("json", "[1, {]")[0] == 1 and len(charted) == 2
+
+
+def test_states_with_the_same_rest_are_one():
+    g = Grammar("S: a T c | d T c | T\nT: b | x? b")
+    assert len(g._states()[1]) == 11
+    for w in itertools.chain.from_iterable(itertools.product("abcdx", repeat=n) for n in range(5)):
+        middle = w[1:-1] if w[:1] in (("a",), ("d",)) and w[-1:] == ("c",) else w
+        assert g.matches("S", w) == (middle in (("b",), ("x", "b"))), w
+
+
 def test_long_valid_files_cost_nothing():
     sum_ = " + ".join(f"g({i})" for i in range(150))
     for language, text in [
