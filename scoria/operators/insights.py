@@ -144,10 +144,22 @@ def drift(indexed: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def line_coverage(lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(symbol_id, found, hit, fraction) of executed lines (file_id, line, hits) inside symbols' spans; of a line reported twice the most hits count."""
-    once = lines.groupBy("file_id", "line").agg(F.max("hits").alias("hits"))
-    inside = symbols.select("symbol_id", "file_id", "start_line", "end_line").join(once, "file_id").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    out = inside.groupBy("symbol_id").agg(F.count(F.lit(1)).alias("found"), F.sum((F.col("hits") > 0).cast("long")).alias("hit"))
+    """(symbol_id, found, hit, fraction) of executed lines (file_id, line, hits) inside symbols' spans; of a line reported twice the most hits count.
+
+    A file's lines are folded, 64 to a word with a bit for each, before they are sorted and joined; a span cuts its part
+    out of each word. Lines whose hits are null are found and count neither way; a span of only such has no fraction.
+    The join always sorts and merges: lines exploded from a short list of files have that list's size as statistics, by
+    which all of them would be broadcast through the driver.
+    """
+    line, word = F.col("line").cast("long"), F.col("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), line.bitwiseAND(63).cast("int"))
+    words = lines.groupBy("file_id", F.shiftright(line, 6).alias("word")).agg(*[F.bit_or(F.when(c, bit).otherwise(F.lit(0).cast("long"))).alias(n) for n, c in (("there", F.lit(True)), ("known", F.col("hits").isNotNull()), ("run", F.col("hits") > 0))])
+    first, last = F.col("start_line").cast("long"), F.col("end_line").cast("long")
+    low, high = F.greatest(first - word * 64, F.lit(0)).cast("int"), F.least(last - word * 64, F.lit(63)).cast("int")
+    span = F.call_function("shiftleft", F.lit(-1).cast("long"), low).bitwiseAND(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 63 - high))
+    met = symbols.select("symbol_id", "file_id", "start_line", "end_line").join(words.hint("merge"), "file_id").where(word.between(F.shiftright(first, 6), F.shiftright(last, 6)))
+    inside = met.select("symbol_id", *[F.col(c).bitwiseAND(span).alias(c) for c in ("there", "known", "run")]).where("there <> 0")
+    out = inside.groupBy("symbol_id").agg(F.sum(F.bit_count("there").cast("long")).alias("found"), F.sum(F.when(F.col("known") != 0, F.bit_count("run").cast("long"))).alias("hit"))
     return out.withColumn("fraction", F.when(F.col("found") > 0, F.col("hit") / F.col("found")))
 
 

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,39 @@ def test_coverage_takes_most_hits(spark):
     assert [tuple(r) for r in insights.line_coverage(lines, symbols).collect()] == [("s", 2, 1, 0.5)]
 
 
+def test_coverage_against_counting_line_by_line(spark):
+    rnd = random.Random(3)
+    lines = [(rnd.choice(["f", "g", None]), rnd.choice([None, *range(-70, 200)]), rnd.choice([None, 0, 0, 1, 7])) for _ in range(500)]
+    lines += [("h", n, h) for n, h in ((63, 1), (64, 0), (127, None), (128, 2), (2**31 - 1, 1), (-(2**31), 0))]
+    ends = [None, -(2**31), -65, -64, -1, 0, 1, 62, 63, 64, 65, 127, 128, 191, 2**31 - 1]
+    symbols = [(f"{f}{a}{b}", f, a, b) for f in ("f", "g", "h", "none", None) for a in ends for b in ends] + [("twice", "f", 1, 70), ("twice", "g", 60, 64), ("twice", "g", 60, 64)]
+    most = {}
+    for f, n, h in lines:
+        if f is not None and n is not None:
+            most[f, n] = max((x for x in (most.get((f, n)), h) if x is not None), default=None)
+    want = {}
+    for s, f, a, b in symbols:
+        inside = [h for (g, n), h in most.items() if g == f and a is not None and b is not None and a <= n <= b]
+        want[s] = want.get(s, []) + inside
+    want = {s: (len(x), sum(h > 0 for h in known) if (known := [h for h in x if h is not None]) else None) for s, x in want.items() if x}
+    out = insights.line_coverage(spark.createDataFrame(lines, "file_id string, line int, hits long"), spark.createDataFrame(symbols, "symbol_id string, file_id string, start_line int, end_line int"))
+    assert [t for _, t in out.dtypes] == ["string", "bigint", "bigint", "double"]
+    assert {r.symbol_id: (r.found, r.hit) for r in out.collect()} == want and None in {hit for _, hit in want.values()}
+    assert all((r.fraction is None) if r.hit is None else abs(r.fraction - r.hit / r.found) < 1e-12 for r in out.collect())
+
+
+def test_coverage_does_not_broadcast_lines_of_few_files(spark):
+    """The list of files is small enough to be broadcast, its lines need not be; the plan is that which ran."""
+    symbols = spark.range(0, 600, numPartitions=3).selectExpr("concat('s', id) AS symbol_id", "concat('f', id % 300) AS file_id", "10 AS start_line", "19 AS end_line")
+    lines = symbols.select("file_id").distinct().select("file_id", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("line")).withColumn("hits", F.col("line") % 2)
+    out = insights.line_coverage(lines, symbols)
+    rows = out.collect()
+    assert len(rows) == 600 and {tuple(r)[1:] for r in rows} == {(10, 5, 0.5)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in final and "BroadcastExchange" not in final
+
+
 def test_cochange_skips_pairs_of_large_commits_only(spark):
     rows = [("c1", "a"), ("c1", "b"), ("c2", "a"), ("c2", "b"), ("c2", "b"), ("c3", "a"), ("c3", "b"), ("c3", "c"), (None, "a")]
     got = insights.cochanges(spark.createDataFrame(rows, "c string, x string"), "c", "x", 2).collect()
